@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import bpe, decontaminate, exact_dedup, jaccard_join, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
