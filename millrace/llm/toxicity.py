@@ -4,7 +4,9 @@
 of the id; copies of a text count once) and makes
 
 * a vocabulary: the ``max_features`` words and word beginnings most associated with the label
-  (chi-squared), with their inverse document frequencies in the sample;
+  (chi-squared; each in at least 2 % of the texts of label 1), with their inverse document
+  frequencies in the sample.  All other words count as one term that every text has, with the
+  small weight ``COMMON``; so a vector's direction tells how densely a text holds the others;
 * an inverted index of the examples' unit TF-IDF vectors in blocks of ``block`` examples, with the
   largest weight of each term in each block (block-max);
 * a calibration of votes to probabilities, from the examples' own leave-one-out votes.
@@ -17,8 +19,8 @@ What is broadcast is the index alone, whose size the parameters bound.
 Defined results
 ---------------
 * Terms are runs of letters, lower-cased, and the first five letters of longer ones with a ``^``.
-* A text without any term of the vocabulary (so also a null or empty one) has the zero vector; its
-  cosine is 1 with examples that have the zero vector too and 0 with others.
+* A text without words (null, empty, digits alone) has the zero vector; its cosine is 1 with
+  examples that have the zero vector too; without such examples its score is the share of label 1.
 * Of equal cosines the example with the smaller id is nearer.
 * Without labelled rows, or with labels of one kind only, all scores are the share of label 1
   (0.0 where nothing is labelled).
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_EXAMPLES, MAX_FEATURES, K_NEAREST, BLOCK = 8_000, 1_024, 15, 64
-LEAST_SEEN = 3
+LEAST_SEEN, LEAST_SHARE, COMMON = 3, 0.02, 0.02
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -71,12 +73,29 @@ def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def counts(text: str | None, vocabulary: dict[str, int]) -> list[tuple[int, int]]:
+    """(term, occurrences) of a text, in order; term 0 is all words without a term of their own."""
+    words = Counter(_words((text or "").lower()))
+    found: Counter = Counter()
+    for w, n in words.items():
+        own = 0
+        if w in vocabulary:
+            found[vocabulary[w]] += n
+            own = n
+        if len(w) > 5 and "^" + w[:5] in vocabulary:
+            found[vocabulary["^" + w[:5]]] += n
+            own = n
+        if not own:
+            found[0] += n
+    return sorted(found.items())
+
+
 def _vectors(vocabulary: dict[str, int]):
     """id, text, label -> id, label and counts of the vocabulary's terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted((vocabulary[w], n) for w, n in terms(t).items() if w in vocabulary) for t in batch.column(1).to_pylist()]
+            found = [counts(t, vocabulary) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([[f for f, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))],
                 ["id", "label", "feature", "n"])
@@ -89,14 +108,15 @@ class Index:
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[list[tuple[int, int]]], k: int, block: int, share: float):
         order = sorted(range(len(ids)), key=lambda i: (labels[i], vectors[i], ids[i]))  # like examples share blocks
-        self.vocabulary, self.terms, self.idf = {w: i for i, w in enumerate(vocabulary)}, vocabulary, idf
+        self.terms, self.idf = ["*", *vocabulary], np.concatenate(([COMMON], idf))
+        self.vocabulary = {w: i for i, w in enumerate(self.terms) if i}
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.k, self.block, self.share = k, block, share
         unit = [self.unit(dict(vectors[i])) for i in order]
         self.empty = np.array([not u for u in unit], bool)
         n_blocks = -(-len(order) // block)
-        self.bound = np.zeros((len(vocabulary), n_blocks), np.float32)
+        self.bound = np.zeros((len(self.terms), n_blocks), np.float32)
         self.posting: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(n_blocks)]
         for e, u in enumerate(unit):
             for f, w in u.items():
@@ -112,7 +132,7 @@ class Index:
 
     def unit(self, counts: dict[int, int]) -> dict[int, float]:
         """The TF-IDF vector of length 1."""
-        raw = {f: (1 + math.log(n)) * float(self.idf[f]) for f, n in counts.items()}
+        raw = {f: n * float(self.idf[f]) for f, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {f: w / norm for f, w in raw.items()} if norm else {}
 
@@ -152,11 +172,13 @@ class Index:
 
     def _calibrate(self, unit: list[dict[int, float]]) -> None:
         """Isotonic regression of the labels on leave-one-out votes."""
-        known: dict[tuple, float] = {}
-        votes = []
+        votes, alone = [], {}
         for e, u in enumerate(unit):
-            votes.append(self.vote(u, e)[0])
-        del known
+            # Examples with but one term are alike; leaving out one or another of many changes nothing.
+            key = (*u, self.labels[e]) if len(u) == 1 else e
+            if key not in alone:
+                alone[key] = self.vote(u, e)[0]
+            votes.append(alone[key])
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []
         for i in order.tolist():
@@ -190,11 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         n = float(n1 + n0)
         off = F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))
         chi = n * off * off / ((F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b")) * float(max(n1, 1)) * float(max(n0, 1)))
-        used = seen.where((F.col("a") + F.col("b") >= LEAST_SEEN) & (F.col("a") + F.col("b") < n)).select("term", "a", "b", F.round(chi, 6).alias("chi")).where("chi > 10.83")
+        used = seen.where((F.col("a") + F.col("b") >= max(LEAST_SEEN, LEAST_SHARE * n1)) & (F.col("a") + F.col("b") < n)).select("term", "a", "b", F.round(chi, 6).alias("chi")).where("chi > 10.83")
         used = used.orderBy(F.desc("chi"), "term").limit(max_features).collect()
         vocabulary = [r.term for r in used]
         idf = np.array([math.log((1 + n) / (1 + r.a + r.b)) + 1 for r in used])
-        rows = texts.select("id", "text", "label").mapInArrow(_vectors({w: i for i, w in enumerate(vocabulary)}), "id bigint, label int, feature array<int>, n array<int>").collect()
+        rows = texts.select("id", "text", "label").mapInArrow(_vectors({w: i + 1 for i, w in enumerate(vocabulary)}), "id bigint, label int, feature array<int>, n array<int>").collect()
     finally:
         texts.unpersist()
     return Index(vocabulary, idf, [r.id for r in rows], [r.label for r in rows], [list(zip(r.feature, r.n, strict=True)) for r in rows], k, block, share)
@@ -208,7 +230,9 @@ def _score(index: Broadcast):
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(1).to_pylist():
-                found = tuple(sorted((vocabulary[w], n) for w, n in terms(text).items() if w in vocabulary))
+                found = tuple(counts(text, vocabulary))
+                if len(found) == 1:
+                    found = ((found[0][0], 1),)  # of one term alone, any number gives one direction
                 if found not in known:
                     if len(known) > 100_000:
                         known.clear()
