@@ -188,6 +188,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The clean rows of ``docs`` with all their columns.
+
+    Rows that share an id go if one of them is contaminated; rows without an id stay.
+    """
+    bad = decontaminate(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("id").alias("__bad")).distinct()
+    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items).select(
