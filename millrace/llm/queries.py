@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, toxicity
+from . import bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_html_text": html_text.op5_html_text,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
