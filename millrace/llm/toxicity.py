@@ -7,21 +7,22 @@ of the id; copies of a text count once) and makes
   (chi-squared; each in at least 2 % of the texts of label 1), with their inverse document
   frequencies in the sample.  All other words count as one term that every text has, with the
   small weight ``COMMON``; so a vector's direction tells how densely a text holds the others;
-* an inverted index of the examples' unit TF-IDF vectors in blocks of ``block`` examples, with the
-  largest weight of each term in each block (block-max);
+* an index of the examples' unit TF-IDF vectors in blocks of ``block`` points (examples with equal
+  vectors are one), with the largest weight of each term in each block (block-max);
 * a calibration of votes to probabilities, from the examples' own leave-one-out votes.
 
-``score`` finds, for each text, the ``k`` examples of largest cosine exactly: blocks are taken in
-the order of their upper bounds (query times block-max), and the search ends when no block left
-can hold a nearer one.  Their labels vote with weights that grow as the distance shrinks.
-What is broadcast is the index alone, whose size the parameters bound.
+``score`` finds, for each text, the ``k`` points of largest cosine exactly: the block of the
+highest upper bound (query times block-max) is opened first, then those whose bound reaches the
+k-th cosine so far, for all texts of a batch together.  Their labels vote with weights that grow
+as the distance shrinks.  What is broadcast is the index alone, of at most
+``16 * max_examples * (max_features + 1)`` bytes.
 
 Defined results
 ---------------
 * Terms are runs of letters, lower-cased, and the first five letters of longer ones with a ``^``.
 * A text without words (null, empty, digits alone) has the zero vector; its cosine is 1 with
   examples that have the zero vector too; without such examples its score is the share of label 1.
-* Of equal cosines the example with the smaller id is nearer.
+* Of equal cosines (to six digits) the point with the smaller example id is nearer.
 * Without labelled rows, or with labels of one kind only, all scores are the share of label 1
   (0.0 where nothing is labelled).
 * Labels other than 0 and 1, null ids and labelled ids without a text are left out of fitting.
@@ -41,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_EXAMPLES, MAX_FEATURES, K_NEAREST, BLOCK = 8_000, 1_024, 15, 64
+MAX_EXAMPLES, MAX_FEATURES, K_NEAREST, BLOCK = 4_000, 256, 15, 64
 LEAST_SEEN, LEAST_SHARE, COMMON = 3, 0.02, 0.02
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -104,31 +105,42 @@ def _vectors(vocabulary: dict[str, int]):
 
 
 class Index:
-    """Block-max inverted index of labelled examples, and the calibration of their votes."""
+    """Block-max index of labelled examples, and the calibration of their votes.
+
+    Examples with equal vectors are one point, whose label is their share of label 1 (as if the
+    sample had the labels' true shares).  Points that are alike share blocks.
+    """
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[list[tuple[int, int]]], k: int, block: int, share: float):
-        order = sorted(range(len(ids)), key=lambda i: (labels[i], vectors[i], ids[i]))  # like examples share blocks
         self.terms, self.idf = ["*", *vocabulary], np.concatenate(([COMMON], idf))
         self.vocabulary = {w: i for i, w in enumerate(self.terms) if i}
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.labels = np.array([labels[i] for i in order], np.float64)
         self.k, self.block, self.share = k, block, share
-        unit = [self.unit(dict(vectors[i])) for i in order]
-        self.empty = np.array([not u for u in unit], bool)
-        n_blocks = -(-len(order) // block)
-        self.bound = np.zeros((len(self.terms), n_blocks), np.float32)
-        self.posting: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(n_blocks)]
-        for e, u in enumerate(unit):
-            for f, w in u.items():
-                self.bound[f, e // block] = max(self.bound[f, e // block], np.nextafter(np.float32(w), np.float32(2)))
-                self.posting[e // block].setdefault(f, []).append((e % block, w))
-        self.posting = [{f: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for f, p in b.items()} for b in self.posting]
-        ones = max(1.0, self.labels.sum())
-        #: Votes count as if the sample had the labels' true shares.
-        self.weight = np.where(self.labels > 0, share / ones, (1 - share) / max(1.0, len(order) - ones))
+        points: dict[tuple, list[int]] = {}
+        for i, y, v in zip(ids, labels, vectors, strict=True):
+            point = points.setdefault(tuple((f, round(w, 6)) for f, w in self.unit(dict(v)).items()), [0, 0, i])
+            point[1 - y] += 1
+            point[2] = min(point[2], i)
+        zero = points.pop((), None)
+        order = sorted(points)
+        self.n1, self.n0, self.example = (np.array([points[x][c] for x in order], np.int64) for c in range(3))
+        ones, noughts = sum(labels), len(labels) - sum(labels)
+        self.w1, self.w0 = share / max(1, ones), (1 - share) / max(1, noughts)
+        self.label = self._share(self.n1, self.n0)
+        self.zero = self._share(*zero[:2]) if zero else share
+        self.rank = np.argsort(np.argsort(self.example, kind="stable"), kind="stable")
+        self.by_rank = np.argsort(self.rank)
+        self.weight = np.zeros((len(order), len(self.terms)))
+        for p, vector in enumerate(order):
+            for f, w in vector:
+                self.weight[p, f] = w
+        #: The largest weight of each term in each block.
+        self.bound = np.array([self.weight[b : b + block].max(axis=0) for b in range(0, len(order), block)]).reshape(-1, len(self.terms))
         self.steps = [(0.0, 0.0), (1.0, 1.0)]
-        if 0 < self.labels.sum() < len(order):
-            self._calibrate(unit)
+        if ones and noughts and order:
+            self._calibrate()
+
+    def _share(self, n1, n0):
+        return n1 * self.w1 / np.maximum(n1 * self.w1 + n0 * self.w0, 1e-300)
 
     def unit(self, counts: dict[int, int]) -> dict[int, float]:
         """The TF-IDF vector of length 1."""
@@ -136,62 +148,88 @@ class Index:
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {f: w / norm for f, w in raw.items()} if norm else {}
 
-    def nearest(self, query: dict[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples; equal cosines by id."""
-        if not query:
-            at = np.flatnonzero(self.empty)
-            at = at[at != but]
-            at = at[np.argsort(self.ids[at])][:k]
-            if len(at):
-                return at, np.ones(len(at))
-        features = np.fromiter(query, np.int64, len(query))
-        upper = np.array([query[f] for f in features.tolist()], np.float32) @ self.bound[features] if query else np.zeros(len(self.posting), np.float32)
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-upper, kind="stable").tolist():
-            if len(best) >= k and upper[b] + 1e-5 < best[k - 1]:
-                break
-            size = min(self.block, len(self.ids) - b * self.block)
-            cosine = np.zeros(size)
-            for f, (i, w) in self.posting[b].items() if len(self.posting[b]) < len(query) else ((f, self.posting[b][f]) for f in query if f in self.posting[b]):
-                if f in query:
-                    cosine[i] += w * query[f]
-            at = np.arange(size) + b * self.block
-            fit = (at != but) & (cosine > 0)
-            at, cosine = np.concatenate((best_at, at[fit])), np.round(np.concatenate((best, cosine[fit])), 12)
-            keep = np.lexsort((self.ids[at], -cosine))[:k]
-            best_at, best = at[keep], cosine[keep]
-        return best_at, best
-
-    def vote(self, query: dict[int, float], but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of label 1 among the nearest, each weighted by 1 / (distance + 0.05)."""
-        at, cosine = self.nearest(query, self.k, but)
-        if not len(at):
-            return self.share, at, cosine
-        w = self.weight[at] / (1.0 - np.minimum(cosine, 1.0) + 0.05)
-        return float((w * self.labels[at]).sum() / w.sum()), at, cosine
-
-    def _calibrate(self, unit: list[dict[int, float]]) -> None:
+    def matrix(self, vectors: list[tuple]) -> np.ndarray:
+        out = np.zeros((len(vectors), len(self.terms)))
+        for d, v in enumerate(vectors):
+            for f, w in self.unit(dict(v)).items():
+                out[d, f] = w
+        return out
+
+    def _keys(self, queries: np.ndarray, block: int) -> np.ndarray:
+        """Cosines with a block's points, and the points' ranks, in one sortable number each."""
+        at = slice(block * self.block, (block + 1) * self.block)
+        cosine = np.rint(np.minimum(queries @ self.weight[at].T, 1.0) * 1e6).astype(np.int64)
+        return cosine << 24 | (1 << 24) - 1 - self.rank[at]
+
+    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points and cosines of the k nearest points of each query, exactly; -1 where there are fewer."""
+        best = np.full((len(queries), k), -1, np.int64)
+
+        def merge(rows: np.ndarray, block: int) -> None:
+            keys = np.concatenate((best[rows], self._keys(queries[rows], block)), axis=1)
+            best[rows] = np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:]
+
+        upper = queries @ self.bound.T
+        first = upper.argmax(axis=1) if len(self.bound) else np.zeros(0, np.int64)
+        for b in np.unique(first).tolist():
+            merge(np.flatnonzero(first == b), b)
+        for b in np.argsort(-upper.max(axis=0, initial=0), kind="stable").tolist():
+            # A block is opened for the queries for which it may hold a point as near as the k-th so far.
+            least = np.where(best.min(axis=1) < 0, -1.0, (best.min(axis=1) >> 24) / 1e6)
+            rows = np.flatnonzero((first != b) & (upper[:, b] + 2e-6 >= least))
+            if len(rows):
+                merge(rows, b)
+        best = -np.sort(-best, axis=1)
+        none = best < 0
+        at = self.by_rank[np.where(none, 0, (1 << 24) - 1 - (best & (1 << 24) - 1))] if len(self.by_rank) else np.zeros(best.shape, np.int64)
+        return np.where(none, -1, at), np.where(none, 0.0, (best >> 24) / 1e6)
+
+    def votes(self, at: np.ndarray, cosine: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Labels weighted by 1 / (distance + 0.05)."""
+        w = np.where(at < 0, 0.0, 1.0 / (1.05 - cosine))
+        total = w.sum(axis=1)
+        return np.where(total > 0, (w * label).sum(axis=1) / np.maximum(total, 1e-300), self.share)
+
+    def _calibrate(self) -> None:
         """Isotonic regression of the labels on leave-one-out votes."""
-        votes, alone = [], {}
-        for e, u in enumerate(unit):
-            # Examples with but one term are alike; leaving out one or another of many changes nothing.
-            key = (*u, self.labels[e]) if len(u) == 1 else e
-            if key not in alone:
-                alone[key] = self.vote(u, e)[0]
-            votes.append(alone[key])
-        order = np.argsort(votes, kind="stable")
-        pools: list[list[float]] = []
-        for i in order.tolist():
-            pools.append([votes[i], self.weight[i] * self.labels[i], self.weight[i]])
-            while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]):
+        pairs: list[list[float]] = []
+        for lo in range(0, len(self.weight), 1024):
+            own = np.arange(lo, min(lo + 1024, len(self.weight)))
+            at, cosine = self.nearest(self.weight[own], self.k + 1)
+            for y, n in ((1, self.n1[own]), (0, self.n0[own])):
+                label = self.label[at]
+                mine = at == own[:, None]
+                left = self._share(np.maximum(self.n1[own] - y, 0), np.maximum(self.n0[own] - (1 - y), 0))
+                label = np.where(mine, left[:, None], label)
+                alone = mine & ((self.n1 + self.n0)[own] == 1)[:, None]
+                vote = self.votes(np.where(alone, -1, at), cosine, label)
+                pairs += [[v, y * m * self.w1, m * (self.w1 if y else self.w0)] for v, m in zip(vote.tolist(), n.tolist(), strict=True) if m]
+        pools: list[list[float]] = []  # sum of votes times weights, label weights, weights
+        for v, y, w in sorted(pairs):
+            pools.append([v * w, y, w])
+            while len(pools) > 1 and (pools[-2][0] / pools[-2][2] >= pools[-1][0] / pools[-1][2] or pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]):
                 last = pools.pop()
-                pools[-1] = [last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
-        tiny = self.weight.min()
-        self.steps = [(v, (y + tiny * self.share) / (w + tiny)) for v, y, w in pools]
+                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+        tiny = min(self.w1, self.w0)
+        self.steps = [(v / w, (y + tiny * self.share) / (w + tiny)) for v, y, w in pools]
 
-    def calibrated(self, vote: float) -> float:
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
         xs, ys = zip(*self.steps, strict=True)
-        return float(np.clip(np.interp(vote, xs, ys), 0.0, 1.0))
+        return np.clip(np.interp(votes, xs, ys), 0.0, 1.0)
+
+    def score(self, vectors: list[tuple]) -> list[tuple[float, str]]:
+        """Score and evidence of each vector."""
+        out: list[tuple[float, str]] = []
+        for lo in range(0, len(vectors), 512):
+            part = vectors[lo : lo + 512]
+            queries = self.matrix(part)
+            at, cosine = self.nearest(queries, self.k)
+            score = self.calibrated(self.votes(at, cosine, self.label[at] if len(self.label) else np.zeros(at.shape)))
+            for d, v in enumerate(part):
+                near = ",".join(f"{self.example[a]}:{c:.3f}:{self.label[a]:.2f}" for a, c in zip(at[d, :3].tolist(), cosine[d, :3].tolist(), strict=True) if a >= 0)
+                top = ",".join(self.terms[f] for f in sorted((f for f, _ in v), key=lambda f: (-queries[d, f], f))[:3])
+                out.append((float(score[d]) if v else float(self.zero), f"{near if v else ''}|{top}"))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES,
@@ -225,31 +263,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _score(index: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Index = index.value
-        vocabulary = model.vocabulary
         known: dict[tuple, tuple[float, str]] = {}
         for batch in batches:
-            scores, evidence = [], []
+            if len(known) > 100_000:
+                known.clear()
+            found = []
             for text in batch.column(1).to_pylist():
-                found = tuple(counts(text, vocabulary))
-                if len(found) == 1:
-                    found = ((found[0][0], 1),)  # of one term alone, any number gives one direction
-                if found not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    query = model.unit(dict(found))
-                    vote, at, cosine = model.vote(query)
-                    top = sorted(query, key=lambda f: (-query[f], f))[:3]
-                    known[found] = (model.calibrated(vote), ",".join(f"{model.ids[a]}:{c:.3f}:{int(model.labels[a])}" for a, c in zip(at[:3].tolist(), cosine[:3].tolist(), strict=True)) + "|" + ",".join(model.terms[f] for f in top))
-                s, e = known[found]
-                scores.append(s)
-                evidence.append(e)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], ["id", "score", "evidence"])
+                v = tuple(counts(text, model.vocabulary))
+                found.append(((v[0][0], 1),) if len(v) == 1 else v)  # of one term alone, any number gives one direction
+            new = list({v for v in found if v not in known})
+            known.update(zip(new, model.score(new), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[v][0] for v in found], pa.float64()), pa.array([known[v][1] for v in found], pa.string())], ["id", "score", "evidence"])
 
     return run
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, evidence: the three nearest examples as id:cosine:label, then the text's heaviest terms."""
+    """id, score, evidence: the three nearest points as example:cosine:label share, then the text's heaviest terms."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(index)), f"id {docs.schema['id'].dataType.simpleString()}, score double, evidence string")
 
