@@ -59,3 +59,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, records: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default of 10,000, which texts make large; a value set by the user stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(records))

@@ -46,7 +46,7 @@ from ._kernel import U64
 
 ORDER = 2
 #: n-grams that a shard gets on average, and tokens that a task counts or scores at once.
-SHARD_NGRAMS, TASK_TOKENS = 1_500_000, 1_500_000
+SHARD_NGRAMS, TASK_TOKENS = 700_000, 700_000
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _C = U64(0x9E3779B97F4A7C15)
 SCHEMA = "kind int, shard int, block binary, stats array<bigint>"
@@ -222,11 +222,14 @@ def _counts_of_counts(count: np.ndarray) -> list[int]:
 
 
 def _reduce(order: int, bits: int, folder: str):
-    """The blocks of a shard -> its file, and blocks of the next lower order."""
+    """The blocks of a shard -> its file, and blocks of the next lower order.  Those of words (kind 0) are summed and passed on."""
     width = 2 * (order - 1)
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
+        if table.column("kind")[0].as_py() == 0:
+            words, n = _summed(table)
+            return pa.Table.from_batches([_rows([(0, shard, pack([words], n))])])
         parts = [unpack(b.as_py(), width) for b in table.column("block")]
         columns = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
         count = np.concatenate([p[1] for p in parts])
@@ -255,6 +258,22 @@ def _reduce(order: int, bits: int, folder: str):
     return run
 
 
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of blocks of words, and their counts; a sum that 32 bits don't hold goes on in parts."""
+    parts = [unpack(b.as_py(), 1) for b in table.column("block")]
+    word, count = np.concatenate([p[0][0] for p in parts]), np.concatenate([p[1] for p in parts])
+    by = np.argsort(word, kind="stable")
+    at = _runs(word[by])
+    total, word = np.add.reduceat(count[by], at), word[by[at]]
+    most = 2**32 - 1
+    times = total // (most + 1) + 1
+    out = np.repeat(word, times)
+    first = np.cumsum(times) - times
+    part = np.full(len(out), most, np.int64)
+    part[first] = total - most * (times - 1)
+    return out, part
+
+
 def _reduce_words(bits: int, folder: str):
     """The blocks of a shard of words: counts (kind 0) and continuation counts (kind 1) -> its file."""
 
@@ -346,32 +365,26 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, folder:
     if order < 2:
         raise ValueError("order must be at least 2")
     spark = texts.sparkSession
+    _io.bounded_batches(spark)
     folder = _qualified(spark, folder or _io.scratch(spark, "kneser-ney"))
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 6)).first()[0] or 0
     shards = max(16, size // 6 // SHARD_NGRAMS)
     bits = int(shards - 1).bit_length()
     model = Model(folder, order, bits)
-    blocks = _io.materialise(texts.mapInArrow(_count(order, bits), SCHEMA), "ngrams")
-    words = blocks.where("kind = 0")
+    blocks = texts.mapInArrow(_count(order, bits), SCHEMA)
     for k in range(order, 1, -1):
-        lower = _io.materialise(blocks.where(F.col("kind") == k).groupBy("shard").applyInArrow(_reduce(k, bits, folder), SCHEMA), f"order-{k}")
+        lower = _io.materialise(blocks.where("kind >= 0").groupBy("kind", "shard").applyInArrow(_reduce(k, bits, folder), SCHEMA), f"order-{k}")
         n = [r["stats"] for r in lower.where(F.col("kind") == -k).select("stats").collect()]  # four numbers a shard
         model.discount[k] = discounts([sum(x) for x in zip(*n, strict=True)] or [0] * 4)
-        _io.drop(spark, _folder_of(blocks)) if k < order else None
         blocks = lower
-    stats = _io.materialise(words.unionByName(blocks.where("kind = 1")).groupBy("shard").applyInArrow(_reduce_words(bits, folder), SCHEMA), "words").select("stats").collect()
+    stats = _io.materialise(blocks.where("kind >= 0").groupBy("shard").applyInArrow(_reduce_words(bits, folder), SCHEMA), "words").select("stats").collect()
     total = [sum(x) for x in zip(*(r["stats"] for r in stats), strict=True)] or [0] * 10
     model.train_tokens, model.vocabulary, model.continuations, model.leave = total[0], total[1], total[2], total[3:6]
     model.discount[1] = discounts(total[6:])
     return model
 
 
-def _folder_of(df: DataFrame) -> str:
-    files = df.inputFiles()
-    return files[0].rsplit("/", 1)[0] if files else ""
-
-
 def _score(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm: Model = model.value
@@ -404,6 +417,7 @@ def _score(model: Broadcast):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (log10), perplexity."""
+    _io.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
