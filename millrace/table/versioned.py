@@ -200,7 +200,7 @@ class VersionedTable:
         if more and not merge_schema:
             raise E.SchemaMismatch(f"columns {[f.name for f in more]} are not in the table; pass merge_schema to add them", added=[f.name for f in more])
         for f in df.schema:
-            if f.name in have and f.dataType != have[f.name] and not (isinstance(f.dataType, T.NumericType) and isinstance(have[f.name], T.NumericType)):
+            if f.name in have and f.dataType.simpleString() != have[f.name].simpleString() and not (isinstance(f.dataType, T.NumericType) and isinstance(have[f.name], T.NumericType)):
                 raise E.SchemaMismatch(f"column {f.name} is {f.dataType.simpleString()}, the table has {have[f.name].simpleString()}", column=f.name)
         whole = T.StructType([*schema.fields, *(T.StructField(f.name, f.dataType) for f in more)])
         given = set(df.columns)
