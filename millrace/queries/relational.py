@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import flag_excluded, null_safe_not_equal, optional_filter
 from ..operators import aggregates, projections
@@ -243,12 +244,12 @@ def _(t):
 UPPER = "SELECT c_custkey, upper(c_name) AS name FROM customer"
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def upper_by_row(s):
     return None if s is None else s.upper()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def upper_by_batch(s: pd.Series) -> pd.Series:
     return s.str.upper()
 
