@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[n
     after[-1], after[:-1] = False, mask[1:]
     after[cut - 1] = False
     ends = np.flatnonzero(mask & ~after) + 1
-    up, down = _powers(max(CHUNK_BYTES * 2, 1 << int(n).bit_length()))
+    up, down = _powers(max(CHUNK_BYTES, 1 << int(n - 1).bit_length()))
     run = np.zeros(n + 1, U64)
     np.cumsum(_BYTE[low] * up[:n], out=run[1:])
     return low, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, mix((run[ends] - run[starts]) * down[starts])

@@ -7,8 +7,8 @@ rank) to the positions of its left part.  Merges are replayed in rank order from
 touches only the neighbours of its positions, whose new pairs enter the index.  As pieces never
 touch, one replay encodes all of them as if each were encoded alone.
 
-Chunks and pieces already encoded by a worker are remembered up to ``cache_chunks`` of each; what
-was used longest ago is forgotten beyond that, which changes speed, not results.  No shuffle is needed.
+Chunks and pieces already encoded by a worker are remembered up to about ``cache_chunks``; what was
+used longest ago is forgotten beyond that, which changes speed, not results.  No shuffle is needed.
 
 Defined results
 ---------------
@@ -33,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_CHUNKS = 1_000_000
+from . import _io
+
+CACHE_CHUNKS = 700_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +56,7 @@ class Replay:
 
     def look(self, key: int) -> int:
         rank = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
-        if len(self.pair) < 2_000_000:
+        if len(self.pair) < 400_000:
             self.pair[key] = rank
         return rank
 
@@ -141,10 +143,13 @@ class Memory:
     def __init__(self, most: int):
         self.half, self.young, self.old = most // 2, {}, {}
 
-    def lacking(self, keys: set) -> list:
-        """Brings known keys to the younger half; returns the others."""
+    def turn(self) -> None:
+        """To be called when no key is in use."""
         if len(self.young) > self.half:
             self.young, self.old = {}, self.young
+
+    def lacking(self, keys: set) -> list:
+        """Brings known keys to the younger half; returns the others."""
         young, old, out = self.young, self.old, []
         for k in keys - young.keys():
             if k in old:
@@ -167,39 +172,46 @@ class Codec:
 
         self.replay = Replay(load_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.chunks, self.pieces = Memory(cache_chunks), Memory(cache_chunks)
+        #: Chunks and pieces that begin with a blank, by what follows it; other pieces.
+        self.spaced, self.bare = Memory(cache_chunks), Memory(cache_chunks // 4)
         self.bytes_of = [self.replay.token.get(i, b"") for i in range(max(self.replay.token) + 1)]
 
-    def _encode(self, parts: list[list[str]]) -> list[bytes]:
-        """Encodes lists of pieces, all new ones in one replay."""
-        new = self.pieces.lacking({p for x in parts for p in x})
-        young = self.pieces.young
-        for p, ids in zip(new, self.replay.encode([p.encode() for p in new]), strict=True):
-            young[p] = np.array(ids, "<u4").tobytes()
-        return [young[x[0]] if len(x) == 1 else b"".join([young[p] for p in x]) for x in parts]
+    def _learn(self, parts: list[list[str]]) -> None:
+        """Encodes all pieces that aren't known, in one replay."""
+        spaced = self.spaced.lacking({p[1:] for x in parts for p in x if p[0] == " "})
+        bare = self.bare.lacking({p for x in parts for p in x if p[0] != " "})
+        ids = self.replay.encode([*((" " + p).encode() for p in spaced), *(p.encode() for p in bare)])
+        packed = [np.array(x, "<u4").tobytes() for x in ids]
+        self.spaced.young.update(zip(spaced, packed, strict=False))
+        self.bare.young.update(zip(bare, packed[len(spaced) :], strict=True))
+
+    def _of(self, pieces: list[str]) -> bytes:
+        spaced, bare = self.spaced.young, self.bare.young
+        return b"".join([spaced[p[1:]] if p[0] == " " else bare[p] for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        self.spaced.turn()
+        self.bare.turn()
         cut = [t.split(" ") for t in texts]
         heads = [x.pop(0) for x in cut]
-        new = self.chunks.lacking(set().union(*cut))
-        touched = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
-        young = self.chunks.young
-        plain = [c for c in new if c not in touched]
-        for c, ids in zip(plain, self._encode([[" " + c] if c.isalpha() else self.split(" " + c) for c in plain]), strict=True):
-            young[c] = ids
-        for c in touched:
-            young[c] = None
-        known, bodies = young.__getitem__, []
-        for k, (head, x) in enumerate(zip(heads, cut, strict=True)):
-            try:
-                if x and head and head[-1].isspace():
-                    raise TypeError
-                bodies.append(b"".join(map(known, x)))
-            except TypeError:  # white space touches a cut
-                bodies.append(b"")
-                heads[k] = texts[k]
-        return [a + b for a, b in zip(self._encode([self.split(h) for h in heads]), bodies, strict=True)]
+        touched, words, parts = set(), [], {}
+        for c in self.spaced.lacking(set().union(*cut)):
+            if c.isalpha():
+                words.append([" " + c])  # one piece
+            elif not c or c[0].isspace() or c[-1].isspace():
+                touched.add(c)
+            else:
+                parts[c] = self.split(" " + c)
+        whole = [k for k, (head, x) in enumerate(zip(heads, cut, strict=True)) if x and (head and head[-1].isspace() or not touched.isdisjoint(x))]
+        for k in whole:  # white space touches a cut
+            heads[k], cut[k] = texts[k], []
+        first = [self.split(h) for h in heads]
+        self._learn([*words, *parts.values(), *first])
+        known = self.spaced.young
+        known.update({c: self._of(x) for c, x in parts.items()})
+        known = known.__getitem__
+        return [self._of(h) + b"".join(map(known, x)) for h, x in zip(first, cut, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -219,25 +231,28 @@ def _locate(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def _slices(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of about ``most`` characters; only these are Python objects at a time."""
+    now: list[str] = []
     lo = size = 0
-    for k, t in enumerate(texts):
+    for k, text in enumerate(texts):
+        t = text.as_py() or ""
         if size and size + len(t) > most:
-            yield lo, k
-            lo, size = k, 0
+            yield lo, now
+            lo, size, now = k, 0, []
+        now.append(t)
         size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+    if now:
+        yield lo, now
 
 
 def _run(path: str, pattern: str, cache_chunks: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(_locate(path), pattern, cache_chunks)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _slices(texts):
-                ids = codec.encode(texts[lo:hi])
-                keys, n = batch.column(0).slice(lo, hi - lo), pa.array([len(x) // 4 for x in ids], pa.int64())
+            for lo, texts in _slices(batch.column(1)):
+                ids = codec.encode(texts)
+                keys, n = batch.column(0).slice(lo, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64())
                 if digests:
                     sha = [hashlib.sha256(x).hexdigest() for x in ids]
                     back = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
@@ -251,6 +266,7 @@ def _run(path: str, pattern: str, cache_chunks: int, digests: bool):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    _io.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return docs, docs.schema["id"].dataType.simpleString()
 
