@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _io
 from . import _kernel as K
 from ._kernel import U64
 
@@ -165,6 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``block_windows`` bounds what is broadcast at once; more windows take more passes, not more memory.
     """
     spark = docs.sparkSession
+    _io.bounded_batches(spark)
     blocks, now, size = [], [], 0
     for row in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.coalesce(F.col(item_text_col), F.lit(""))).toLocalIterator():
         now.append((row[0], row[1]))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _io
+
 # Groups: end tag's name; start tag's name, attributes; text.  What matches none is passed over.
 _token = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>?|([^<]+|<)", re.S).finditer
 _attribute = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?").findall
@@ -317,6 +319,7 @@ def _run(title: bool):
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", title: bool = False) -> DataFrame:
     """id, text, n_chars, text_sha256: one row for each row of ``pages``."""
+    _io.bounded_batches(pages.sparkSession)
     pages = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
     return pages.mapInArrow(_run(title), f"id {pages.schema['id'].dataType.simpleString()}, text string, n_chars bigint, text_sha256 string")
 

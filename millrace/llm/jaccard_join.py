@@ -44,7 +44,7 @@ from ._kernel import U64
 
 WIDTH, THRESHOLD, TREES, MAX_DEPTH, RECALL = 5, 0.8, 16, 8, 0.9995
 #: Members and shingles of a block; a unit of work holds two blocks.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 400_000
 
 
 def depth_for(threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL) -> int:
@@ -206,6 +206,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL) -> DataFrame:
     """id, copy_id (representative of equal shingle sets), class_id, n_links, one row for each row of ``docs``."""
     depth = depth_for(threshold, trees, max_depth, recall)
+    _io.bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     signs = _io.materialise(texts.mapInArrow(_sign(width, trees, depth), "id bigint, digest binary, size bigint, keys array<bigint>"), "signatures")
     known = signs.where("size > 0 AND id IS NOT NULL")

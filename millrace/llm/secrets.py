@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _io
 from . import spans as S
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -133,6 +134,7 @@ def _run(window: int):
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, joined), novelty (array)."""
+    _io.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(_run(window), f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, novelty array<double>")

@@ -42,6 +42,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _io
+
 MAX_EXAMPLES, MAX_FEATURES, K_NEAREST, BLOCK = 4_000, 256, 15, 64
 LEAST_SEEN, LEAST_SHARE, COMMON = 3, 0.02, 0.02
 _words = re.compile(r"[^\W\d_]+").findall
@@ -236,6 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         max_features: int = MAX_FEATURES, k: int = K_NEAREST, block: int = BLOCK) -> Index:
     """``labels``: id and label, of the rows that may be learnt from.  At most 2 * max_examples texts are used."""
     spark = docs.sparkSession
+    _io.bounded_batches(spark)
     given = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").distinct()
     count = {r.label: r["count"] for r in given.groupBy("label").count().collect()}
     share = count.get(1, 0) / max(1, sum(count.values()))
@@ -265,7 +268,7 @@ def _score(index: Broadcast):
         model: Index = index.value
         known: dict[tuple, tuple[float, str]] = {}
         for batch in batches:
-            if len(known) > 100_000:
+            if len(known) > 20_000:
                 known.clear()
             found = []
             for text in batch.column(1).to_pylist():
@@ -280,6 +283,7 @@ def _score(index: Broadcast):
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score, evidence: the three nearest points as example:cosine:label share, then the text's heaviest terms."""
+    _io.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(index)), f"id {docs.schema['id'].dataType.simpleString()}, score double, evidence string")
 
