@@ -201,8 +201,8 @@ class Classifier:
                     ratio = np.log(self.reliability[k, j, 1] / self.reliability[k, j, 0])
                     logit[own] += ratio[ballot[own, j]]
             soft = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        x = np.array([self.features(*p) for p in parts]).reshape(len(codes), -1)
-        self.weights = np.zeros(x.shape[1]) if len(codes) else np.zeros(1)
+        x = np.array([self.features(*p) for p in parts]).reshape(len(codes), 1 + len(KINDS) + 3 * LABELERS + 8)
+        self.weights = np.zeros(x.shape[1])
         for _ in range(25 if len(codes) else 0):  # Newton steps with a ridge
             p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
             w = n / n.sum()
@@ -253,6 +253,7 @@ def _decide(probability: Broadcast, least: float):
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, joined)."""
+    _io.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     found = _io.materialise(docs.mapInArrow(_candidates, f"id {kind}, found array<struct<kind:string,s:bigint,e:bigint,base:boolean,code:bigint>>"), "candidates")
