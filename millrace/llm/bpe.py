@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import _io
 
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 1_400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,91 +50,90 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        #: left << 32 | right -> the rank of the token that both make, or -1; filled as pairs occur.
-        self.pair: dict[int, int] = {}
-
-    def look(self, key: int) -> int:
-        rank = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
-        if len(self.pair) < 400_000:
-            self.pair[key] = rank
-        return rank
-
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece."""
-        single, known, look = self.single, self.pair.get, self.look
-        ids: list[int] = []
-        first: list[int] = []
-        for piece in pieces:
-            first.append(len(ids))
-            ids += [single[b] for b in piece]
-            ids.append(-1)  # a wall: no pair crosses it
-        n = len(ids)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        #: Rank of the token that two bytes make, or -1.
+        self.first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
+        #: By token: its neighbours on the right, on the left -> rank of what both make, or -1; filled as they meet.
+        self.right: dict[int, dict[int, int]] = {}
+        self.left: dict[int, dict[int, int]] = {}
+        self.met = 0
+
+    def look(self, a: int, b: int) -> int:
+        return self.ranks.get(self.token[a] + self.token[b], -1)
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each piece."""
+        if self.met > 400_000:
+            self.right, self.left, self.met = {}, {}, 0
+        size = np.array([len(p) for p in pieces], np.int64)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data) + len(pieces)
+        # Each piece is followed by a wall, -1, that no pair crosses.
+        at = np.arange(len(data)) + np.repeat(np.arange(len(pieces)), size)
+        layout = np.full(n, -1, np.int64)
+        layout[at] = self.single[data]
+        pair = np.full(n, -1, np.int64)
+        inner = np.flatnonzero(np.diff(at) == 1)
+        pair[at[inner]] = self.first[data[inner], data[inner + 1]]
+        # The index: rank of a possible merge -> positions of its left parts, ascending.
+        found = np.flatnonzero(pair >= 0)
+        found = found[np.argsort(pair[found], kind="stable")]
+        ranks, start = np.unique(pair[found], return_index=True)
+        places_of, edge = found.tolist(), [*start.tolist(), len(found)]
+        index = {r: places_of[edge[k] : edge[k + 1]] for k, r in enumerate(ranks.tolist())}
+        heap = list(index)
+        ids, now = layout.tolist(), pair.tolist()  # now: rank of the pair that begins at a position
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        a = -1
-        for i, b in enumerate(ids):
-            if a >= 0 and b >= 0:
-                rank = known(key := a << 32 | b)
-                if rank is None:
-                    rank = look(key)
-                if rank >= 0:
-                    if rank in index:
-                        index[rank].append(i - 1)
-                    else:
-                        index[rank] = [i - 1]
-            a = b
-        heap = sorted(index)
+        look, rights, lefts = self.look, self.right, self.left
         while heap:
             rank = heappop(heap)
             places = index.pop(rank, None)
             if places is None:
                 continue
             places.sort()
+            on_right, on_left = rights.setdefault(rank, {}), lefts.setdefault(rank, {})
+            to_right, to_left = on_right.get, on_left.get
             for i in places:
-                a = ids[i]
-                if a < 0:
+                if now[i] != rank:  # merged otherwise meanwhile
                     continue
                 j = after[i]
-                b = ids[j]
-                if b < 0:
-                    continue
-                now = known(key := a << 32 | b)
-                if (look(key) if now is None else now) != rank:
-                    continue
-                ids[i], ids[j] = rank, -2
-                k = after[i] = after[j]
-                before[k] = i
+                k = after[j]
+                ids[i], ids[j], now[j] = rank, -2, -1
+                after[i], before[k] = k, i
                 c = ids[k]
                 if c >= 0:
-                    now = known(key := rank << 32 | c)
-                    if now is None:
-                        now = look(key)
-                    if now >= 0:
-                        if now in index:
-                            index[now].append(i)
+                    r = to_right(c)
+                    if r is None:
+                        r = on_right[c] = look(rank, c)
+                        self.met += 1
+                    now[i] = r
+                    if r >= 0:
+                        if r in index:
+                            index[r].append(i)
                         else:
-                            index[now] = [i]
-                            heappush(heap, now)
+                            index[r] = [i]
+                            heappush(heap, r)
+                else:
+                    now[i] = -1
                 h = before[i]
-                if h >= 0 and (c := ids[h]) >= 0:
-                    now = known(key := c << 32 | rank)
-                    if now is None:
-                        now = look(key)
-                    if now >= 0:
-                        if now in index:
-                            index[now].append(h)
-                        else:
-                            index[now] = [h]
-                            heappush(heap, now)
-        out = []
-        for i in first:
-            piece = []
-            while ids[i] != -1:
-                piece.append(ids[i])
-                i = after[i]
-            out.append(piece)
-        return out
+                if h >= 0:
+                    c = ids[h]
+                    if c >= 0:
+                        r = to_left(c)
+                        if r is None:
+                            r = on_left[c] = look(c, rank)
+                            self.met += 1
+                        now[h] = r
+                        if r >= 0:
+                            if r in index:
+                                index[r].append(h)
+                            else:
+                                index[r] = [h]
+                                heappush(heap, r)
+        done = np.array(ids, np.int64)
+        bounds = np.concatenate(([0], np.cumsum(done >= 0)[done == -1])) * 4
+        packed = done[done >= 0].astype("<u4").tobytes()
+        return [packed[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 class Memory:
@@ -180,8 +179,7 @@ class Codec:
         """Encodes all pieces that aren't known, in one replay."""
         spaced = self.spaced.lacking({p[1:] for x in parts for p in x if p[0] == " "})
         bare = self.bare.lacking({p for x in parts for p in x if p[0] != " "})
-        ids = self.replay.encode([*((" " + p).encode() for p in spaced), *(p.encode() for p in bare)])
-        packed = [np.array(x, "<u4").tobytes() for x in ids]
+        packed = self.replay.encode([*((" " + p).encode() for p in spaced), *(p.encode() for p in bare)])
         self.spaced.young.update(zip(spaced, packed, strict=False))
         self.bare.young.update(zip(bare, packed[len(spaced) :], strict=True))
 
