@@ -213,7 +213,9 @@ def _mapped(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]
     return out
 
 
-NGRAM, WORD = ("<u8", "<u4", "<u8", "<u8", "<u4", "<u4", "<u4"), ("<u8", "<u8", "<u4")
+#: Keys, counts up to MANY in a byte; contexts, their totals and numbers of n-grams seen once, twice, more; keys and counts of MANY and more.
+NGRAM, WORD = ("<u8", "|u1", "<u8", "<u8", "<u4", "<u4", "<u4", "<u8", "<u8"), ("<u8", "<u8", "<u4")
+MANY = 255
 
 
 def _counts_of_counts(count: np.ndarray) -> list[int]:
@@ -242,7 +244,8 @@ def _reduce(order: int, bits: int, folder: str):
         to = np.argsort(columns[0], kind="stable")
         first = _runs(columns[0][to])
         sums = [np.add.reduceat(x[to].astype(np.int64), first) for x in (total, total == 1, total == 2, total >= 3)]
-        _write(folder, f"{order}-{shard}", [key, np.minimum(total, 2**32 - 1).astype("<u4"), columns[0][to][first], sums[0].astype("<u8"), *(s.astype("<u4") for s in sums[1:])])
+        often = total >= MANY
+        _write(folder, f"{order}-{shard}", [key, np.minimum(total, MANY).astype("|u1"), columns[0][to][first], sums[0].astype("<u8"), *(s.astype("<u4") for s in sums[1:]), key[often], total[often].astype("<u8")])
         # Continuations: each distinct n-gram adds one to its tail.
         tail, rest = columns[1], columns[2:]
         by = np.argsort(tail, kind="stable")
@@ -334,6 +337,10 @@ class Model:
             here = stored[at] == part
             for x, c in zip(out, columns, strict=True):
                 x[edge[s] : edge[s + 1]] = np.where(here, arrays[c][at], 0)
+            if order > 1 and not contexts and len(arrays[7]):
+                count = out[0][edge[s] : edge[s + 1]]
+                often = np.flatnonzero(count == MANY)
+                count[often] = arrays[8][np.searchsorted(arrays[7], part[often])]
         return [x[back] for x in out]
 
     def probabilities(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
