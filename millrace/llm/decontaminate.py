@@ -196,7 +196,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     Rows that share an id go if one of them is contaminated; rows without an id stay.
     """
     bad = decontaminate(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

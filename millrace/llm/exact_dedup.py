@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from . import _io
 
+#: Digests that a bucket of a fresh index holds on average, at most.
+BUCKET_DIGESTS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,37 +77,51 @@ def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("bigint").alias("id"), digest(F.col(text_col)).alias("digest"))
 
 
-def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds a batch to the index; returns id, digest, keep_id, group_size (in the index), kept, one row for each row of the batch.
+def _appended(docs: DataFrame, index: DigestIndex | None, id_col: str, text_col: str) -> tuple[DataFrame, DigestIndex]:
+    digests = _io.materialise(digests_of(docs, id_col, text_col), "digests")
+    index = index or fresh_index(docs.sparkSession, digests.count())
+    index.append(digests)
+    return digests, index
+
+
+def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds a batch to the index (an empty one by default); returns id, digest, keep_id, group_size (in the index), kept, one row for each row of the batch.
 
     The digests are written once and read by both the index's append and the final join; in that
     join both sides are shuffled, so that a digest with many copies is split by AQE.
     """
-    digests = _io.materialise(digests_of(docs, id_col, text_col), "digests")
-    index.append(digests)
+    digests, index = _appended(docs, index, id_col, text_col)
     return (digests.join(index.rows(), "digest", "left")
             .select("id", "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")))
 
 
-def fresh_index(spark: SparkSession) -> DigestIndex:
+def fresh_index(spark: SparkSession, rows: int = 0) -> DigestIndex:
+    """An empty index below the shared folder, with as many buckets as so many rows need."""
     path = _io.scratch(spark, "digest-index")
-    return DigestIndex(spark, path, path.rsplit("/", 1)[1].replace("-", "_"))
+    return DigestIndex(spark, path, path.rsplit("/", 1)[1].replace("-", "_"), buckets=min(1 << 16, max(16, 1 << (rows // BUCKET_DIGESTS).bit_length())))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns, one for each different text."""
-    spark = docs.sparkSession
-    kept = decide(docs, index or fresh_index(spark), id_col, text_col).where("kept").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    kept = _io.materialise(kept, "kept")
-    same = lambda ids: docs[id_col].cast("bigint").eqNullSafe(ids["id"])
+    digests, index = _appended(docs, index, id_col, text_col)
+    rows = digests.where("id IS NOT NULL").groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
+    kept = _io.materialise(rows.join(index.rows(), "digest").where("id = keep_id").select("id", "n"), "kept")
     once, again = (kept.where(c).select("id") for c in ("n = 1", "n > 1"))
-    out = docs.join(once, same(once), "left_semi")
-    return out.unionByName(docs.join(again, same(again), "left_semi").dropDuplicates([id_col])) if not again.isEmpty() else out
+    out = docs.join(once, docs[id_col].cast("bigint") == once["id"], "left_semi")
+    if not again.isEmpty():
+        out = out.unionByName(docs.join(again, docs[id_col].cast("bigint") == again["id"], "left_semi").dropDuplicates([id_col]))
+    if not digests.where("id IS NULL").isEmpty():
+        name = "__digest"
+        while name in docs.columns:
+            name += "_"
+        bare, named = docs.where(F.col(id_col).isNull()).withColumn(name, digest(F.col(text_col))), index.rows().where("keep_id IS NOT NULL")
+        out = out.unionByName(bare.join(named, bare[name] == named["digest"], "left_anti").dropDuplicates([name]).drop(name))
+    return out
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decide(docs, fresh_index(spark)).select(
+    return decide(docs).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

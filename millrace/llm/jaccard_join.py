@@ -25,6 +25,8 @@ Defined results
 * ``class_id``: the smallest id of all documents linked to each other directly or in a chain.
 * Every row of the input gives one row, also where ids repeat; rows without an id are left alone
   (``class_id`` null).  An empty table gives no rows.  Other columns do not matter.
+* Rows that share an id are taken for copies of one row; if their texts differ, the id's links are
+  those of one of them.
 * Shingles are compared by 64-bit hashes.
 """
 
@@ -213,9 +215,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = _io.materialise(known.groupBy("digest").agg(F.min(F.struct("id", "size", "keys")).alias("r")).select("digest", "r.*"), "representatives")
 
     # Nodes with two members or more, less those inside a node of an earlier tree.
-    at = reps.select(F.posexplode("keys").alias("tree", "key"), F.col("id").alias("rep"), "size", "keys")
+    at = reps.select(F.posexplode("keys").alias("tree", "key"), F.col("id").alias("rep"), "size")
     crowded = at.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("tree", "key")
-    at = _io.materialise(at.join(crowded, ["tree", "key"]), "crowded")
+    at = at.join(crowded, ["tree", "key"]).join(reps.select(F.col("id").alias("rep"), "keys"), "rep")  # most nodes have one member; keys come back for the rest
+    at = _io.materialise(at, "crowded")
     inside = F.lit(False)
     for t in range(trees - 1):
         inside = inside | ((F.col("tree") > t) & (F.col(f"lo{t}") == F.col(f"hi{t}")))
@@ -250,7 +253,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents that stay: the smallest id of each group, with all columns of ``docs``; rows without an id stay."""
     groups = jaccard_join(docs, id_col, text_col, **options)
     gone = groups.where("id <> class_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("bigint") == gone["__gone"], "left_anti")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

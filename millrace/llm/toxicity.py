@@ -309,4 +309,4 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows whose id is null stay; rows that share an id go if one of them is predicted toxic.
     """
     bad = score(docs, production_index(docs, labels), id_col, text_col).where("score >= 0.5").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")

@@ -38,6 +38,26 @@ def test_stages_keep_what_their_operators_keep(spark, sf_dir):
     assert bpe.production(docs.where("false")).count() == 0
 
 
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Nulls everywhere, empty and long texts, repeated rows, columns named as the operators name theirs."""
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, digest string, keep_id string, __bad bigint, __gone bigint, score double, n bigint"
+    rest = [None] * 3 + list(range(4, 6)) + [None] * 5
+    texts = [(1, None), (2, ""), (3, "a b c d e f"), (3, "a b c d e f"), (None, "A B C D E F"), (None, None), (4, "x " * 20_000), (5, "a b c d e f!"), (None, "alone")]
+    rows = [(i, t, *rest) for i, t in texts]
+    odd = spark.createDataFrame(rows, kind)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns
+        kept[name] = sorted(((r.doc_id or 0), (r.text or "")[:3]) for r in out.collect())
+        assert stage(spark, odd.where("false"), sf_dir).count() == 0
+    everything = sorted((i or 0, (t or "")[:3]) for i, t in texts)
+    assert kept["toxicity"] == kept["decontaminate"] == everything
+    assert kept["exact_dedup"] == [(0, "alo"), (2, ""), (3, "a b"), (4, "x x"), (5, "a b")]
+    assert kept["jaccard_join"] == [x for x in everything if x[0] != 5]
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).count() == len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, sf_dir, name):
     df = queries.QUERIES[name](spark, sf_dir)
