@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import _io
 
-CACHE_CHUNKS = 2_000_000
+CACHE_CHUNKS = 1_200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

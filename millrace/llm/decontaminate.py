@@ -36,7 +36,7 @@ from . import _io
 from . import _kernel as K
 from ._kernel import U64
 
-WIDTH = 10
+WIDTH, BLOCK_WINDOWS = 10, 200_000
 _PRIME = U64(0x9FB21C651E98DF25)
 
 
@@ -159,28 +159,50 @@ def _result(ids, n_words, hits, items) -> pa.RecordBatch:
         ["id", "n_words", "n_hit", "n_items", "items", "contaminated"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", width: int = WIDTH, block_windows: int = 200_000) -> DataFrame:
-    """id, n_words, n_hit, n_items, items (sorted), contaminated: one row for each document.
+def _clean(windows, column: int):
+    """Whole rows in, those of texts without a window of the block out."""
 
-    ``block_windows`` bounds what is broadcast at once; more windows take more passes, not more memory.
-    """
-    spark = docs.sparkSession
-    _io.bounded_batches(spark)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = windows.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, hi, data, offsets in K.chunks(batch.column(column)):
+                low, starts, ends, doc, hashes = K.tokens(data, offsets, K.WORD)
+                bounds = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=hi - lo))))
+                keep[lo + doc[block.match(low, starts, ends, doc, hashes, bounds)[1]]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def ordered_blocks(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> list[Windows]:
+    """The benchmark's windows in blocks, with prefix tokens by how often words occur in all of ``texts`` (one column)."""
+    _io.bounded_batches(texts.sparkSession)
     blocks, now, size = [], [], 0
-    for row in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.coalesce(F.col(item_text_col), F.lit(""))).toLocalIterator():
+    for row in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))).toLocalIterator():
         now.append((row[0], row[1]))
         size += len(row[1]) // 2 + 1
         if size >= block_windows:
             blocks, now, size = [*blocks, Windows(now, width)], [], 0
     blocks = [*blocks, Windows(now, width)] if now or not blocks else blocks
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     for block in blocks:
         counts = {}
         if len(block.words):
-            rows = out.select("text").mapInArrow(_count(block.words), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+            rows = texts.mapInArrow(_count(block.words), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most the block's words
             counts = {r.word & (1 << 64) - 1: r.n for r in rows}
         block.order(counts)
+    return blocks
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """id, n_words, n_hit, n_items, items (sorted), contaminated: one row for each document.
+
+    ``block_windows`` bounds what is broadcast at once; more windows take more passes, not more memory.
+    """
+    spark = docs.sparkSession
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = ordered_blocks(out.select("text"), benchmark, item_col, item_text_col, width, block_windows)
     none = lambda kind: F.array().cast(f"array<{kind}>")
     out = out.withColumns({"hits": none("bigint"), "items": none("string")})
     for k, block in enumerate(blocks):
@@ -190,13 +212,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The clean rows of ``docs`` with all their columns.
-
-    Rows that share an id go if one of them is contaminated; rows without an id stay.
-    """
-    bad = decontaminate(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The clean rows of ``docs`` with all their columns; each row by its own text, without a shuffle."""
+    context, column = docs.sparkSession.sparkContext, docs.columns.index(text_col)
+    out = docs
+    for block in ordered_blocks(docs.select(F.col(text_col).cast("string")), benchmark, **options):
+        out = out.mapInArrow(_clean(context.broadcast(block), column), docs.schema)
+    return out
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

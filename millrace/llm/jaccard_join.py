@@ -234,7 +234,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.col("block") != F.col("other")).cast("int").alias("crossed"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "keys")
     unit = _io.materialise(unit, "units")
     wanted = unit.select(F.col("rep").alias("id")).distinct()
-    sets = _io.materialise(texts.join(wanted, "id", "left_semi").mapInArrow(_shingle_sets(width), "rep bigint, shingles binary"), "shingle-sets").dropDuplicates(["rep"])
+    sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingle_sets(width), "rep bigint, shingles binary")
     rows = unit.join(sets, "rep").select("tree", F.concat_ws("/", "key", "pair").alias("unit"), "crossed", "side", "rep", "keys", "shingles")
     rows = rows.repartition("tree", "unit").sortWithinPartitions("tree", "unit")
     found = _io.materialise(rows.mapInArrow(_verify(threshold, trees), "rep bigint, root bigint, links bigint"), "links")

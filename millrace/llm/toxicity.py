@@ -263,20 +263,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Index(vocabulary, idf, [r.id for r in rows], [r.label for r in rows], [list(zip(r.feature, r.n, strict=True)) for r in rows], k, block, share)
 
 
+class Scorer:
+    """Scores of texts; equal vectors are searched once while they are remembered."""
+
+    def __init__(self, index: Index):
+        self.index, self.known = index, {}
+
+    def of(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        if len(self.known) > 20_000:
+            self.known.clear()
+        found = []
+        for text in texts:
+            v = tuple(counts(text, self.index.vocabulary))
+            found.append(((v[0][0], 1),) if len(v) == 1 else v)  # of one term alone, any number gives one direction
+        new = list({v for v in found if v not in self.known})
+        self.known.update(zip(new, self.index.score(new), strict=True))
+        return [self.known[v] for v in found]
+
+
 def _score(index: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Index = index.value
-        known: dict[tuple, tuple[float, str]] = {}
+        scorer = Scorer(index.value)
         for batch in batches:
-            if len(known) > 20_000:
-                known.clear()
-            found = []
-            for text in batch.column(1).to_pylist():
-                v = tuple(counts(text, model.vocabulary))
-                found.append(((v[0][0], 1),) if len(v) == 1 else v)  # of one term alone, any number gives one direction
-            new = list({v for v in found if v not in known})
-            known.update(zip(new, model.score(new), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[v][0] for v in found], pa.float64()), pa.array([known[v][1] for v in found], pa.string())], ["id", "score", "evidence"])
+            scores = scorer.of(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in scores], pa.float64()), pa.array([e for _, e in scores], pa.string())], ["id", "score", "evidence"])
+
+    return run
+
+
+def _clean(index: Broadcast, column: int):
+    """Whole rows in, those of texts that score less than 0.5 out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(index.value)
+        for batch in batches:
+            yield batch.filter(pa.array([s < 0.5 for s, _ in scorer.of(batch.column(column).cast(pa.string()).to_pylist())], pa.bool_()))
 
     return run
 
@@ -303,10 +324,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns.
-
-    Rows whose id is null stay; rows that share an id go if one of them is predicted toxic.
-    """
-    bad = score(docs, production_index(docs, labels), id_col, text_col).where("score >= 0.5").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts aren't predicted toxic, with all their columns; each row by its own text, without a shuffle."""
+    index = docs.sparkSession.sparkContext.broadcast(production_index(docs, labels))
+    return docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
