@@ -161,3 +161,23 @@ def accumulating_snapshot(events: DataFrame, key: str, stage: str, at: str, stag
     """One row for each key with the first time of each stage and the seconds between neighbours (INC-13)."""
     firsts = events.groupBy(key).agg(*(F.min(F.when(F.col(stage) == s, F.col(at).cast("timestamp"))).alias(f"{s}_at") for s in stages))
     return firsts.withColumns({f"{a}_to_{b}_seconds": F.unix_timestamp(f"{b}_at") - F.unix_timestamp(f"{a}_at") for a, b in zip(stages, stages[1:], strict=False)})
+
+
+def periodic_snapshot(events: DataFrame, keys: Sequence[str], at: str, period: str, measures: Mapping[str, Column]) -> DataFrame:
+    """One row for each key and period ("day", "week", "month", ...) with events, with additive measures (INC-13)."""
+    return events.groupBy(*keys, F.to_date(F.date_trunc(period, at)).alias("period")).agg(*(m.alias(n) for n, m in measures.items()))
+
+
+def junk_dimension(df: DataFrame, flags: Sequence[str], key: str = "junk_key") -> DataFrame:
+    """The combinations of flags that occur, each with a key made from its values, NULLs told apart (INC-13)."""
+    return df.select(*flags).distinct().withColumn(key, row_hash(*flags))
+
+
+def role_view(dim: DataFrame, role: str) -> DataFrame:
+    """A dimension under another role: all columns with its prefix, such as ship_ and order_ for dates (INC-13)."""
+    return dim.select(*(F.col(c).alias(f"{role}_{c}") for c in dim.columns))
+
+
+def factless(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """That something happened: the distinct keys of events, without measures (INC-13)."""
+    return df.select(*keys).distinct()

@@ -236,6 +236,31 @@ def _(t):
     return out.select("user_id", F.unix_timestamp("signup_at").alias("signup"), F.col("signup_to_purchase_seconds").alias("to_purchase"))
 
 
+@query("inc13_periodic_snapshot", "SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM orders GROUP BY 1, 2")
+def _(t):
+    measures = {"orders": F.count(F.lit(1)), "spent": F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")}
+    return history.periodic_snapshot(t.orders, ["o_custkey"], "o_orderdate", "month", measures)
+
+
+@query("inc13_junk_dimension", """
+  SELECT count(*) AS n, f.o_orderstatus, f.o_orderpriority, sha256(coalesce(f.o_orderstatus, '<NULL>') || '||' || coalesce(f.o_orderpriority, '<NULL>')) AS junk_key FROM orders f GROUP BY 2, 3""")
+def _(t):
+    dim = history.junk_dimension(t.orders, ["o_orderstatus", "o_orderpriority"])
+    return t.orders.join(dim, ["o_orderstatus", "o_orderpriority"]).groupBy("o_orderstatus", "o_orderpriority", "junk_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("inc13_role_playing_nations", """
+  SELECT c.n_name AS customer_n_name, s.n_name AS supplier_n_name, count(*) AS n FROM (SELECT DISTINCT c_nationkey, s_nationkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) f
+  JOIN nation c ON c.n_nationkey = f.c_nationkey JOIN nation s ON s.n_nationkey = f.s_nationkey GROUP BY 1, 2""")
+def _(t):
+    """Which nations buy from which: a factless fact with one dimension in two roles."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    fact = history.factless(rows, ["c_nationkey", "s_nationkey"])
+    buyer, seller = history.role_view(t.nation, "customer"), history.role_view(t.nation, "supplier")
+    out = fact.join(buyer, F.col("c_nationkey") == F.col("customer_n_nationkey")).join(seller, F.col("s_nationkey") == F.col("supplier_n_nationkey"))
+    return out.groupBy("customer_n_name", "supplier_n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("inc14_lifecycle_inventory", f"WITH u AS ({UPDATES_SQL}) SELECT status, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY updated DESC, status) AS rn FROM u) WHERE rn = 1 AND status <> 'X' GROUP BY 1")
 def _(t):
     from ..operators.windows import filter_after_rank

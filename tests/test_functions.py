@@ -78,3 +78,19 @@ def test_error_classes(spark):
         with pytest.raises(Exception) as caught:
             spark.sql(sql).collect()
         assert error_class(caught.value).startswith(want)
+
+
+def test_ambiguous_and_coerced_keys(spark):
+    from millrace import plans
+
+    a, b = spark.createDataFrame([("007", 1)], "k string, v int"), spark.createDataFrame([(7, 2)], "k bigint, w int")
+    joined = a.alias("a").join(b.alias("b"), F.col("a.k") == F.col("b.k"))
+    assert joined.count() == 1  # text is cast to the other side's type
+    with pytest.raises(Exception) as caught:
+        joined.select("k").collect()
+    assert error_class(caught.value).startswith("AMBIGUOUS_REFERENCE")
+    with pytest.raises(Exception) as caught:
+        spark.sql("SELECT 'N/A' = cast(id AS BIGINT) AS same FROM range(1)").collect()
+    assert error_class(caught.value).startswith("CAST_INVALID_INPUT")
+    with plans.ansi_off(spark):
+        assert spark.sql("SELECT 'N/A' = cast(id AS BIGINT) AS same FROM range(1)").first()[0] is None
