@@ -183,16 +183,15 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     """node, root: the smallest node of each connected component.  ``edges``: a, b (bigint, both not null).
 
     Alternating large-star and small-star steps; only counts come to the driver.  The minimum of a
-    node's neighbours is pre-aggregated and joined back, so that a node with any number of
-    neighbours is never gathered in one task.
+    node's neighbours is pre-aggregated, written and joined back with both sides shuffled, so that
+    adaptive execution can split a node with any number of neighbours.
     """
     now = _io.materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     spark, before = edges.sparkSession, None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = _io.materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = _io.materialise(large, name)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = _io.materialise(small, name)
