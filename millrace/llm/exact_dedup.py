@@ -79,8 +79,11 @@ def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _appended(docs: DataFrame, index: DigestIndex | None, id_col: str, text_col: str) -> tuple[DataFrame, DigestIndex]:
     digests = _io.materialise(digests_of(docs, id_col, text_col), "digests")
+    passing = index is None
     index = index or fresh_index(docs.sparkSession, digests.count())
     index.append(digests)
+    if passing:  # its files are read by path from here on; the catalog need not keep it
+        index.spark.sql(f"DROP TABLE {index.name}")
     return digests, index
 
 
