@@ -7,8 +7,9 @@ of the id; copies of a text count once) and makes
   (chi-squared; each in at least 2 % of the texts of label 1), with their inverse document
   frequencies in the sample.  All other words count as one term that every text has, with the
   small weight ``COMMON``; so a vector's direction tells how densely a text holds the others;
-* an index of the examples' unit TF-IDF vectors in blocks of ``block`` points (examples with equal
-  vectors are one), with the largest weight of each term in each block (block-max);
+* an inverted index of the examples' unit TF-IDF vectors in blocks of ``block`` points (examples with
+  equal vectors are one): for each block and term the weights of its points, and the largest of
+  them (block-max);
 * a calibration of votes to probabilities, from the examples' own leave-one-out votes.
 
 ``score`` finds, for each text, the ``k`` points of largest cosine exactly: the block of the
@@ -131,15 +132,25 @@ class Index:
         self.zero = self._share(*zero[:2]) if zero else share
         self.rank = np.argsort(np.argsort(self.example, kind="stable"), kind="stable")
         self.by_rank = np.argsort(self.rank)
-        self.weight = np.zeros((len(order), len(self.terms)))
-        for p, vector in enumerate(order):
-            for f, w in vector:
-                self.weight[p, f] = w
+        #: By block: its terms, and for each of them the weights of the block's points.
+        self.posting: list[tuple[np.ndarray, np.ndarray]] = []
         #: The largest weight of each term in each block.
-        self.bound = np.array([self.weight[b : b + block].max(axis=0) for b in range(0, len(order), block)]).reshape(-1, len(self.terms))
+        self.bound = np.zeros((-(-len(order) // block), len(self.terms)))
+        for b in range(len(self.bound)):
+            part = self._dense(order[b * block : (b + 1) * block])
+            held = np.flatnonzero(part.any(axis=0))
+            self.posting.append((held, np.ascontiguousarray(part[:, held].T)))
+            self.bound[b] = part.max(axis=0)
         self.steps = [(0.0, 0.0), (1.0, 1.0)]
         if ones and noughts and order:
-            self._calibrate()
+            self._calibrate(order)
+
+    def _dense(self, vectors: list[tuple]) -> np.ndarray:
+        out = np.zeros((len(vectors), len(self.terms)))
+        for d, vector in enumerate(vectors):
+            for f, w in vector:
+                out[d, f] = w
+        return out
 
     def _share(self, n1, n0):
         return n1 * self.w1 / np.maximum(n1 * self.w1 + n0 * self.w0, 1e-300)
@@ -151,17 +162,14 @@ class Index:
         return {f: w / norm for f, w in raw.items()} if norm else {}
 
     def matrix(self, vectors: list[tuple]) -> np.ndarray:
-        out = np.zeros((len(vectors), len(self.terms)))
-        for d, v in enumerate(vectors):
-            for f, w in self.unit(dict(v)).items():
-                out[d, f] = w
-        return out
+        """Unit vectors of counts, as rows."""
+        return self._dense([tuple(self.unit(dict(v)).items()) for v in vectors])
 
     def _keys(self, queries: np.ndarray, block: int) -> np.ndarray:
         """Cosines with a block's points, and the points' ranks, in one sortable number each."""
-        at = slice(block * self.block, (block + 1) * self.block)
-        cosine = np.rint(np.minimum(queries @ self.weight[at].T, 1.0) * 1e6).astype(np.int64)
-        return cosine << 24 | (1 << 24) - 1 - self.rank[at]
+        terms, weights = self.posting[block]
+        cosine = np.rint(np.minimum(queries[:, terms] @ weights, 1.0) * 1e6).astype(np.int64)
+        return cosine << 24 | (1 << 24) - 1 - self.rank[block * self.block : (block + 1) * self.block]
 
     def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Points and cosines of the k nearest points of each query, exactly; -1 where there are fewer."""
@@ -192,12 +200,12 @@ class Index:
         total = w.sum(axis=1)
         return np.where(total > 0, (w * label).sum(axis=1) / np.maximum(total, 1e-300), self.share)
 
-    def _calibrate(self) -> None:
+    def _calibrate(self, order: list[tuple]) -> None:
         """Isotonic regression of the labels on leave-one-out votes."""
         pairs: list[list[float]] = []
-        for lo in range(0, len(self.weight), 1024):
-            own = np.arange(lo, min(lo + 1024, len(self.weight)))
-            at, cosine = self.nearest(self.weight[own], self.k + 1)
+        for lo in range(0, len(order), 1024):
+            own = np.arange(lo, min(lo + 1024, len(order)))
+            at, cosine = self.nearest(self._dense(order[lo : lo + 1024]), self.k + 1)
             for y, n in ((1, self.n1[own]), (0, self.n0[own])):
                 label = self.label[at]
                 mine = at == own[:, None]

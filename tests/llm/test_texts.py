@@ -283,7 +283,10 @@ def test_held_out_accuracy_exact_search_and_odd_texts(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[900] == got[901] < 0.5
     queries = index.matrix([tuple(toxicity.counts(t, index.vocabulary)) for _, t, _ in rows[:100]])
     _, cosine = index.nearest(queries, 15)
-    full = -np.sort(-np.rint(np.minimum(queries @ index.weight.T, 1) * 1e6), axis=1)[:, :15] / 1e6
+    weight = np.zeros((len(index.example), len(index.terms)))
+    for b, (terms, weights) in enumerate(index.posting):
+        weight[np.arange(weights.shape[1])[:, None] + b * index.block, terms] = weights.T
+    full = -np.sort(-np.rint(np.minimum(queries @ weight.T, 1) * 1e6), axis=1)[:, :15] / 1e6
     assert np.abs(cosine - full).max() <= 1e-6
 
 
