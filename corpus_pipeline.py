@@ -33,8 +33,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
-    return bpe.production(docs)
+    """Token counts and digests of ids and decoded texts; workers remember less here, as executors still hold what stages before left."""
+    return bpe.production(docs, cache_chunks=700_000)
 
 
 STAGES = [

@@ -281,10 +281,10 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     return docs.mapInArrow(_run(path, pattern, cache_chunks, True), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def production(docs: DataFrame) -> DataFrame:
+def production(docs: DataFrame, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     import public_tokenizers
 
-    return encode_digests(docs, "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+    return encode_digests(docs, "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN, cache_chunks=cache_chunks).withColumnRenamed("id", "doc_id")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
