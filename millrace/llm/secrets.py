@@ -1,12 +1,19 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
 Three base patterns (assignments to sensitive names, access keys, long hexadecimal runs) are
-always reported.  Beyond them, candidates are long runs of token characters whose surrounding
+always reported.  Beyond them, candidates are runs of token characters whose surrounding
 holds a sensitive word.  For each candidate a zstandard compressor is primed with a dictionary of
-identifiers and the surrounding text without the candidate; the bytes that the candidate adds to
-the compressed form, for each of its characters, is its novelty.  Words, paths, identifiers and
-repeated text compress well; random keys don't.  Candidates of at least ``least_novelty`` are
-reported with the kind ``novel``.
+identifiers and the surrounding text without the candidate and its copies; the bytes that the
+candidate adds to the compressed form, for each of its characters, is its novelty.  Words, paths,
+identifiers and repeated text compress well; random keys don't.  Candidates that add at least
+``least`` of what their own characters add in chance order are reported with the kind ``novel``:
+so neither a small alphabet nor a length from which zstandard codes literals hides a key.
+
+Zstandard takes short words and words of letters alone for novel, too.  Candidates of 8 to 15
+characters, and those without digits, must also be spelt unlike words: their pairs of neighbours
+must cost at least ``LEAST_SPELT`` bits a character by the pairs of the language's own
+documentation.  What is not reported: runs under 8 characters, runs without letters, and runs
+under 16 of letters alone without a small letter before a capital.
 
 The dictionary is built by rule from the language's own names (keywords, builtins, modules of the
 standard library) and the sensitive words; what a candidate is measured against is bounded by
@@ -26,10 +33,15 @@ from __future__ import annotations
 
 import builtins
 import keyword
+import math
 import re
+import string
 import sys
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
+from random import Random
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,9 +60,14 @@ LEAST_ASSIGNED, LEAST_ACCESS = 6, 20
 NAMES = ("password", "passwd", "secret", "token", "api")
 #: Words that make a surrounding sensitive.
 CONTEXT = ("secret", "token", "passw", "credential", "private", "bearer", "auth", "api", "key", "akia", "pwd", "signature", "cookie", "session")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_digit = re.compile("[0-9]").search
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+_sensitive = re.compile("|".join(CONTEXT)).search
+_inner_capital = re.compile("[a-z][A-Z]").search
 WINDOW, NEAR, LEAST_NOVELTY = 256, 48, 0.72
+#: Shorter strings are stored as they are: a byte a character by chance.  Zstandard codes literals from 64 bytes on, the 16 before a candidate included.
+CODED = 48
+#: Candidates from LONG on with digits are judged by novelty alone.  Copies share at least COPY characters.
+LONG, LEAST_SPELT, COPY = 16, 6.0, 12
 
 
 def base_spans(text: str) -> list[S.Span]:
@@ -79,33 +96,94 @@ class Novelty:
         self.zstd, self.window = zstandard, window
         self.params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=15)
 
-    def of(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes that text[start:end] adds, for each of its characters, knowing names and surroundings."""
-        left, right = text[max(0, start - self.window) : start], text[end : end + self.window]
-        around = (left + right).encode()
+    def _around(self, text: str, start: int, end: int) -> tuple[str, str]:
+        """The surroundings of text[start:end] without its copies, also those that other runs hold or that a window's edge cuts."""
+        size = min(COPY, end - start)
+        grams = {text[i : i + size] for i in range(start, end - size + 1)}
+        sides = []
+        for lo, hi in ((max(0, start - self.window), start), (end, min(len(text), end + self.window))):
+            kept = list(text[lo:hi])
+            for i in range(max(0, lo - size + 1), hi):
+                # A copy may be cut by the window's edge, never by the candidate: that is a whole run.
+                if text[i : i + size] in grams:
+                    kept[max(0, i - lo) : max(0, i + size - lo)] = [""] * len(kept[max(0, i - lo) : max(0, i + size - lo)])
+            sides.append("".join(kept))
+        return sides[0], sides[1]
+
+    def _added(self, text: str, start: int, end: int) -> Callable[[str], int]:
+        """Compressed bytes that a string adds in the place of text[start:end], knowing names and surroundings."""
+        left, right = self._around(text, start, end)
         tail = left[-16:].encode()
-        primed = self.zstd.ZstdCompressionDict(identifiers() + b" " + around, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
+        primed = self.zstd.ZstdCompressionDict(identifiers() + b" " + (left + right).encode(), dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
         squeeze = self.zstd.ZstdCompressor(dict_data=primed, compression_params=self.params).compress
-        added = len(squeeze(tail + text[start:end].encode())) - len(squeeze(tail))
-        return max(0.0, added) / (end - start)
+        return lambda s: max(0, len(squeeze(tail + s.encode())) - len(squeeze(tail)))
+
+    def of(self, text: str, start: int, end: int) -> float:
+        """Bytes that text[start:end] adds, for each of its characters."""
+        return self._added(text, start, end)(text[start:end]) / (end - start)
+
+    def against_chance(self, text: str, start: int, end: int) -> tuple[float, float]:
+        """Bytes that text[start:end] adds, for each of its characters; and as a share of what they add in chance order, or of what their alphabet costs if that is more."""
+        own, added = text[start:end], self._added(text, start, end)
+        bytes_own = added(own)
+        cost = float(len(own))
+        if len(own) >= CODED:
+            cost = min(cost, max(added("".join(Random(own).sample(own, len(own)))), len(own) * math.log2(alphabet(own)) / 8))
+        return bytes_own / len(own), bytes_own / cost
+
+
+def alphabet(s: str) -> int:
+    """Characters of the kinds that ``s`` is made of."""
+    digits, letters = any(c.isdigit() for c in s), {c for c in s if c.isalpha()}
+    low, high = any(c.islower() for c in letters), any(c.isupper() for c in letters)
+    size = 6 if all(c in "abcdefABCDEF" for c in letters) else 26
+    return max(2, 10 * digits + size * (low + high) + len({c for c in s if not c.isalnum()}))
+
+
+def _spelling(s: str) -> str:
+    """All digits are one sign, and all other signs; words in capitals are as words."""
+    if not any(c.islower() for c in s):
+        s = s.lower()
+    return "".join(c if c.isalpha() else "0" if c.isdigit() else "-" for c in s)
+
+
+@lru_cache(maxsize=1)
+def _pairs() -> dict[str, float]:
+    """Bits of a sign behind another, in the documentation of the language and its names."""
+    from pydoc_data.topics import topics
+
+    signs = string.ascii_letters + "0-"
+    seen = Counter(a + b for run in re.findall(r"[A-Za-z0-9+/_=-]+", " ".join(topics[k] for k in sorted(topics)) + identifiers().decode()) for a, b in pairwise(_spelling(run)))
+    before = {a: sum(seen[a + b] + 0.5 for b in signs) for a in signs}
+    return {a + b: -math.log2((seen[a + b] + 0.5) / before[a]) for a in signs for b in signs}
+
+
+def spelt(s: str) -> float:
+    """Bits a character of a run's pairs of neighbours; random letters cost more than those of words."""
+    bits, s = _pairs(), _spelling(s)
+    return sum(bits[a + b] + (b == "0") * math.log2(10) for a, b in pairwise(s)) / max(1, len(s) - 1)
 
 
-def _mixed(s: str) -> bool:
-    """Has digits and letters, as keys do and words don't."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+def likely(s: str) -> bool:
+    """Has letters; short ones and those without digits are spelt unlike words.  Short ones of small letters or capitals alone can't be told from words."""
+    digits = any(c.isdigit() for c in s)
+    if not any(c.isalpha() for c in s) or len(s) < LONG and not digits and not _inner_capital(s):
+        return False
+    return len(s) >= LONG and digits or spelt(s) >= LEAST_SPELT
 
 
 def novel_spans(text: str, base: list[S.Span], novelty: Novelty, least: float = LEAST_NOVELTY) -> list[tuple[S.Span, float]]:
     """Incompressible strings in a sensitive surrounding that no base span covers."""
+    if not _sensitive(text.lower()):
+        return []
     found: list[S.Span] = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if _mixed(m[0]):
-            near = text[max(0, s - NEAR) : s].lower() + " " + text[e : e + NEAR].lower()
-            if any(c in near for c in CONTEXT):
-                found.append(("novel", s, e))
-    measured = ((x, novelty.of(text, x[1], x[2])) for x in S.apart(found, base))
-    return [(x, n) for x, n in measured if n >= least]
+        name = m[0].rstrip("=").rpartition("=")[0]  # a run may hold what it is assigned to
+        if _sensitive(f"{text[max(0, s - NEAR) : s]}{name} {text[e : e + NEAR]}".lower()) and likely(m[0]):
+            found.append(("novel", s, e))
+    measured = ((x, *novelty.against_chance(text, x[1], x[2])) for x in S.apart(found, base))
+    return [(x, n) for x, n, share in measured if share >= least]
 
 
 def scan(text: str | None, novelty: Novelty) -> tuple[list[S.Span], list[S.Span], list[float]]:
@@ -113,7 +191,7 @@ def scan(text: str | None, novelty: Novelty) -> tuple[list[S.Span], list[S.Span]
     text = text or ""
     base = base_spans(text)
     score = {x: novelty.of(text, x[1], x[2]) for x in base}
-    more = dict(novel_spans(text, base, novelty)) if _digit(text) else {}
+    more = dict(novel_spans(text, base, novelty))
     score |= more
     spans = sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0])))
     return base, spans, [score[x] for x in spans]

@@ -128,6 +128,21 @@ def test_novel_strings_are_found_in_sensitive_places_only(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("signs", "size"), [("0123456789ABCDEF", 64), ("0123456789ABCDEF", 128), ("0123456789ABCDEF", 256), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 40), ("abcdefghijklmnopqrstuvwxyz", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 12)])
+def test_keys_of_any_alphabet_and_length_are_found_once_or_twice(signs, size):
+    rng, novelty = random.Random(7), secrets.Novelty()
+    for _ in range(10):
+        key = "".join(rng.choice(signs) for _ in range(size))
+        for text in (f"Authorization: Bearer {key} sent", f"Authorization: Bearer {key} failed, retry with Authorization: Bearer {key}", f"session={key} and then the cookie {key} again"):
+            assert text.count(key) == sum(k == "novel" and key in text[s:e] for k, s, e in secrets.scan(text, novelty)[1])
+
+
+def test_words_beside_sensitive_ones_are_not_keys():
+    novelty = secrets.Novelty()
+    for word in ("internationalization", "Geschwindigkeitsbegrenzung", "myAuthTokenValue", "section-12", "covid-19", "QWERTYUIOP", "aaaaaaaaaaaaaaa1", "id1id1id1id1id1id1id1id1"):
+        assert not secrets.scan(f"the private key of {word} was sent", novelty)[1]
+
+
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 10)), max_size=8), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 10)), max_size=8))
 @settings(max_examples=200, deadline=None)
 def test_added_spans_stay_apart(found, taken):
