@@ -3,20 +3,23 @@
 ``fit`` takes a bounded sample of labelled texts (``max_examples`` of each label, chosen by a hash
 of the id; copies of a text count once) and makes
 
-* a vocabulary: the ``max_features`` words and word beginnings most associated with the label
-  (chi-squared; each in at least 2 % of the texts of label 1), with their inverse document
-  frequencies in the sample.  All other words count as one term that every text has, with the
-  small weight ``COMMON``; so a vector's direction tells how densely a text holds the others;
+* a vocabulary: all words and word beginnings of the sample, with their inverse document
+  frequencies.  Those that go with label 1 (chi-squared above 10.83, in at least ``LEAST_SEEN``
+  texts) have their full weight, all others ``COMMON`` of it.  Texts that hold some of the former are
+  near to examples that hold them too, all other texts to those that share most of their words.
+  Words that no example has count as one term with the weight ``COMMON``;
 * an inverted index of the examples' unit TF-IDF vectors in blocks of ``block`` points (examples with
-  equal vectors are one): for each block and term the weights of its points, and the largest of
-  them (block-max);
+  equal vectors are one): for each block the largest weight of each heavy term (block-max) and the
+  largest length of the light part.  Heavy and frequent terms are columns, rare ones posting lists;
 * a calibration of votes to probabilities, from the examples' own leave-one-out votes.
 
-``score`` finds, for each text, the ``k`` points of largest cosine exactly: the block of the
-highest upper bound (query times block-max) is opened first, then those whose bound reaches the
-k-th cosine so far, for all texts of a batch together.  Their labels vote with weights that grow
-as the distance shrinks.  What is broadcast is the index alone, of at most
-``16 * max_examples * (max_features + 1)`` bytes.
+``score`` finds, for each text, the ``k`` points of largest cosine exactly: the two blocks of the
+highest upper bounds (query times block-max, plus the product of the light lengths) are opened
+first, then those whose bound reaches the k-th cosine so far, for many texts together; what may be
+among the ``k`` in single precision is computed again in double.  Labels vote with weights that grow
+as the distance shrinks; points that share no term don't vote.  What is broadcast is the index
+alone, as counts: the vectors of at most ``2 * max_examples`` texts.  Workers make columns (four bytes
+for each point) and posting lists of them.
 
 Defined results
 ---------------
@@ -32,21 +35,25 @@ Defined results
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _io
 
-MAX_EXAMPLES, MAX_FEATURES, K_NEAREST, BLOCK = 4_000, 256, 15, 64
-LEAST_SEEN, LEAST_SHARE, COMMON = 3, 0.02, 0.02
+MAX_EXAMPLES, K_NEAREST, BLOCK = 4_000, 15, 64
+LEAST_SEEN, LEAST_CHI, COMMON = 3, 10.83, 0.02
+#: Terms in more than this share of the points are columns.  Single precision may be off by SLACK.  Posting lists are read for more than MANY points.
+FREQUENT, SLACK, MANY = 0.05, 1e-5, 256
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -58,154 +65,225 @@ def terms(text: str | None) -> Counter:
     return words
 
 
-def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and labels -> term, number of texts with label 1 and with label 0; pre-aggregated in batches."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-    def out() -> pa.RecordBatch:
-        names = list(seen[0] | seen[1])
-        made = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[y][w] for w in names], pa.int64()) for y in (1, 0))], ["term", "n1", "n0"])
-        seen[0].clear()
-        seen[1].clear()
-        return made
-
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text, label -> id, label and counts of the text's terms."""
     for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[y].update(terms(text).keys())
-            if len(seen[0]) + len(seen[1]) > 300_000:
-                yield out()
-    yield out()
+        found = [terms(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))],
+            ["id", "label", "term", "n"])
 
 
 def counts(text: str | None, vocabulary: dict[str, int]) -> list[tuple[int, int]]:
     """(term, occurrences) of a text, in order; term 0 is all words without a term of their own."""
-    words = Counter(_words((text or "").lower()))
-    found: Counter = Counter()
-    for w, n in words.items():
-        own = 0
-        if w in vocabulary:
-            found[vocabulary[w]] += n
-            own = n
-        if len(w) > 5 and "^" + w[:5] in vocabulary:
-            found[vocabulary["^" + w[:5]]] += n
-            own = n
-        if not own:
-            found[0] += n
-    return sorted(found.items())
-
-
-def _vectors(vocabulary: dict[str, int]):
-    """id, text, label -> id, label and counts of the vocabulary's terms."""
+    return sorted(_found(text, vocabulary).items())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [counts(t, vocabulary) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([[f for f, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))],
-                ["id", "label", "feature", "n"])
 
-    return run
+def _found(text: str | None, vocabulary: dict[str, int], beginning: list[int] | None = None) -> dict[int, int]:
+    found: dict[int, int] = {}
+    get, held = vocabulary.get, found.get
+    for w, n in Counter(_words((text or "").lower())).items():
+        own = get(w, 0)
+        start = beginning[own] if own and beginning else get("^" + w[:5]) if len(w) > 5 else 0
+        if start:
+            found[start] = held(start, 0) + n
+        if own or not start:
+            found[own] = held(own, 0) + n
+    return found
+
+
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # where each row starts, features, weights
+
+
+def _spread(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all entries of the rows ``of``, one row behind the other, and how many each has."""
+    size = start[of + 1] - start[of]
+    return np.arange(size.sum()) + np.repeat(start[of] - (np.cumsum(size) - size), size), size
 
 
 class Index:
     """Block-max index of labelled examples, and the calibration of their votes.
 
     Examples with equal vectors are one point, whose label is their share of label 1 (as if the
-    sample had the labels' true shares).  Points that are alike share blocks.
+    sample had the labels' true shares).  Points that are alike share blocks.  Terms 1 to ``heavy``
+    are those that go with label 1.
     """
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[list[tuple[int, int]]], k: int, block: int, share: float):
-        self.terms, self.idf = ["*", *vocabulary], np.concatenate(([COMMON], idf))
-        self.vocabulary = {w: i for i, w in enumerate(self.terms) if i}
+    def __init__(self, vocabulary: list[str], heavy: int, idf: np.ndarray, ids: list[int], labels: list[int], counted: Rows, k: int, block: int, share: float):
+        self.terms, self.heavy = ["*", *vocabulary], heavy
+        self.idf = np.concatenate(([COMMON], idf[:heavy], COMMON * idf[heavy:]))
         self.k, self.block, self.share = k, block, share
-        points: dict[tuple, list[int]] = {}
-        for i, y, v in zip(ids, labels, vectors, strict=True):
-            point = points.setdefault(tuple((f, round(w, 6)) for f, w in self.unit(dict(v)).items()), [0, 0, i])
+        points: dict[tuple, list] = {}
+        start, feature, n = counted
+        weight = self.unit(*counted)[2]
+        for d, (i, y) in enumerate(zip(ids, labels, strict=True)):
+            f, w = feature[start[d] : start[d + 1]], weight[start[d] : start[d + 1]]
+            key = tuple(f[: np.searchsorted(f, heavy, "right")].tolist()), sha256(f.astype(np.int32).tobytes() + np.rint(w * 1e6).astype(np.int32).tobytes()).digest() if len(f) else b""
+            point = points.setdefault(key, [0, 0, i, d])
             point[1 - y] += 1
-            point[2] = min(point[2], i)
-        zero = points.pop((), None)
-        order = sorted(points)
-        self.n1, self.n0, self.example = (np.array([points[x][c] for x in order], np.int64) for c in range(3))
+            if i < point[2]:
+                point[2:] = i, d
+        zero = points.pop(((), b""), None)
+        order = [points[x] for x in sorted(points)]
+        self.n1, self.n0, self.example, rows = (np.array([x[c] for x in order], np.int64) for c in range(4))
         ones, noughts = sum(labels), len(labels) - sum(labels)
         self.w1, self.w0 = share / max(1, ones), (1 - share) / max(1, noughts)
         self.label = self._share(self.n1, self.n0)
         self.zero = self._share(*zero[:2]) if zero else share
         self.rank = np.argsort(np.argsort(self.example, kind="stable"), kind="stable")
-        self.by_rank = np.argsort(self.rank)
-        #: By block: its terms, and for each of them the weights of the block's points.
-        self.posting: list[tuple[np.ndarray, np.ndarray]] = []
-        #: The largest weight of each term in each block.
-        self.bound = np.zeros((-(-len(order) // block), len(self.terms)))
-        for b in range(len(self.bound)):
-            part = self._dense(order[b * block : (b + 1) * block])
-            held = np.flatnonzero(part.any(axis=0))
-            self.posting.append((held, np.ascontiguousarray(part[:, held].T)))
-            self.bound[b] = part.max(axis=0)
+        at, size = _spread(start, rows)
+        self.start, self.feature, self.n = np.concatenate(([0], np.cumsum(size))), feature[at].astype(np.int32), n[at].astype(np.int32)
+        del points, order, feature, weight, at, counted, n
+        self._arrange()
         self.steps = [(0.0, 0.0), (1.0, 1.0)]
-        if ones and noughts and order:
-            self._calibrate(order)
+        if ones and noughts and len(rows):
+            self._calibrate()
 
-    def _dense(self, vectors: list[tuple]) -> np.ndarray:
-        out = np.zeros((len(vectors), len(self.terms)))
-        for d, vector in enumerate(vectors):
-            for f, w in vector:
-                out[d, f] = w
+    def __getstate__(self) -> dict:
+        """Counts and terms; what follows from them is made anew where the index is used."""
+        kept = ("terms", "heavy", "idf", "k", "block", "share", "n1", "n0", "example", "w1", "w0", "label", "zero", "rank", "start", "feature", "steps")
+        return {x: getattr(self, x) for x in kept} | {"n": self.n.astype(np.min_scalar_type(self.n.max(initial=0)))}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._arrange()
+
+    def _arrange(self) -> None:
+        self.vocabulary = {w: i for i, w in enumerate(self.terms) if i}
+        #: Of each word its beginning, or 0.
+        self.beginning = [self.vocabulary.get("^" + w[:5], 0) if len(w) > 5 else 0 for w in self.terms]
+        n, self.weight = len(self.start) - 1, self.unit(self.start, self.feature, self.n)[2]
+        point = np.repeat(np.arange(n), np.diff(self.start))
+        often = np.bincount(self.feature, minlength=len(self.terms)) > FREQUENT * n
+        often[1 : self.heavy + 1] = True
+        #: Of each term its column, or -1; and the columns.
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.columns = np.zeros((int(often.sum()), n), np.float32)
+        held = self.column[self.feature] >= 0
+        self.columns[self.column[self.feature[held]], point[held]] = self.weight[held]
+        rare = np.flatnonzero(~held)
+        rare = rare[np.argsort(self.feature[rare], kind="stable")]
+        self.post = np.concatenate(([0], np.cumsum(np.bincount(self.feature[rare], minlength=len(self.terms)))))
+        self.post_point, self.post_weight = point[rare].astype(np.int32), self.weight[rare].astype(np.float32)
+        self.rare = np.sqrt(np.bincount(point[rare], self.weight[rare] ** 2, minlength=n))
+        #: By block: the largest weight of each heavy term, and the largest length of the light part.
+        blocks = np.arange(0, n, self.block)
+        self.bound = np.maximum.reduceat(self.columns[self.column[1 : self.heavy + 1]], blocks, axis=1).T if n else np.zeros((0, self.heavy), np.float32)
+        light = np.sqrt(np.bincount(point, np.where(self.feature > self.heavy, self.weight, 0.0) ** 2, minlength=n))
+        self.light = np.maximum.reduceat(light, blocks) if n else np.zeros(0)
+
+    @property
+    def posting(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By block: its terms, and for each of them the weights of the block's points."""
+        out = []
+        for lo in range(0, len(self.example), self.block):
+            own = np.arange(lo, min(lo + self.block, len(self.example)))
+            at, size = _spread(self.start, own)
+            held, place = np.unique(self.feature[at], return_inverse=True)
+            weights = np.zeros((len(held), len(own)))
+            weights[place, np.repeat(own - lo, size)] = self.weight[at]
+            out.append((held, weights))
         return out
 
     def _share(self, n1, n0):
         return n1 * self.w1 / np.maximum(n1 * self.w1 + n0 * self.w0, 1e-300)
 
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        """The TF-IDF vector of length 1."""
-        raw = {f: n * float(self.idf[f]) for f, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {f: w / norm for f, w in raw.items()} if norm else {}
+    def unit(self, start: np.ndarray, feature: np.ndarray, n: np.ndarray) -> Rows:
+        """TF-IDF vectors of length 1, of counts."""
+        raw = n * self.idf[feature]
+        row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        return start, feature, raw / np.sqrt(np.bincount(row, raw * raw, minlength=len(start) - 1))[row]
+
+    def rows(self, vectors: list[dict[int, int]]) -> Rows:
+        start = np.concatenate(([0], np.cumsum([len(v) for v in vectors], dtype=np.int64)))
+        feature, n = (np.fromiter(chain.from_iterable(x), np.int64, int(start[-1])) for x in (vectors, (v.values() for v in vectors)))
+        return self.unit(start, feature, n)
 
     def matrix(self, vectors: list[tuple]) -> np.ndarray:
         """Unit vectors of counts, as rows."""
-        return self._dense([tuple(self.unit(dict(v)).items()) for v in vectors])
-
-    def _keys(self, queries: np.ndarray, block: int) -> np.ndarray:
-        """Cosines with a block's points, and the points' ranks, in one sortable number each."""
-        terms, weights = self.posting[block]
-        cosine = np.rint(np.minimum(queries[:, terms] @ weights, 1.0) * 1e6).astype(np.int64)
-        return cosine << 24 | (1 << 24) - 1 - self.rank[block * self.block : (block + 1) * self.block]
+        start, feature, weight = self.rows([dict(v) for v in vectors])
+        out = np.zeros((len(vectors), len(self.terms)))
+        out[np.repeat(np.arange(len(vectors)), np.diff(start)), feature] = weight
+        return out
 
-    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, queries: np.ndarray | Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Points and cosines of the k nearest points of each query, exactly; -1 where there are fewer."""
-        best = np.full((len(queries), k), -1, np.int64)
-
-        def merge(rows: np.ndarray, block: int) -> None:
-            keys = np.concatenate((best[rows], self._keys(queries[rows], block)), axis=1)
-            best[rows] = np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:]
-
-        upper = queries @ self.bound.T
-        first = upper.argmax(axis=1) if len(self.bound) else np.zeros(0, np.int64)
-        for b in np.unique(first).tolist():
-            merge(np.flatnonzero(first == b), b)
-        for b in np.argsort(-upper.max(axis=0, initial=0), kind="stable").tolist():
-            # A block is opened for the queries for which it may hold a point as near as the k-th so far.
-            least = np.where(best.min(axis=1) < 0, -1.0, (best.min(axis=1) >> 24) / 1e6)
-            rows = np.flatnonzero((first != b) & (upper[:, b] + 2e-6 >= least))
-            if len(rows):
-                merge(rows, b)
-        best = -np.sort(-best, axis=1)
-        none = best < 0
-        at = self.by_rank[np.where(none, 0, (1 << 24) - 1 - (best & (1 << 24) - 1))] if len(self.by_rank) else np.zeros(best.shape, np.int64)
-        return np.where(none, -1, at), np.where(none, 0.0, (best >> 24) / 1e6)
+        if isinstance(queries, np.ndarray):
+            row, feature = np.nonzero(queries)
+            queries = np.searchsorted(row, np.arange(len(queries) + 1)), feature, queries[row, feature]
+        start, feature, weight = queries
+        at, cosine = np.full((len(start) - 1, k), -1, np.int64), np.zeros((len(start) - 1, k))
+        for lo in range(0, len(at) if len(self.example) else 0, 128):
+            hi = min(lo + 128, len(at))
+            own = slice(start[lo], start[hi])
+            self._search(start[lo : hi + 1] - start[lo], feature[own], weight[own], at[lo:hi], cosine[lo:hi])
+        return at, cosine
+
+    def _search(self, start: np.ndarray, feature: np.ndarray, weight: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> None:
+        m, n, k = len(at), len(self.example), at.shape[1]
+        row = np.repeat(np.arange(m), np.diff(start))
+        query = np.zeros((m, len(self.columns)), np.float32)
+        held = self.column[feature] >= 0
+        query[row[held], self.column[feature[held]]] = weight[held]
+        light = np.sqrt(np.bincount(row, np.where(feature > self.heavy, weight, 0.0) ** 2, minlength=m))
+        rare = np.sqrt(np.bincount(row[~held], weight[~held] ** 2, minlength=m))
+        upper = query[:, self.column[1 : self.heavy + 1]] @ self.bound.T + light[:, None] * self.light
+        near = np.full((m, n), -1.0, np.float32)
+
+        def open_blocks(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows, points = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+                near[rows, points] = query[rows] @ self.columns[:, points]
+
+        def kth(of: np.ndarray) -> np.ndarray:
+            return np.partition(of, -k, axis=-1)[..., -k] if of.shape[-1] >= k else np.full(of.shape[:-1], -1.0)
+
+        best = np.argsort(-upper, axis=1)[:, :2]
+        first = np.zeros(upper.shape, bool)
+        np.put_along_axis(first, best, True, axis=1)
+        open_blocks(first)
+        points = (best[:, :, None] * self.block + np.arange(self.block)).reshape(m, -1)
+        least = kth(np.where(points < n, np.take_along_axis(near, np.minimum(points, n - 1), axis=1), -1.0))
+        open_blocks(~first & (upper + SLACK >= least[:, None]))
+        # Cosines without the rare terms so far: they can add the product of the rare parts' lengths at most.
+        least = kth(near)
+        space = np.zeros(len(self.terms))
+
+        def exact(points: np.ndarray) -> np.ndarray:
+            to, size = _spread(self.start, points)
+            return np.bincount(np.repeat(np.arange(len(points)), size), space[self.feature[to]] * self.weight[to], minlength=len(points))
+
+        for d in range(m):
+            own = slice(start[d], start[d + 1])
+            space[feature[own]] = weight[own]
+            reach = near[d] + rare[d] * self.rare
+            points = np.flatnonzero((reach >= least[d] - SLACK) & (near[d] > -1))
+            if len(points) > 2 * k:
+                some = points[np.argpartition(-near[d, points], k)[:k]]
+                points = points[reach[points] >= exact(some).min() - SLACK]
+            if len(points) > MANY:
+                f, w = feature[own][~held[own]], weight[own][~held[own]]
+                post, size = _spread(self.post, f)
+                whole = np.where(near[d] > -1, near[d] + np.bincount(self.post_point[post], np.repeat(w, size) * self.post_weight[post], minlength=n), -1.0)
+                points = np.flatnonzero((whole >= kth(whole) - SLACK) & (whole > -1))
+            key = np.rint(np.minimum(exact(points), 1.0) * 1e6)
+            space[feature[own]] = 0.0
+            best = np.lexsort((self.rank[points], -key))[:k]
+            at[d, : len(best)], cosine[d, : len(best)] = points[best], key[best] / 1e6
 
     def votes(self, at: np.ndarray, cosine: np.ndarray, label: np.ndarray) -> np.ndarray:
         """Labels weighted by 1 / (distance + 0.05)."""
-        w = np.where(at < 0, 0.0, 1.0 / (1.05 - cosine))
+        w = np.where((at < 0) | (cosine <= 0), 0.0, 1.0 / (1.05 - cosine))
         total = w.sum(axis=1)
         return np.where(total > 0, (w * label).sum(axis=1) / np.maximum(total, 1e-300), self.share)
 
-    def _calibrate(self, order: list[tuple]) -> None:
+    def _calibrate(self) -> None:
         """Isotonic regression of the labels on leave-one-out votes."""
         pairs: list[list[float]] = []
-        for lo in range(0, len(order), 1024):
-            own = np.arange(lo, min(lo + 1024, len(order)))
-            at, cosine = self.nearest(self._dense(order[lo : lo + 1024]), self.k + 1)
+        for lo in range(0, len(self.example), 1024):
+            own = np.arange(lo, min(lo + 1024, len(self.example)))
+            to = slice(self.start[lo], self.start[own[-1] + 1])
+            at, cosine = self.nearest((self.start[lo : own[-1] + 2] - self.start[lo], self.feature[to], self.weight[to]), self.k + 1)
             for y, n in ((1, self.n1[own]), (0, self.n0[own])):
                 label = self.label[at]
                 mine = at == own[:, None]
@@ -227,23 +305,24 @@ class Index:
         xs, ys = zip(*self.steps, strict=True)
         return np.clip(np.interp(votes, xs, ys), 0.0, 1.0)
 
-    def score(self, vectors: list[tuple]) -> list[tuple[float, str]]:
-        """Score and evidence of each vector."""
+    def score(self, vectors: list[dict[int, int]]) -> list[tuple[float, str]]:
+        """Score and evidence of each vector of counts."""
         out: list[tuple[float, str]] = []
         for lo in range(0, len(vectors), 512):
             part = vectors[lo : lo + 512]
-            queries = self.matrix(part)
+            start, feature, weight = queries = self.rows(part)
             at, cosine = self.nearest(queries, self.k)
             score = self.calibrated(self.votes(at, cosine, self.label[at] if len(self.label) else np.zeros(at.shape)))
             for d, v in enumerate(part):
                 near = ",".join(f"{self.example[a]}:{c:.3f}:{self.label[a]:.2f}" for a, c in zip(at[d, :3].tolist(), cosine[d, :3].tolist(), strict=True) if a >= 0)
-                top = ",".join(self.terms[f] for f in sorted((f for f, _ in v), key=lambda f: (-queries[d, f], f))[:3])
+                f, w = feature[start[d] : start[d + 1]], weight[start[d] : start[d + 1]]
+                top = ",".join(self.terms[f[x]] for x in np.lexsort((f, -w))[:3].tolist())
                 out.append((float(score[d]) if v else float(self.zero), f"{near if v else ''}|{top}"))
         return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES,
-        max_features: int = MAX_FEATURES, k: int = K_NEAREST, block: int = BLOCK) -> Index:
+        k: int = K_NEAREST, block: int = BLOCK) -> Index:
     """``labels``: id and label, of the rows that may be learnt from.  At most 2 * max_examples texts are used."""
     spark = docs.sparkSession
     _io.bounded_batches(spark)
@@ -253,26 +332,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = [r for y in (0, 1) for r in given.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()]
     sample = F.broadcast(spark.createDataFrame([(r.id, r.label) for r in picked], "id bigint, label int"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(sample, "id")
-    texts = texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min_by(F.struct("id", "text", "label"), "id").alias("r")).select("r.*").persist()
-    try:
-        sizes = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
-        n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-        seen = texts.select("text", "label").mapInArrow(_term_labels, "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"))
-        n = float(n1 + n0)
-        off = F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))
-        chi = n * off * off / ((F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b")) * float(max(n1, 1)) * float(max(n0, 1)))
-        used = seen.where((F.col("a") + F.col("b") >= max(LEAST_SEEN, LEAST_SHARE * n1)) & (F.col("a") + F.col("b") < n)).select("term", "a", "b", F.round(chi, 6).alias("chi")).where("chi > 10.83")
-        used = used.orderBy(F.desc("chi"), "term").limit(max_features).collect()
-        vocabulary = [r.term for r in used]
-        idf = np.array([math.log((1 + n) / (1 + r.a + r.b)) + 1 for r in used])
-        rows = texts.select("id", "text", "label").mapInArrow(_vectors({w: i + 1 for i, w in enumerate(vocabulary)}), "id bigint, label int, feature array<int>, n array<int>").collect()
-    finally:
-        texts.unpersist()
-    return Index(vocabulary, idf, [r.id for r in rows], [r.label for r in rows], [list(zip(r.feature, r.n, strict=True)) for r in rows], k, block, share)
+    texts = texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min_by(F.struct("id", "text", "label"), "id").alias("r")).select("r.*")
+    return build(texts.select("id", "text", "label").mapInArrow(_terms, "id bigint, label int, term array<string>, n array<int>").toArrow(), k, block, share)
+
+
+def build(sample: pa.Table, k: int = K_NEAREST, block: int = BLOCK, share: float = 0.5) -> Index:
+    """``sample``: id, label, term and n (lists) of different texts."""
+    ids, labels = sample.column("id").to_pylist(), sample.column("label").to_pylist()
+    lists, ns = (pa.array([], pa.list_(x)) if not sample.num_rows else sample.column(c).combine_chunks() for c, x in (("term", pa.string()), ("n", pa.int32())))
+    start = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))))
+    ns, words = ns.flatten().to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
+    term, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+    del sample, lists
+    one = np.repeat(np.array(labels, bool), np.diff(start))
+    a, b = (np.bincount(term[x], minlength=len(names)).astype(float) for x in (one, ~one))
+    n, n1 = float(len(labels)), float(sum(labels))
+    n0 = n - n1
+    off = a * (n0 - b) - b * (n1 - a)
+    chi = n * off * off / np.maximum((a + b) * (n - a - b) * max(n1, 1.0) * max(n0, 1.0), 1e-300)
+    goes = (off > 0) & (a + b >= LEAST_SEEN) & (a + b < n) & (chi > LEAST_CHI)
+    # Heavy terms by chi-squared, then the others; equals by name.
+    name = np.empty(len(names), np.int64)
+    name[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    order = np.lexsort((name, np.where(goes, -np.round(chi, 6), 0.0), ~goes))
+    place = np.empty(len(names), np.int32)
+    place[order] = np.arange(len(names)) + 1
+    feature, counted = place[term], np.empty(len(term), np.int32)
+    del words, term, one
+    for d in range(len(labels)):
+        own = slice(start[d], start[d + 1])
+        inner = np.argsort(feature[own])
+        feature[own], counted[own] = feature[own][inner], ns[own][inner]
+    return Index([names[i] for i in order], int(goes.sum()), np.log((1 + n) / (1 + a + b))[order] + 1, ids, labels, (start, feature, counted), k, block, share)
 
 
 class Scorer:
-    """Scores of texts; equal vectors are searched once while they are remembered."""
+    """Scores of texts; equal texts are searched once while they are remembered."""
 
     def __init__(self, index: Index):
         self.index, self.known = index, {}
@@ -280,13 +375,10 @@ class Scorer:
     def of(self, texts: list[str | None]) -> list[tuple[float, str]]:
         if len(self.known) > 20_000:
             self.known.clear()
-        found = []
-        for text in texts:
-            v = tuple(counts(text, self.index.vocabulary))
-            found.append(((v[0][0], 1),) if len(v) == 1 else v)  # of one term alone, any number gives one direction
-        new = list({v for v in found if v not in self.known})
-        self.known.update(zip(new, self.index.score(new), strict=True))
-        return [self.known[v] for v in found]
+        keys = [sha256((t or "").encode()).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.known}
+        self.known.update(zip(new, self.index.score([_found(t, self.index.vocabulary, self.index.beginning) for t in new.values()]), strict=True))
+        return [self.known[k] for k in keys]
 
 
 def _score(index: Broadcast):

@@ -305,6 +305,26 @@ def test_held_out_accuracy_exact_search_and_odd_texts(spark):
     assert np.abs(cosine - full).max() <= 1e-6
 
 
+def test_every_word_of_the_examples_counts(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    rare = ["z" + "".join(rng.choices("klmnopqrst", k=4)) for _ in range(60)]  # each in 5 of 300 texts of label 1
+    rows = []
+    for i in range(1500):
+        words = rng.choices(plain, k=30)
+        if i % 5 == 0:
+            words[rng.randrange(30)] = rare[i // 5 % 60]
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    df = docs(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    index = toxicity.fit(df, labels.where("doc_id >= 300"))
+    assert set(plain + rare) <= set(index.terms)
+    got = {r.id: r for r in toxicity.score(df.where("doc_id < 300"), index).collect()}
+    held = [(got[i].score >= 0.5, y == 1) for i, _, y in rows if i < 300]
+    assert sum(a and b for a, b in held) > 0.9 * 60 and sum(a and not b for a, b in held) < 0.05 * 240
+    assert len({got[i].evidence for i in range(300)}) == 300
+
+
 def test_fitting_on_little(spark):
     df = docs(spark, [(1, "a b"), (2, "c")])
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
