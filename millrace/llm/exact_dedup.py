@@ -108,17 +108,23 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """The rows of ``docs`` that stay, with their own columns, one for each different text."""
     digests, index = _appended(docs, index, id_col, text_col)
     rows = digests.where("id IS NOT NULL").groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
-    kept = _io.materialise(rows.join(index.rows(), "digest").where("id = keep_id").select("id", "n"), "kept")
-    once, again = (kept.where(c).select("id") for c in ("n = 1", "n > 1"))
-    out = docs.join(once, docs[id_col].cast("bigint") == once["id"], "left_semi")
+    kept = _io.materialise(rows.join(index.rows(), "digest").where("id = keep_id").select("id", "digest", "n"), "kept")
+    once, again = (kept.where(c).select("id", "digest") for c in ("n = 1", "n > 1"))
+    name = "__digest"
+    while name in docs.columns:
+        name += "_"
+    named = docs.withColumn(name, digest(F.col(text_col)))
+
+    def held(by: DataFrame) -> DataFrame:
+        """By id and text: an id may stay for one of its texts and go for another."""
+        return named.join(by, (named[id_col].cast("bigint") == by["id"]) & (named[name] == by["digest"]), "left_semi")
+
+    out = held(once).drop(name)
     if not again.isEmpty():
-        out = out.unionByName(docs.join(again, docs[id_col].cast("bigint") == again["id"], "left_semi").dropDuplicates([id_col]))
+        out = out.unionByName(held(again).dropDuplicates([id_col, name]).drop(name))
     if not digests.where("id IS NULL").isEmpty():
-        name = "__digest"
-        while name in docs.columns:
-            name += "_"
-        bare, named = docs.where(F.col(id_col).isNull()).withColumn(name, digest(F.col(text_col))), index.rows().where("keep_id IS NOT NULL")
-        out = out.unionByName(bare.join(named, bare[name] == named["digest"], "left_anti").dropDuplicates([name]).drop(name))
+        bare, known = named.where(F.col(id_col).isNull()), index.rows().where("keep_id IS NOT NULL")
+        out = out.unionByName(bare.join(known, bare[name] == known["digest"], "left_anti").dropDuplicates([name]).drop(name))
     return out
 
 

@@ -177,3 +177,8 @@ def test_decontamination_of_odd_tables(spark):
     assert sorted((r.id or 0, r.n_hit, r.contaminated) for r in decontaminate.decontaminate(clash, it).collect()) == [(0, 10, True), (1, 11, True), (1, 11, True)]
     assert decontaminate.remove_contaminated(clash, it).count() == 0
     assert [r.hits for r in decontaminate.remove_contaminated(clash.withColumn("text", F.lit("clean")).limit(1), it).collect()] == [1]
+
+
+def test_an_id_stays_for_one_of_its_texts_only(spark):
+    kept = exact_dedup.deduplicate(docs(spark, [(5, "A one"), (7, "A one"), (5, "B two"), (5, "B two")]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(5, "B two"), (7, "A one")]
