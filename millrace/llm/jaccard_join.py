@@ -1,11 +1,11 @@
-"""N-gram Jaccard self-join of documents with a MinHash LSH forest.
+"""N-gram Jaccard self-join of documents with MinHash banding.
 
 1. Each text becomes the set of its word 5-gram hashes.  Texts with equal sets are one *class*
    (exact copies, or copies up to case and punctuation); its smallest id represents it.
-2. Representatives get ``trees`` x ``max_depth`` MinHash values.  In each tree the values form a
-   key whose prefixes are the nodes of a trie.  Matched prefixes are shortened from
-   ``max_depth`` until a pair at the threshold shares a prefix in some tree with at least the
-   target probability; no bucket is capped.
+2. Representatives get ``trees`` x ``depth`` MinHash values; those of a tree (band) are folded into
+   one key.  ``depth`` is computed before any data is read: the largest, ``max_depth`` at most, with
+   which a pair at the threshold shares a key in some tree with at least the target probability.
+   There are no tries and no longer prefixes, as an LSH forest has; no bucket is capped.
 3. Nodes with two or more members are the candidates.  A node whose members all meet in a node
    of an earlier tree adds nothing and is left out.  A large node is cut into blocks, and each
    pair of blocks is one unit of work, so that no task holds an unbounded node.
