@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
@@ -66,3 +67,35 @@ def bounded_batches(spark: SparkSession, records: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(records))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path of Spark's as a URI that workers open."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def write_file(folder: str, name: str, parts) -> None:
+    """A file below ``folder`` (a URI) that appears whole or not at all, also where a task runs twice.  ``parts``: its bytes."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary) as out:
+        for part in parts:
+            out.write(part)
+    try:
+        fs.move(temporary, f"{path}/{name}")
+    except OSError:  # some stores don't move onto a file that an earlier run of the task has left
+        if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(temporary)
+
+
+def read_file(folder: str, name: str) -> bytes | None:
+    """The bytes of a file, or None where there is none."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_stream(f"{path}/{name}") as source:
+        return source.read()

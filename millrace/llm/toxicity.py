@@ -17,9 +17,11 @@ of the id; copies of a text count once) and makes
 highest upper bounds (query times block-max, plus the product of the light lengths) are opened
 first, then those whose bound reaches the k-th cosine so far, for many texts together; what may be
 among the ``k`` in single precision is computed again in double.  Labels vote with weights that grow
-as the distance shrinks; points that share no term don't vote.  What is broadcast is the index
-alone, as counts: the vectors of at most ``2 * max_examples`` texts.  Workers make columns (four bytes
-for each point) and posting lists of them.
+as the distance shrinks; points that share no term don't vote.
+
+One task builds the index from the counts of at most ``2 * max_examples`` texts and writes it into the
+shared folder; the driver holds its name alone.  Workers read it once, and make columns (four bytes for
+each point) and posting lists of it.
 
 Defined results
 ---------------
@@ -29,22 +31,25 @@ Defined results
 * Of equal cosines (to six digits) the point with the smaller example id is nearer.
 * Without labelled rows, or with labels of one kind only, all scores are the share of label 1
   (0.0 where nothing is labelled).
-* Labels other than 0 and 1, null ids and labelled ids without a text are left out of fitting.
+* Labels other than 0 and 1, null ids and labelled ids without a text are left out of fitting; an
+  id that is labelled 0 and 1 counts as 1.  Of rows with one id and different texts each is an example.
 * Every row gives one row, also where ids repeat; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +58,7 @@ from . import _io
 MAX_EXAMPLES, K_NEAREST, BLOCK = 4_000, 15, 64
 LEAST_SEEN, LEAST_CHI, COMMON = 3, 10.83, 0.02
 #: Terms in more than this share of the points are columns.  Single precision may be off by SLACK.  Posting lists are read for more than MANY points.
-FREQUENT, SLACK, MANY = 0.05, 1e-5, 256
+FREQUENT, SLACK, MANY = 0.05, 1e-5, 64
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -231,6 +236,9 @@ class Index:
         near = np.full((m, n), -1.0, np.float32)
 
         def open_blocks(wanted: np.ndarray) -> None:
+            if wanted.mean() > 0.25:  # one product is faster than many, and more cosines do no harm
+                near[:] = query @ self.columns
+                return
             for b in np.flatnonzero(wanted.any(axis=0)).tolist():
                 rows, points = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
                 near[rows, points] = query[rows] @ self.columns[:, points]
@@ -321,19 +329,51 @@ class Index:
         return out
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """Where an index is stored."""
+
+    folder: str
+
+    def load(self) -> Index:
+        return _loaded(self.folder)
+
+
+@lru_cache(maxsize=2)
+def _loaded(folder: str) -> Index:
+    return pickle.loads(_io.read_file(folder, "index"))
+
+
+def _build(k: int, block: int, share: float, folder: str):
+    """Counts of all examples -> the index's file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            _io.write_file(folder, "index", [pickle.dumps(build(pa.Table.from_batches(held), k, block, share))])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in held)], pa.int64())], ["examples"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES,
-        k: int = K_NEAREST, block: int = BLOCK) -> Index:
-    """``labels``: id and label, of the rows that may be learnt from.  At most 2 * max_examples texts are used."""
+        k: int = K_NEAREST, block: int = BLOCK) -> Fitted:
+    """``labels``: id and label, of the rows that may be learnt from.  At most 2 * max_examples ids are used."""
     spark = docs.sparkSession
     _io.bounded_batches(spark)
-    given = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").distinct()
+    given = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    given = given.groupBy("id").agg(F.max("label").alias("label"))
     count = {r.label: r["count"] for r in given.groupBy("label").count().collect()}
     share = count.get(1, 0) / max(1, sum(count.values()))
     picked = [r for y in (0, 1) for r in given.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()]
     sample = F.broadcast(spark.createDataFrame([(r.id, r.label) for r in picked], "id bigint, label int"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(sample, "id")
     texts = texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min_by(F.struct("id", "text", "label"), "id").alias("r")).select("r.*")
-    return build(texts.select("id", "text", "label").mapInArrow(_terms, "id bigint, label int, term array<string>, n array<int>").toArrow(), k, block, share)
+    counted = texts.select("id", "text", "label").mapInArrow(_terms, "id bigint, label int, term array<string>, n array<int>")
+    folder = _io.qualified(spark, _io.scratch(spark, "toxicity-index"))
+    if not counted.repartition(1).mapInArrow(_build(k, block, share, folder), "examples bigint").collect():
+        _io.write_file(folder, "index", [pickle.dumps(build(pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int32())}), k, block, share))])
+    return Fitted(folder)
 
 
 def build(sample: pa.Table, k: int = K_NEAREST, block: int = BLOCK, share: float = 0.5) -> Index:
@@ -381,9 +421,9 @@ class Scorer:
         return [self.known[k] for k in keys]
 
 
-def _score(index: Broadcast):
+def _score(index: Fitted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(index.value)
+        scorer = Scorer(index.load())
         for batch in batches:
             scores = scorer.of(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in scores], pa.float64()), pa.array([e for _, e in scores], pa.string())], ["id", "score", "evidence"])
@@ -391,29 +431,29 @@ def _score(index: Broadcast):
     return run
 
 
-def _clean(index: Broadcast, column: int):
+def _clean(index: Fitted, column: int):
     """Whole rows in, those of texts that score less than 0.5 out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(index.value)
+        scorer = Scorer(index.load())
         for batch in batches:
             yield batch.filter(pa.array([s < 0.5 for s, _ in scorer.of(batch.column(column).cast(pa.string()).to_pylist())], pa.bool_()))
 
     return run
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, index: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score, evidence: the three nearest points as example:cosine:label share, then the text's heaviest terms."""
     _io.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(index)), f"id {docs.schema['id'].dataType.simpleString()}, score double, evidence string")
+    return docs.mapInArrow(_score(index), f"id {docs.schema['id'].dataType.simpleString()}, score double, evidence string")
 
 
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def production_index(docs: DataFrame, labels: DataFrame) -> Index:
+def production_index(docs: DataFrame, labels: DataFrame) -> Fitted:
     return fit(docs, labels.where(~held_out()))
 
 
@@ -426,5 +466,5 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts aren't predicted toxic, with all their columns; each row by its own text, without a shuffle."""
-    index = docs.sparkSession.sparkContext.broadcast(production_index(docs, labels))
+    index = production_index(docs, labels)
     return docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)

@@ -296,6 +296,7 @@ def test_held_out_accuracy_exact_search_and_odd_texts(spark):
     held = [(got[i] >= 0.5, bool(y)) for i, _, y in rows if i % 5 == 0]
     assert sum(a == b for a, b in held) / len(held) > 0.97
     assert all(0 <= s <= 1 for s in got.values()) and got[900] == got[901] < 0.5
+    index = index.load()
     queries = index.matrix([tuple(toxicity.counts(t, index.vocabulary)) for _, t, _ in rows[:100]])
     _, cosine = index.nearest(queries, 15)
     weight = np.zeros((len(index.example), len(index.terms)))
@@ -318,7 +319,7 @@ def test_every_word_of_the_examples_counts(spark):
     df = docs(spark, [(i, t) for i, t, _ in rows])
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
     index = toxicity.fit(df, labels.where("doc_id >= 300"))
-    assert set(plain + rare) <= set(index.terms)
+    assert set(plain + rare) <= set(index.load().terms)
     got = {r.id: r for r in toxicity.score(df.where("doc_id < 300"), index).collect()}
     held = [(got[i].score >= 0.5, y == 1) for i, _, y in rows if i < 300]
     assert sum(a and b for a, b in held) > 0.9 * 60 and sum(a and not b for a, b in held) < 0.05 * 240
@@ -334,4 +335,4 @@ def test_fitting_on_little(spark):
     assert toxicity.score(docs(spark, []), toxicity.fit(df, none)).count() == 0
     kept = toxicity.reject(docs(spark, [(1, "a"), (None, "b")]), none)
     assert kept.columns == ["doc_id", "text", "spans"] and kept.count() == 2
-    assert toxicity.fit(df, ones.select("doc_id", F.lit(1).alias("toxic"))).share == 1.0
+    assert toxicity.fit(df, ones.select("doc_id", F.lit(1).alias("toxic"))).load().share == 1.0
