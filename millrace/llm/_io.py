@@ -99,3 +99,47 @@ def read_file(folder: str, name: str) -> bytes | None:
         return None
     with fs.open_input_stream(f"{path}/{name}") as source:
         return source.read()
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what is in a folder, in order; none where there is no folder."""
+    where, fs = _file_system(spark, folder)
+    return sorted(n for s in fs.listStatus(where) if not (n := s.getPath().getName()).startswith(".")) if fs.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    where, fs = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that appears whole, in one step; False if it is there already."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    where, fs = _file_system(spark, path)
+    where = fs.makeQualified(where)
+    aside = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(
+            aside, where, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+    except Exception as error:
+        fs.delete(aside, False)
+        if "FileAlreadyExists" in str(error) or "already exists" in str(error):
+            return False
+        raise
+    return True

@@ -1,10 +1,16 @@
 """Exact deduplication with a persistent digest index.
 
-The index is a Parquet table of ``(digest, keep_id, group_size)``, one row for each different
-text, bucketed and sorted by digest.  A new batch is digested, pre-aggregated to one row for
-each digest (so that a text with any number of copies is one row before anything is joined),
-deduplicated against the index with a sort-merge anti-join that reads the buckets without a
-shuffle, and appended.  Everything is DataFrame code; no Python runs on the executors.
+The index is a Parquet table of ``(digest, keep_id, rows, batch)``, bucketed and sorted by digest and
+partitioned by batch: a batch adds one row for each of its different texts, which holds the text's
+``keep_id`` if the batch brought the text, else null.  A new batch is digested, pre-aggregated to one row
+for each digest (so that a text with any number of copies is one row before anything is joined),
+deduplicated against the index with a sort-merge anti-join that reads the buckets without a shuffle,
+and appended.  Everything is DataFrame code; no Python runs on the executors.
+
+``_index`` beside the files says how many buckets there are, so that a reopened index can't be read
+with another number.  ``_batches/<n>`` names the n-th batch and appears in one step, after the batch's
+files: files of a batch that isn't named there (a writer that crashed, or that lost against another)
+are never read.
 
 Defined results
 ---------------
@@ -12,14 +18,19 @@ Defined results
   all empty texts are copies of each other.
 * Of equal texts within a batch, the row with the largest id stays; a text that the index
   already holds keeps the id that the index has.
+* ``group_size``: rows with the text in all batches up to this one.
 * A row whose id is null can stay only if no equal text has an id (its ``keep_id`` is null).
 * Rows that repeat id and text each get a row in the decisions; ``deduplicate`` returns one of them.
 * An empty batch appends nothing and gives no decisions.
+* Of two writers that append at once, the later raises ``RuntimeError`` and has appended nothing.
+* Ids are cast to 64-bit integers; others are an error.
 * Other columns, whatever their names, do not matter: only id and text are read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,36 +52,71 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """All digests seen so far, below ``path`` (a folder that driver and executors share)."""
+    """All digests seen so far, below ``path`` (a folder that driver and executors share).
+
+    ``buckets`` holds for a new index; one that exists has its own number, and another is an error.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, name: str, id_type: str = "bigint", buckets: int = 64):
-        self.spark, self.path, self.name, self.buckets = spark, path, name, buckets
+    COLUMNS = "digest BINARY, keep_id BIGINT, rows BIGINT, batch STRING"
+
+    def __init__(self, spark: SparkSession, path: str, name: str, buckets: int | None = None):
+        self.spark, self.path, self.name, self._listed = spark, path, name, set()
+        stored = _io.read_text(spark, f"{path}/_index")
+        if stored is None:
+            stored = str(buckets or 64)
+            if not _io.create_text(spark, f"{path}/_index", stored):
+                stored = _io.read_text(spark, f"{path}/_index")
+        self.buckets = int(stored)
+        if buckets is not None and buckets != self.buckets:
+            raise ValueError(f"the index at {path} has {self.buckets} buckets, not {buckets}")
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id {id_type}, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE IF NOT EXISTS {name} ({self.COLUMNS}) USING parquet PARTITIONED BY (batch) "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def batches(self) -> list[str]:
+        """The batches that were appended, in order."""
+        return [_io.read_text(self.spark, f"{self.path}/_batches/{n}") for n in _io.names(self.spark, f"{self.path}/_batches")]
+
     def table(self) -> DataFrame:
         """The index as a bucketed table: a sort-merge join on digest reads it without a shuffle."""
-        return self.spark.table(self.name)
-
-    def rows(self) -> DataFrame:
-        """The index as plain files: joins with it are shuffled, so that skewed sides can be split."""
-        return self.spark.read.schema("digest binary, keep_id bigint, group_size bigint").parquet(self.path)
+        batches = self.batches()
+        if not self._listed.issuperset(batches):  # of other writers, or of an index that is opened again
+            self.spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
+            self._listed.update(batches)
+        return self.spark.table(self.name).where(F.col("batch").isin(batches)).select("digest", "keep_id", "rows")
+
+    def groups(self) -> DataFrame:
+        """digest, keep_id, group_size of all texts, from plain files: joins with it are shuffled, so that skewed sides can be split."""
+        paths = [f"{self.path}/batch={b}" for b in self.batches()]
+        if not paths:
+            return self.spark.createDataFrame([], "digest binary, keep_id bigint, group_size bigint")
+        rows = self.spark.read.schema("digest binary, keep_id bigint, rows bigint").parquet(*paths)
+        if len(paths) == 1:
+            return rows.withColumnRenamed("rows", "group_size")
+        return rows.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("rows").alias("group_size"))
 
     def append(self, digests: DataFrame) -> None:
-        """Adds the digests that the index lacks.  ``digests``: digest, id; one row for each document."""
-        groups = digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        new = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        new = _io.materialise(new, "new-digests")  # a table can't be read and appended to in one job
+        """Adds a batch.  ``digests``: digest, id; one row for each document."""
+        known = self.batches()
+        groups = digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("rows"))
+        held = self.table()
+        if known:
+            groups = _io.materialise(groups, "groups")
+        new = groups.join(held.select("digest").hint("merge"), "digest", "left_anti")
+        if known:
+            again = groups.join(held.select("digest").hint("merge"), "digest", "left_semi").withColumn("keep_id", F.lit(None).cast("bigint"))
+            new = new.unionByName(again)
+        batch = uuid.uuid4().hex
+        new = _io.materialise(new.withColumn("batch", F.lit(batch)), "new-digests")  # a table can't be read and appended to in one job
+        if new.isEmpty():
+            return
         (new.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name))
+            .write.mode("append").format("parquet").partitionBy("batch").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name))
         self.spark.catalog.refreshTable(self.name)
-        _io.drop(self.spark, _path_of(new))
-
-
-def _path_of(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
+        if not _io.create_text(self.spark, f"{self.path}/_batches/{len(known):08d}", batch):
+            _io.drop(self.spark, f"{self.path}/batch={batch}")
+            raise RuntimeError(f"another writer has appended to {self.path} meanwhile")
 
 
 def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,13 +134,13 @@ def _appended(docs: DataFrame, index: DigestIndex | None, id_col: str, text_col:
 
 
 def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds a batch to the index (an empty one by default); returns id, digest, keep_id, group_size (in the index), kept, one row for each row of the batch.
+    """Adds a batch to the index (an empty one by default); returns id, digest, keep_id, group_size, kept, one row for each row of the batch.
 
     The digests are written once and read by both the index's append and the final join; in that
     join both sides are shuffled, so that a digest with many copies is split by AQE.
     """
     digests, index = _appended(docs, index, id_col, text_col)
-    return (digests.join(index.rows(), "digest", "left")
+    return (digests.join(index.groups(), "digest", "left")
             .select("id", "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")))
 
 
@@ -108,7 +154,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """The rows of ``docs`` that stay, with their own columns, one for each different text."""
     digests, index = _appended(docs, index, id_col, text_col)
     rows = digests.where("id IS NOT NULL").groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
-    kept = _io.materialise(rows.join(index.rows(), "digest").where("id = keep_id").select("id", "digest", "n"), "kept")
+    kept = _io.materialise(rows.join(index.groups(), "digest").where("id = keep_id").select("id", "digest", "n"), "kept")
     once, again = (kept.where(c).select("id", "digest") for c in ("n = 1", "n > 1"))
     name = "__digest"
     while name in docs.columns:
@@ -123,7 +169,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     if not again.isEmpty():
         out = out.unionByName(held(again).dropDuplicates([id_col, name]).drop(name))
     if not digests.where("id IS NULL").isEmpty():
-        bare, known = named.where(F.col(id_col).isNull()), index.rows().where("keep_id IS NOT NULL")
+        bare, known = named.where(F.col(id_col).isNull()), index.groups().where("keep_id IS NOT NULL")
         out = out.unionByName(bare.join(known, bare[name] == known["digest"], "left_anti").dropDuplicates([name]).drop(name))
     return out
 
