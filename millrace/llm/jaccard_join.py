@@ -1,18 +1,25 @@
-"""N-gram Jaccard self-join of documents with MinHash banding.
+"""N-gram Jaccard self-join of documents with a MinHash LSH forest.
 
 1. Each text becomes the set of its word 5-gram hashes.  Texts with equal sets are one *class*
    (exact copies, or copies up to case and punctuation); its smallest id represents it.
-2. Representatives get ``trees`` x ``depth`` MinHash values; those of a tree (band) are folded into
-   one key.  ``depth`` is computed before any data is read: the largest, ``max_depth`` at most, with
-   which a pair at the threshold shares a key in some tree with at least the target probability.
-   There are no tries and no longer prefixes, as an LSH forest has; no bucket is capped.
-3. Nodes with two or more members are the candidates.  A node whose members all meet in a node
+2. A representative gets ``max_depth`` MinHash values in each of ``trees`` trees.  The values of a tree
+   are its signature, packed into one 64-bit number whose order is that of the tree's prefix trie: the
+   members of a trie node are a run of the sorted signatures.
+3. A document starts with its whole signatures as prefixes and meets those that share one in some tree.
+   Each step shortens its prefix in one more tree by one value.  It stops at the first step after
+   which a partner of the least similarity that *it* can have shares a prefix with it in some tree with
+   at least the probability ``recall``.  That similarity follows from the size of the document's set:
+   sizes and intersections are whole numbers, so that small sets have partners only well above the
+   threshold, and some have none; those stay out of the forest.  A pair meets where either of the two
+   looks.  ``recall`` holds for each pair, not on average, so that no link is traded for another.
+4. The nodes at the shortest prefixes are the candidates.  A node whose members all meet in a node
    of an earlier tree adds nothing and is left out.  A large node is cut into blocks, and each
-   pair of blocks is one unit of work, so that no task holds an unbounded node.
-4. Within a unit exact intersection sizes are counted by matrix products over the shingles that
-   two members share.  A pair that met in an earlier tree is not counted again.  A unit returns
-   one row per member (its links, and the smallest member of its linked set), never pairs.
-5. Linked sets are merged into groups by alternating large-star and small-star steps over
+   pair of blocks is one unit of work, so that no task holds an unbounded node; no node is capped.
+5. Within a unit the lengths of common prefixes say which pairs meet; their exact intersection sizes are
+   counted by matrix products over the shingles that two members share.  A pair that met in an earlier
+   tree is not counted again.  A unit returns one row per member (its links, and the smallest member of
+   its linked set), never pairs.
+6. Linked sets are merged into groups by alternating large-star and small-star steps over
    tables in the shared folder.
 
 Defined results
@@ -25,14 +32,15 @@ Defined results
 * ``class_id``: the smallest id of all documents linked to each other directly or in a chain.
 * Every row of the input gives one row, also where ids repeat; rows without an id are left alone
   (``class_id`` null).  An empty table gives no rows.  Other columns do not matter.
-* Rows that share an id are taken for copies of one row; if their texts differ, the id's links are
-  those of one of them.
-* Shingles are compared by 64-bit hashes.
+* Rows that share an id but not a text are documents of their own, each with its own links; classes
+  whose smallest id is the same are in one group.
+* Shingles are compared by 64-bit hashes.  Ids are cast to 64-bit integers; others are an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,15 +54,53 @@ from ._kernel import U64
 
 WIDTH, THRESHOLD, TREES, MAX_DEPTH, RECALL = 5, 0.8, 16, 8, 0.9995
 #: Members and shingles of a block; a unit of work holds two blocks.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 400_000
-
-
-def depth_for(threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix with which a pair at the threshold meets in some tree with the target probability."""
-    for depth in range(max_depth, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
+#: Bits of a signature that the shortest prefix takes; the longer ones share the rest.  Sets of SMALL shingles and more may have a partner just at the threshold.
+PREFIX_BITS, SMALL = 48, 64
+
+
+def least_similarity(size: int, threshold: float = THRESHOLD) -> float | None:
+    """The least Jaccard similarity, at or above the threshold, of a set of ``size`` elements with another set; None if there is none below 1."""
+    if size >= SMALL:
+        return threshold
+    found = []
+    for other in range(math.ceil(threshold * size - 1e-9), math.floor(size / threshold + 1e-9) + 1):
+        inner = math.ceil(threshold * (size + other) / (1 + threshold) - 1e-9)
+        if inner <= min(size, other) and not inner == size == other:
+            found.append(inner / (size + other - inner))
+    return min(found, default=None)
+
+
+class Forest:
+    """Prefix lengths of the trees after each number of steps, and where they lie in a signature."""
+
+    def __init__(self, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL):
+        self.threshold, self.trees, self.max_depth, self.recall = threshold, trees, max_depth, recall
+        self.most = self.steps(threshold)
+        floor = min(self.depth(t, self.most) for t in range(trees))
+        above = max_depth - floor
+        self.bits = [PREFIX_BITS // floor] * floor + [(64 - PREFIX_BITS) // above] * above if above else [64 // floor] * floor
+        #: By tree and steps: the largest difference of two signatures that share the prefix.
+        self.reach = np.array([[(1 << self.shift(t, n)) - 1 for n in range(self.most + 1)] for t in range(trees)], U64)
+        #: By size of a set: steps, or -1 where no partner is possible.
+        self.steps_of = np.array([-1 if (s := least_similarity(n, threshold)) is None else self.steps(s) for n in range(SMALL + 1)], np.int32)
+
+    def depth(self, tree: int, steps: int) -> int:
+        """Length of a tree's prefix after so many steps, each of which shortens one tree, in turn."""
+        return self.max_depth - steps // self.trees - (tree < steps % self.trees)
+
+    def met(self, similarity: float, steps: int) -> float:
+        """Probability that a pair shares a prefix in some tree after so many steps."""
+        return 1 - math.prod(1 - similarity ** self.depth(t, steps) for t in range(self.trees))
+
+    def steps(self, similarity: float) -> int:
+        """The first number of steps after which a pair has met with the target probability; at most down to prefixes of one value."""
+        most = self.trees * (self.max_depth - 1)
+        return next((n for n in range(most) if self.met(similarity, n) >= self.recall), most)
+
+    def shift(self, tree: int, steps: int) -> int:
+        """Bits of a signature behind the tree's prefix."""
+        return 64 - sum(self.bits[: self.depth(tree, steps)])
 
 
 def _sets(batch_text: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -66,39 +112,53 @@ def _sets(batch_text: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarr
         yield lo, hi, np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
 
 
-def _sign(width: int, trees: int, depth: int):
-    """id, text -> id, digest of the shingle set, its size, and one key for each tree."""
-    odd = (K.series(11, trees * depth) | U64(1)).reshape(trees, depth)
+def _sign(width: int, forest: Forest):
+    """id, text -> id, digest of the shingle set, its size, the steps it needs, and its signature in each tree."""
+    trees, bits = forest.trees, forest.bits
+    odd = (K.series(11, trees * len(bits)) | U64(1)).reshape(trees, len(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, sh, bounds in _sets(batch.column(1), width):
-                full = np.flatnonzero(np.diff(bounds))
+                size = np.diff(bounds)
+                steps = np.where(size > 0, forest.steps_of[np.minimum(size, SMALL)], -1)
+                full = np.flatnonzero(size)
                 keys = np.zeros((hi - lo, trees), U64)
                 for t in range(trees if len(full) else 0):
-                    key = np.full(len(full), t + 1, U64)
-                    for d in range(depth):
+                    at = 64
+                    for d, n in enumerate(bits):
                         x = sh * odd[t, d]
                         x ^= x >> U64(29)
-                        key = K.mix(key * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, bounds[full]))
-                    keys[full, t] = key
-                digests = [hashlib.blake2b(sh[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                        at -= n
+                        keys[full, t] |= K.mix(np.minimum.reduceat(x, bounds[full]) + U64(t + 1)) >> U64(64 - n) << U64(at)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * trees, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digests, pa.binary()), pa.array(np.diff(bounds), pa.int64()), flat], ["id", "digest", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(_digests(sh, bounds), pa.binary()), pa.array(size, pa.int64()), pa.array(steps, pa.int32()), flat], ["id", "digest", "size", "steps", "keys"])
 
     return run
 
 
+def _digests(shingles: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [hashlib.blake2b(shingles[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def _shingle_sets(width: int):
+    """text -> digest and shingle set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, sh, bounds in _sets(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([sh[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["rep", "shingles"])
+            for _, _, sh, bounds in _sets(batch.column(0), width):
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(sh, bounds), pa.binary()), pa.array([sh[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["digest", "shingles"])
 
     return run
 
 
-def _linked(ids: np.ndarray, side: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], tree: int, threshold: float, crossed: bool) -> tuple[np.ndarray, np.ndarray]:
+def meet(keys: np.ndarray, steps: np.ndarray, tree: int, forest: Forest) -> np.ndarray:
+    """Which pairs share a prefix of the tree that one of the two looks at."""
+    reach = forest.reach[tree][steps]
+    return (keys[:, tree][:, None] ^ keys[:, tree][None, :]) <= np.maximum(reach[:, None], reach[None, :])
+
+
+def _linked(ids: np.ndarray, side: np.ndarray, keys: np.ndarray, steps: np.ndarray, sets: list[np.ndarray], tree: int, forest: Forest, crossed: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member, and the smallest id of the members linked with it in a chain.
 
     ``crossed``: only pairs between side 0 and side 1 count, else all pairs.
@@ -118,13 +178,13 @@ def _linked(ids: np.ndarray, side: np.ndarray, keys: np.ndarray, sets: list[np.n
         part = np.zeros((n, min(step, width - lo)), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
         both += part @ part.T
-    links = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+    links = (both >= forest.threshold * (size[:, None] + size[None, :] - both) - 1e-9) & meet(keys, steps, tree, forest)
     np.fill_diagonal(links, False)
     if crossed:
         links &= side[:, None] != side[None, :]
     new = links.copy()
     for t in range(tree):
-        new &= keys[:, t][:, None] != keys[:, t][None, :]
+        new &= ~meet(keys, steps, t, forest)
     root = ids.copy()
     while True:  # the smallest id spreads along links
         least = np.where(links, root[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
@@ -134,26 +194,26 @@ def _linked(ids: np.ndarray, side: np.ndarray, keys: np.ndarray, sets: list[np.n
         root = least
 
 
-def _verify(threshold: float, trees: int):
-    """Sorted rows of units -> rep, root, links."""
+def _verify(forest: Forest):
+    """Sorted rows of units -> digest, rep, root, links."""
 
-    def unit(rows: list[tuple]) -> tuple[list, list, list]:
+    def unit(rows: list[tuple]) -> tuple[list, list, list, list]:
         rows = list({(r[4], r[3]): r for r in rows}.values())
-        ids = np.array([r[4] for r in rows], np.int64)
+        ids = np.array([r[5] for r in rows], np.int64)
         side = np.array([r[3] for r in rows])
-        keys = np.array([np.asarray(r[5], np.int64) for r in rows]).reshape(len(rows), trees)
-        sets = [np.frombuffer(r[6], U64) for r in rows]
-        links, root = _linked(ids, side, keys, sets, rows[0][0], threshold, rows[0][2] != 0)
-        some = (links > 0) | (root != ids)
-        return ids[some].tolist(), root[some].tolist(), links[some].tolist()
+        keys = np.array([np.asarray(r[6], np.int64) for r in rows]).reshape(len(rows), forest.trees).view(U64)
+        sets = [np.frombuffer(r[8], U64) for r in rows]
+        links, root = _linked(ids, side, keys, np.array([r[7] for r in rows]), sets, rows[0][0], forest, rows[0][2] != 0)
+        some = np.flatnonzero((links > 0) | (root != ids))
+        return [rows[k][4] for k in some], ids[some].tolist(), root[some].tolist(), links[some].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
 
         def flush(final: bool) -> pa.RecordBatch | None:
             if out[0] and (final or len(out[0]) >= 20_000):
-                made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["rep", "root", "links"])
+                made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:])], ["digest", "rep", "root", "links"])
                 for x in out:
                     x.clear()
                 return made
@@ -166,7 +226,7 @@ def _verify(threshold: float, trees: int):
             rows.clear()
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 if rows and row[:3] != rows[0][:3]:
                     close()
                 rows.append(row)
@@ -206,41 +266,43 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH,
                  trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL) -> DataFrame:
     """id, copy_id (representative of equal shingle sets), class_id, n_links, one row for each row of ``docs``."""
-    depth = depth_for(threshold, trees, max_depth, recall)
+    forest = Forest(threshold, trees, max_depth, recall)
     _io.bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signs = _io.materialise(texts.mapInArrow(_sign(width, trees, depth), "id bigint, digest binary, size bigint, keys array<bigint>"), "signatures")
+    signs = _io.materialise(texts.mapInArrow(_sign(width, forest), "id bigint, digest binary, size bigint, steps int, keys array<bigint>"), "signatures")
     known = signs.where("size > 0 AND id IS NOT NULL")
-    reps = _io.materialise(known.groupBy("digest").agg(F.min(F.struct("id", "size", "keys")).alias("r")).select("digest", "r.*"), "representatives")
+    reps = _io.materialise(known.groupBy("digest").agg(F.min(F.struct("id", "size", "steps", "keys")).alias("r")).select("digest", "r.*"), "representatives")
 
     # Nodes with two members or more, less those inside a node of an earlier tree.
-    at = reps.select(F.posexplode("keys").alias("tree", "key"), F.col("id").alias("rep"), "size")
-    crowded = at.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("tree", "key")
-    at = at.join(crowded, ["tree", "key"]).join(reps.select(F.col("id").alias("rep"), "keys"), "rep")  # most nodes have one member; keys come back for the rest
+    short = [forest.shift(t, forest.most) for t in range(trees)]
+    node = F.expr("shiftrightunsigned(key, element_at(array(" + ",".join(map(str, short)) + "), tree + 1))")
+    at = reps.where("steps >= 0").select(F.posexplode("keys").alias("tree", "key"), "digest", "size").withColumn("node", node)
+    crowded = at.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("tree", "node")
+    at = at.join(crowded, ["tree", "node"]).join(reps.select("digest", F.col("id").alias("rep"), "steps", "keys"), "digest")  # most nodes have one member; keys come back for the rest
     at = _io.materialise(at, "crowded")
     inside = F.lit(False)
     for t in range(trees - 1):
         inside = inside | ((F.col("tree") > t) & (F.col(f"lo{t}") == F.col(f"hi{t}")))
-    ends = [f(F.col("keys")[t]).alias(f"{n}{t}") for t in range(trees - 1) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    nodes = at.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("weight"), *ends).where(~inside)
-    nodes = nodes.select("tree", "key", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    ends = [f(F.expr(f"shiftrightunsigned(keys[{t}], {short[t]})")).alias(f"{n}{t}") for t in range(trees - 1) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    nodes = at.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("weight"), F.min("steps").alias("least"), *ends).where(~(inside & (F.col("least") == forest.most)))
+    nodes = nodes.select("tree", "node", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
 
     # Units: pairs of blocks of a node.  A member goes to the units that hold its block.
-    member = at.join(nodes, ["tree", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    member = at.join(nodes, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    unit = member.select("tree", "key", "rep", "keys", "block", other).select(
-        "tree", "key", F.when(F.col("block") == F.col("other"), F.concat_ws(":", "block", "block")).otherwise(F.concat_ws(":", F.least("block", "other"), F.greatest("block", "other"))).alias("pair"),
-        (F.col("block") != F.col("other")).cast("int").alias("crossed"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "keys")
+    unit = member.select("tree", "node", "key", "digest", "rep", "keys", "steps", "block", other).select(
+        "tree", F.concat_ws("/", "node", F.concat_ws(":", F.least("block", "other"), F.greatest("block", "other"))).alias("unit"),
+        (F.col("block") != F.col("other")).cast("int").alias("crossed"), (F.col("block") > F.col("other")).cast("int").alias("side"), "digest", "rep", "keys", "steps", "key")
     unit = _io.materialise(unit, "units")
     wanted = unit.select(F.col("rep").alias("id")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingle_sets(width), "rep bigint, shingles binary")
-    rows = unit.join(sets, "rep").select("tree", F.concat_ws("/", "key", "pair").alias("unit"), "crossed", "side", "rep", "keys", "shingles")
-    rows = rows.repartition("tree", "unit").sortWithinPartitions("tree", "unit")
-    found = _io.materialise(rows.mapInArrow(_verify(threshold, trees), "rep bigint, root bigint, links bigint"), "links")
+    sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).select("text").mapInArrow(_shingle_sets(width), "digest binary, shingles binary")
+    rows = unit.join(sets, "digest").select("tree", "unit", "crossed", "side", "digest", "rep", "keys", "steps", "shingles", "key")
+    rows = rows.repartition("tree", "unit").sortWithinPartitions("tree", "unit", "key").drop("key")  # in a unit, in the order of the trie
+    found = _io.materialise(rows.mapInArrow(_verify(forest), "digest binary, rep bigint, root bigint, links bigint"), "links")
 
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = (reps.select("digest", F.col("id").alias("copy_id")).join(links, F.col("copy_id") == F.col("rep"), "left").drop("rep")
+    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
+    classes = (reps.select("digest", F.col("id").alias("copy_id")).join(links, "digest", "left")
                .join(roots, F.col("copy_id") == F.col("node"), "left").select("digest", "copy_id", F.coalesce("root", "copy_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     whole = F.col("size") > 0
     return (signs.select("id", "digest", "size").join(classes, "digest", "left")
@@ -257,21 +319,3 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
-
-
-def brute_force(docs: list[tuple], threshold: float = THRESHOLD, width: int = WIDTH) -> list[tuple]:
-    """(id, copy_id, class_id, n_links) from the definition, for tests; ids must differ."""
-    import re
-
-    def shingles(text) -> frozenset:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
-
-    of = {i: shingles(t) for i, t in docs}
-    copy = {i: min(j for j in of if of[j] == of[i]) if of[i] else i for i in of}
-    reps = sorted(set(copy.values()))
-    near = {a: [b for b in reps if a != b and of[a] and of[b] and len(of[a] & of[b]) >= threshold * len(of[a] | of[b]) - 1e-9] for a in reps}
-    root = {a: a for a in reps}
-    while (new := {a: min([root[a], *(root[b] for b in near[a])]) for a in reps}) != root:
-        root = new
-    return sorted((i, copy[i], root[copy[i]], len(near[copy[i]])) for i in of)
