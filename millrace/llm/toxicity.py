@@ -43,14 +43,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _io
@@ -72,11 +72,13 @@ def terms(text: str | None) -> Counter:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, text, label -> id, label and counts of the text's terms."""
-    for batch in batches:
-        found = [terms(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))],
-            ["id", "label", "term", "n"])
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 50):
+            batch = whole.slice(lo, 50)
+            found = [terms(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))],
+                ["id", "label", "term", "n"])
 
 
 def counts(text: str | None, vocabulary: dict[str, int]) -> list[tuple[int, int]]:
@@ -114,8 +116,8 @@ class Index:
     are those that go with label 1.
     """
 
-    def __init__(self, vocabulary: list[str], heavy: int, idf: np.ndarray, ids: list[int], labels: list[int], counted: Rows, k: int, block: int, share: float):
-        self.terms, self.heavy = ["*", *vocabulary], heavy
+    def __init__(self, heavy: int, idf: np.ndarray, ids: list[int], labels: list[int], counted: Rows, k: int, block: int, share: float):
+        self.names, self.heavy = pa.array([], pa.string()), heavy
         self.idf = np.concatenate(([COMMON], idf[:heavy], COMMON * idf[heavy:]))
         self.k, self.block, self.share = k, block, share
         points: dict[tuple, list] = {}
@@ -146,30 +148,41 @@ class Index:
 
     def __getstate__(self) -> dict:
         """Counts and terms; what follows from them is made anew where the index is used."""
-        kept = ("terms", "heavy", "idf", "k", "block", "share", "n1", "n0", "example", "w1", "w0", "label", "zero", "rank", "start", "feature", "steps")
+        kept = ("heavy", "idf", "k", "block", "share", "n1", "n0", "example", "w1", "w0", "label", "zero", "rank", "start", "feature", "steps")
         return {x: getattr(self, x) for x in kept} | {"n": self.n.astype(np.min_scalar_type(self.n.max(initial=0)))}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
+        self.names = pa.array([], pa.string())
         self._arrange()
 
+    @cached_property
+    def terms(self) -> list[str]:
+        return ["*", *self.names.to_pylist()]
+
+    @cached_property
+    def vocabulary(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.terms) if i}
+
+    @cached_property
+    def beginning(self) -> list[int]:
+        """Of each word its beginning, or 0."""
+        return [self.vocabulary.get("^" + w[:5], 0) if len(w) > 5 else 0 for w in self.terms]
+
     def _arrange(self) -> None:
-        self.vocabulary = {w: i for i, w in enumerate(self.terms) if i}
-        #: Of each word its beginning, or 0.
-        self.beginning = [self.vocabulary.get("^" + w[:5], 0) if len(w) > 5 else 0 for w in self.terms]
         n, self.weight = len(self.start) - 1, self.unit(self.start, self.feature, self.n)[2]
-        point = np.repeat(np.arange(n), np.diff(self.start))
-        often = np.bincount(self.feature, minlength=len(self.terms)) > FREQUENT * n
+        point = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
+        often = np.bincount(self.feature, minlength=len(self.idf)) > FREQUENT * n
         often[1 : self.heavy + 1] = True
         #: Of each term its column, or -1; and the columns.
         self.column = np.where(often, np.cumsum(often) - 1, -1)
         self.columns = np.zeros((int(often.sum()), n), np.float32)
         held = self.column[self.feature] >= 0
         self.columns[self.column[self.feature[held]], point[held]] = self.weight[held]
-        rare = np.flatnonzero(~held)
+        rare = np.flatnonzero(~held).astype(np.int32)
         rare = rare[np.argsort(self.feature[rare], kind="stable")]
-        self.post = np.concatenate(([0], np.cumsum(np.bincount(self.feature[rare], minlength=len(self.terms)))))
-        self.post_point, self.post_weight = point[rare].astype(np.int32), self.weight[rare].astype(np.float32)
+        self.post = np.concatenate(([0], np.cumsum(np.bincount(self.feature[rare], minlength=len(self.idf)))))
+        self.post_point, self.post_weight = point[rare], self.weight[rare].astype(np.float32)
         self.rare = np.sqrt(np.bincount(point[rare], self.weight[rare] ** 2, minlength=n))
         #: By block: the largest weight of each heavy term, and the largest length of the light part.
         blocks = np.arange(0, n, self.block)
@@ -207,7 +220,7 @@ class Index:
     def matrix(self, vectors: list[tuple]) -> np.ndarray:
         """Unit vectors of counts, as rows."""
         start, feature, weight = self.rows([dict(v) for v in vectors])
-        out = np.zeros((len(vectors), len(self.terms)))
+        out = np.zeros((len(vectors), len(self.idf)))
         out[np.repeat(np.arange(len(vectors)), np.diff(start)), feature] = weight
         return out
 
@@ -255,7 +268,7 @@ class Index:
         open_blocks(~first & (upper + SLACK >= least[:, None]))
         # Cosines without the rare terms so far: they can add the product of the rare parts' lengths at most.
         least = kth(near)
-        space = np.zeros(len(self.terms))
+        space = np.zeros(len(self.idf))
 
         def exact(points: np.ndarray) -> np.ndarray:
             to, size = _spread(self.start, points)
@@ -341,16 +354,30 @@ class Fitted:
 
 @lru_cache(maxsize=2)
 def _loaded(folder: str) -> Index:
-    return pickle.loads(_io.read_file(folder, "index"))
+    index = pickle.loads(_io.read_file(folder, "index"))
+    index.names = pickle.loads(_io.read_file(folder, "terms") or pickle.dumps(index.names))
+    return index
+
 
+def _store_terms(folder: str):
+    """Terms in the order of their numbers -> their file."""
 
-def _build(k: int, block: int, share: float, folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches, pa.schema([("feature", pa.int32()), ("term", pa.string())]))
+        if held.num_rows:
+            _io.write_file(folder, "terms", [pickle.dumps(held.sort_by("feature").column("term").combine_chunks())])
+            yield pa.RecordBatch.from_arrays([pa.array([held.num_rows], pa.int64())], ["terms"])
+
+    return run
+
+
+def _build(heavy: int, k: int, block: int, share: float, folder: str):
     """Counts of all examples -> the index's file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            _io.write_file(folder, "index", [pickle.dumps(build(pa.Table.from_batches(held), k, block, share))])
+            _io.write_file(folder, "index", [pickle.dumps(build(pa.Table.from_batches(held), heavy, k, block, share))])
             yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in held)], pa.int64())], ["examples"])
 
     return run
@@ -369,41 +396,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(spark.createDataFrame([(r.id, r.label) for r in picked], "id bigint, label int"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(sample, "id")
     texts = texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min_by(F.struct("id", "text", "label"), "id").alias("r")).select("r.*")
-    counted = texts.select("id", "text", "label").mapInArrow(_terms, "id bigint, label int, term array<string>, n array<int>")
+    counted = _io.materialise(texts.select("id", "text", "label").mapInArrow(_terms, "id bigint, label int, term array<string>, n array<int>"), "examples")
+    held = counted.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("n1")).first()
+    ranked = _io.materialise(numbered(counted, held["n"], held["n1"]), "terms")
+    heavy = ranked.where("goes").count()
+    each = counted.select("id", "label", F.explode_outer(F.arrays_zip("term", "n")).alias("e")).select("id", "label", "e.term", F.col("e.n").alias("n"))
+    each = each.join(ranked.select("term", "feature"), "term", "left").groupBy("id", "label").agg(F.sort_array(F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "n")))).alias("e"))
+    each = each.select("id", "label", F.col("e.feature").alias("feature"), F.col("e.n").alias("n"))
     folder = _io.qualified(spark, _io.scratch(spark, "toxicity-index"))
-    if not counted.repartition(1).mapInArrow(_build(k, block, share, folder), "examples bigint").collect():
-        _io.write_file(folder, "index", [pickle.dumps(build(pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int32())}), k, block, share))])
+    ranked.select("feature", "term").repartition(1).mapInArrow(_store_terms(folder), "terms bigint").collect()
+    if not each.repartition(1).mapInArrow(_build(heavy, k, block, share, folder), "examples bigint").collect():
+        _io.write_file(folder, "index", [pickle.dumps(build(pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int32())}), 0, k, block, share))])
     return Fitted(folder)
 
 
-def build(sample: pa.Table, k: int = K_NEAREST, block: int = BLOCK, share: float = 0.5) -> Index:
-    """``sample``: id, label, term and n (lists) of different texts."""
-    ids, labels = sample.column("id").to_pylist(), sample.column("label").to_pylist()
-    lists, ns = (pa.array([], pa.list_(x)) if not sample.num_rows else sample.column(c).combine_chunks() for c, x in (("term", pa.string()), ("n", pa.int32())))
-    start = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))))
-    ns, words = ns.flatten().to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
-    term, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
-    del sample, lists
-    one = np.repeat(np.array(labels, bool), np.diff(start))
-    a, b = (np.bincount(term[x], minlength=len(names)).astype(float) for x in (one, ~one))
-    n, n1 = float(len(labels)), float(sum(labels))
+def numbered(counted: DataFrame, n: int, n1: int) -> DataFrame:
+    """term, feature (from 1 on), goes: those that go with label 1 first, by chi-squared, then the others by name."""
     n0 = n - n1
+    terms = counted.select("label", F.explode("term").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).cast("double").alias("a"), F.count_if(F.col("label") == 0).cast("double").alias("b"))
+    a, b = F.col("a"), F.col("b")
     off = a * (n0 - b) - b * (n1 - a)
-    chi = n * off * off / np.maximum((a + b) * (n - a - b) * max(n1, 1.0) * max(n0, 1.0), 1e-300)
-    goes = (off > 0) & (a + b >= LEAST_SEEN) & (a + b < n) & (chi > LEAST_CHI)
-    # Heavy terms by chi-squared, then the others; equals by name.
-    name = np.empty(len(names), np.int64)
-    name[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-    order = np.lexsort((name, np.where(goes, -np.round(chi, 6), 0.0), ~goes))
-    place = np.empty(len(names), np.int32)
-    place[order] = np.arange(len(names)) + 1
-    feature, counted = place[term], np.empty(len(term), np.int32)
-    del words, term, one
-    for d in range(len(labels)):
-        own = slice(start[d], start[d + 1])
-        inner = np.argsort(feature[own])
-        feature[own], counted[own] = feature[own][inner], ns[own][inner]
-    return Index([names[i] for i in order], int(goes.sum()), np.log((1 + n) / (1 + a + b))[order] + 1, ids, labels, (start, feature, counted), k, block, share)
+    chi = F.lit(float(n)) * off * off / F.greatest((a + b) * (n - a - b) * float(max(n1, 1)) * float(max(n0, 1)), F.lit(1e-300))
+    terms = terms.select("term", chi.alias("chi"), ((off > 0) & (a + b >= LEAST_SEEN) & (a + b < n) & (chi > LEAST_CHI)).alias("goes"))
+    by = Window.orderBy(~F.col("goes"), F.when(F.col("goes"), -F.round("chi", 6)).otherwise(0.0), "term")
+    return terms.select("term", F.row_number().over(by).alias("feature"), "goes")  # in one task: the terms of a bounded sample
+
+
+def build(sample: pa.Table, heavy: int, k: int = K_NEAREST, block: int = BLOCK, share: float = 0.5) -> Index:
+    """``sample``: id, label, feature and n (sorted lists) of different texts; features up to ``heavy`` go with label 1."""
+    ids, labels = sample.column("id").to_pylist(), sample.column("label").to_pylist()
+    features, ns = (pa.array([], pa.list_(pa.int32())) if not sample.num_rows else sample.column(c).combine_chunks() for c in ("feature", "n"))
+    start = np.concatenate(([0], np.cumsum(pc.list_value_length(features).to_numpy(zero_copy_only=False).astype(np.int64))))
+    feature, n = features.flatten().to_numpy(zero_copy_only=False), ns.flatten().to_numpy(zero_copy_only=False)
+    seen = np.bincount(feature, minlength=1)[1:]
+    return Index(heavy, np.log((1 + len(ids)) / (1 + seen)) + 1, ids, labels, (start, feature, n), k, block, share)
 
 
 class Scorer:
