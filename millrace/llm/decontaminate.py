@@ -24,7 +24,6 @@ Defined results
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,23 +224,3 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items).select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
-
-
-def brute_force(docs: list[tuple], items: list[tuple], width: int = WIDTH) -> list[tuple]:
-    """The same result from its definition, for tests: (id, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    import re
-
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    out = []
-    for doc_id, text in docs:
-        words, hit, found = split(text), set(), set()
-        for item_id, item in items:
-            parts = split(item)
-            n = min(width, len(parts))
-            for i in range(len(parts) - n + 1 if n else 0):
-                for j in range(len(words) - n + 1):
-                    if words[j : j + n] == parts[i : i + n]:
-                        hit.update(range(j, j + n))
-                        found.add(str(item_id) if item_id is not None else "")
-        out.append((doc_id, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    return out

@@ -434,47 +434,3 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out(F.col("doc_id"))))
     return score(docs, model).select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
-
-
-class Reference:
-    """The same model from its definition, for tests: dictionaries of token tuples."""
-
-    def __init__(self, texts: list[str | None], order: int = ORDER):
-        from collections import Counter, defaultdict
-
-        self.order, self.count, self.ngrams = order, Counter(), [Counter() for _ in range(order + 1)]
-        for t in texts:
-            w = self.split(t)
-            self.count.update(w)
-            padded = ["<s>"] * (order - 1) + w
-            self.ngrams[order].update(tuple(padded[i : i + order]) for i in range(len(w)))
-        for k in range(order, 1, -1):
-            for g in self.ngrams[k]:
-                self.ngrams[k - 1][g[1:]] += 1
-        self.contexts = [defaultdict(list) for _ in range(order + 1)]
-        for k in range(1, order + 1):
-            for g, c in self.ngrams[k].items():
-                self.contexts[k][g[:-1]].append(c)
-        self.d = [None, *([0.0, *discounts([sum(c == i for c in self.ngrams[k].values()) for i in (1, 2, 3, 4)])] for k in range(1, order + 1))]
-
-    @staticmethod
-    def split(text: str | None) -> list[str]:
-        import re
-
-        return [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")), "</s>"]
-
-    def score(self, text: str | None) -> float:
-        import math
-
-        w = self.split(text)
-        padded, out = ["<s>"] * (self.order - 1) + w, 0.0
-        for i in range(len(w)):
-            p = 1 / (len(self.count) + 1)
-            for k in range(1, self.order + 1):
-                g = tuple(padded[i + self.order - k : i + self.order])
-                own = self.contexts[k].get(g[:-1])
-                if own:
-                    c, d, total = self.ngrams[k].get(g, 0), self.d[k], sum(own)
-                    p = (c - d[min(c, 3)]) / total + sum(d[min(x, 3)] for x in own) / total * p
-            out += math.log10(p)
-        return out

@@ -265,20 +265,3 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
-
-
-def brute_base(text: str | None) -> list[S.Span]:
-    """Base spans with the contract's own patterns, for tests."""
-    text, found = text or "", []
-    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
-        found.append(("email", *m.span()))
-    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
-            found.append(("ip", *m.span()))
-    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
-        if 16 <= len(_digits(m[0])) <= 19 and luhn(_digits(m[0])):
-            found.append(("card", *m.span()))
-    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
-        if 8 <= len(_digits(m[0])) <= 15:
-            found.append(("phone", *m.span()))
-    return found

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import brute
 from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, queries, toxicity
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -26,10 +27,10 @@ def test_stages_keep_what_their_operators_keep(spark, sf_dir):
     single = stages["exact_dedup"](spark, docs, sf_dir)
     assert single.columns == COLUMNS and ids(single) == sorted(r.id for r in exact_dedup.decide(docs, exact_dedup.fresh_index(spark)).where("kept").collect())
     apart = stages["jaccard_join"](spark, docs, sf_dir)
-    groups = jaccard_join.brute_force([(r.doc_id, r.text) for r in docs.collect()])
+    groups = brute.jaccard([(r.doc_id, r.text) for r in docs.collect()])
     assert apart.columns == COLUMNS and ids(apart) == sorted({g[2] for g in groups})
     unseen = stages["decontaminate"](spark, docs, sf_dir)
-    marks = decontaminate.brute_force([(r.doc_id, r.text) for r in docs.limit(60).collect()], [(r.item_id, r.text) for r in items.collect()])
+    marks = brute.decontaminate([(r.doc_id, r.text) for r in docs.limit(60).collect()], [(r.item_id, r.text) for r in items.collect()])
     assert unseen.columns == COLUMNS
     kept = set(ids(unseen))
     assert all((m[0] in kept) != m[5] for m in marks)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import brute
 from millrace.llm import decontaminate, exact_dedup, jaccard_join, line_dedup
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -52,18 +53,45 @@ def test_exact_dedup_equals_its_definition(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in groups.values())
 
 
-def test_the_index_persists_over_batches_and_is_joined_without_shuffling_it(spark):
-    index = exact_dedup.fresh_index(spark)
-    exact_dedup.decide(docs(spark, [(1, "a"), (2, "b")]), index).collect()
-    second = {r.id: (r.keep_id, r.kept) for r in exact_dedup.decide(docs(spark, [(3, "A"), (4, "c"), (5, "C")]), index).collect()}
-    assert second == {3: (1, False), 4: (5, False), 5: (5, True)}
-    again = exact_dedup.DigestIndex(spark, index.path, index.name + "_again")
-    assert sorted(r.keep_id for r in again.table().collect()) == [1, 2, 5]
+def test_batches_through_a_reopened_index_equal_brute_force(spark):
+    rng = random.Random(3)
+    texts = [f"text {k}" for k in range(40)]
+    batches = [[(100 * b + k, rng.choice(texts[: 15 + 12 * b]).upper() if rng.random() < 0.3 else rng.choice(texts[: 15 + 12 * b])) for k in range(60)] for b in range(3)]
+    batches.append(batches[0])  # a replay
+    index = exact_dedup.fresh_index(spark, 5_000_000)
+    assert index.buckets == 16
+    keeper, size = {}, {}
+    for b, rows in enumerate(batches):
+        for t in {low(t) for _, t in rows}:
+            keeper.setdefault(t, max(i for i, x in rows if low(x) == t))
+            size[t] = size.get(t, 0) + sum(low(x) == t for _, x in rows)
+        index = exact_dedup.DigestIndex(spark, index.path, f"{index.name}_{b}")
+        assert index.buckets == 16
+        got = exact_dedup.decide(docs(spark, rows), index).select("id", "keep_id", "group_size", "kept").collect()
+        assert sorted(map(tuple, got)) == sorted((i, keeper[low(t)], size[low(t)], i == keeper[low(t)]) for i, t in rows)
+        # What a writer that crashed left behind is never read.
+        lost = spark.createDataFrame([(bytes(32), 7, 1, "crashed")], "digest binary, keep_id bigint, rows bigint, batch string")
+        lost.write.mode("append").partitionBy("batch").parquet(f"{index.path}")
+    groups = index.groups().collect()
+    assert len(groups) == len({bytes(r.digest) for r in groups}) == len(keeper) and sorted(r.keep_id for r in groups) == sorted(keeper.values())
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, index.name + "_wrong", buckets=64)
     new = exact_dedup.digests_of(docs(spark, [(6, "d")]))
-    plan = new.join(again.table().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    plan = new.join(index.table().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "EvalPython" not in plan
 
 
+def test_of_two_writers_of_an_index_one_loses(spark, monkeypatch):
+    index = exact_dedup.fresh_index(spark)
+    index.append(exact_dedup.digests_of(docs(spark, [(1, "a")])))
+    before = index.batches()
+    monkeypatch.setattr(exact_dedup.DigestIndex, "batches", lambda self: before[:0])
+    with pytest.raises(RuntimeError):
+        index.append(exact_dedup.digests_of(docs(spark, [(2, "b")])))
+    monkeypatch.undo()
+    assert index.batches() == before and [r.keep_id for r in index.groups().collect()] == [1]
+
+
 def test_exact_dedup_of_odd_tables(spark):
     assert exact_dedup.decide(docs(spark, []), exact_dedup.fresh_index(spark)).count() == 0
     assert exact_dedup.deduplicate(docs(spark, [])).count() == 0
@@ -110,7 +138,7 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, members):
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", members)
     rows = near_copies(2, 220) + ODD
     got = jaccard_join.jaccard_join(docs(spark, rows)).select("id", "copy_id", "class_id", "n_links")
-    want = jaccard_join.brute_force(rows)
+    want = brute.jaccard(rows)
     assert sorted(map(tuple, got.collect())) == want and sum(w[3] for w in want) > 50
     kept = jaccard_join.one_of_each(docs(spark, rows))
     assert kept.columns == DOCS.replace(" bigint", "").replace(" string", "").split(", ")
@@ -122,7 +150,37 @@ def test_one_large_group_of_near_copies(spark):
     words = [f"w{k}" for k in range(300)]
     rows = [(i, " ".join(words[i : i + 120])) for i in range(60)]
     got = sorted(map(tuple, jaccard_join.jaccard_join(docs(spark, rows)).select("id", "copy_id", "class_id", "n_links").collect()))
-    assert got == jaccard_join.brute_force(rows) and {g[2] for g in got} == {0}
+    assert got == brute.jaccard(rows) and {g[2] for g in got} == {0}
+
+
+def test_the_forest_shortens_prefixes_until_the_recall_is_met():
+    forest = jaccard_join.Forest()
+    assert forest.met(0.8, forest.most) >= 0.9995 > forest.met(0.8, forest.most - 1)
+    steps = forest.steps_of
+    assert steps[1] == steps[2] == steps[3] == -1  # a set of three has no partner but its equal
+    assert 0 <= steps[7] < steps[6] < steps[5] == forest.most  # small sets have partners only well above the threshold
+    for n in range(1, 64):  # against all partners of such a set
+        found = [i / (n + m - i) for m in range(1, 90) for i in range(1, min(n, m) + 1) if not i == n == m and i / (n + m - i) >= 0.8 - 1e-12]
+        assert jaccard_join.least_similarity(n) == pytest.approx(min(found)) if found else steps[n] == -1
+    assert sum(forest.bits) == 64 and jaccard_join.Forest(threshold=0.5).most > forest.most > jaccard_join.Forest(threshold=0.95).most
+
+
+def test_recall_and_links_of_the_given_documents(spark):
+    """All links of the table, against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    got = {r.id: tuple(r) for r in jaccard_join.jaccard_join(table).select("id", "copy_id", "class_id", "n_links").collect()}
+    want = {w[0]: w for w in brute.jaccard(rows)}
+    links = sum(w[3] for w in want.values())
+    assert links > 10 and sum(min(got[i][3], want[i][3]) for i in want) / links >= 0.99
+    assert got == want
+
+
+def test_rows_that_share_an_id_have_links_of_their_own(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, b + " z z")]
+    got = sorted(map(tuple, jaccard_join.jaccard_join(docs(spark, rows)).select("id", "copy_id", "class_id", "n_links").collect()))
+    assert got == [(1, 1, 1, 1), (1, 1, 1, 2), (2, 2, 1, 1), (3, 3, 1, 2), (4, 4, 1, 2)]
 
 
 def test_jaccard_join_of_odd_tables(spark):
@@ -133,13 +191,6 @@ def test_jaccard_join_of_odd_tables(spark):
     assert sorted(r.class_id for r in jaccard_join.one_of_each(clash).collect()) == [8, 9, 9]
 
 
-def test_prefixes_are_shortened_until_the_recall_is_reached():
-    assert jaccard_join.depth_for() == 4
-    assert jaccard_join.depth_for(recall=0.9) > jaccard_join.depth_for(recall=0.999999)
-    d = jaccard_join.depth_for()
-    assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES
-
-
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5000, 5001 + k) for k in range(50)]
@@ -162,7 +213,7 @@ def test_decontamination_equals_brute_force(spark, block):
     it = spark.createDataFrame(items, "item_id bigint, text string")
     got = decontaminate.decontaminate(docs(spark, rows), it, block_windows=block)
     found = sorted((r.id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in got.collect())
-    want = sorted(decontaminate.brute_force(rows, items))
+    want = sorted(brute.decontaminate(rows, items))
     assert found == want and 0 < sum(w[5] for w in want) < len(want)
     clean = decontaminate.remove_contaminated(docs(spark, rows), it, block_windows=block)
     assert sorted(r.doc_id for r in clean.collect()) == sorted(w[0] for w in want if not w[5])

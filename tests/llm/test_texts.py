@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import brute
 from millrace.llm import _kernel, bpe, html_text, kneser_ney, pii, secrets, spans, toxicity
 
 P = pytest.importorskip("public_tokenizers")
@@ -161,7 +162,7 @@ def test_added_spans_stay_apart(found, taken):
 @given(st.text(alphabet=st.sampled_from("a1.@-+ 2(5)é%09\n_"), max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_base_pii_equals_its_patterns(text):
-    assert pii.base_spans(text) == pii.brute_base(text)
+    assert pii.base_spans(text) == brute.personal(text)
 
 
 def test_long_runs_take_linear_time():
@@ -178,8 +179,8 @@ def test_pii_of_a_table(spark):
     got = pii.find_pii(docs(spark, rows)).collect()
     by = {r.id: r for r in got}
     assert len(got) == len(rows) and (by[3].n_email, by[3].n_ip, by[3].n_card, by[3].n_phone) == (1, 1, 0, 1)
-    assert by[3].base_sha256 == spans.digest(pii.brute_base(rows[3][1])) and by[905].n_card == 1
-    assert by[900].spans == "" and by[3].spans.startswith(spans.joined(pii.brute_base(rows[3][1]))[:5])
+    assert by[3].base_sha256 == spans.digest(brute.personal(rows[3][1])) and by[905].n_card == 1
+    assert by[900].spans == "" and by[3].spans.startswith(spans.joined(brute.personal(rows[3][1]))[:5])
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
@@ -235,7 +236,7 @@ def test_the_model_equals_its_definition(spark, monkeypatch, order):
     rows = [(i, " ".join(rng.choices(words, weights=[1 / (1 + j) for j in range(60)], k=rng.randint(0, 40)))) for i in range(120)] + [(400, "many times " * 300), (401, "times many")] + [(500, None), (501, ""), (502, "Zz\tq\nw1"), (502, "Zz\tq\nw1")]
     df = docs(spark, rows)
     model = kneser_ney.train(df.where("doc_id % 3 <> 0"), order=order)
-    ref = kneser_ney.Reference([t for i, t in rows if i % 3], order)
+    ref = brute.KneserNey([t for i, t in rows if i % 3], order)
     n, v = sum(ref.count.values()), len(ref.count)
     assert (model.train_tokens, model.vocabulary) == (n, v)
     got = kneser_ney.score(df, model).collect()
@@ -252,15 +253,15 @@ def test_probabilities_sum_to_one(spark):
     rows = [(i, t) for i, t in enumerate(["a b a", "a c", "b a b", "c"] * 5)]
     model = kneser_ney.train(docs(spark, rows))
     # P(w | a) = P(a w end) / (P(a | begin) P(end | w)), for all words, the end and one unknown word.
-    class Open(kneser_ney.Reference):
+    class Open(brute.KneserNey):
         split = staticmethod(lambda text: text.split())
 
     ref = Open([])
-    ref.__dict__.update(kneser_ney.Reference([t for _, t in rows]).__dict__)
+    ref.__dict__.update(brute.KneserNey([t for _, t in rows]).__dict__)
     for context in ("a", "b", "unknown"):
         total = sum(10 ** (ref.score(f"{context} {w}") - ref.score(context)) for w in ["a", "b", "c", "</s>", "unknown"])
         assert math.isclose(total, 1, abs_tol=1e-9)
-    full = kneser_ney.Reference([t for _, t in rows])
+    full = brute.KneserNey([t for _, t in rows])
     assert math.isclose(kneser_ney.score(docs(spark, [(0, "a b")]), model).first().score, full.score("a b"), abs_tol=1e-9)
 
 
