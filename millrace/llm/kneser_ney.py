@@ -1,12 +1,18 @@
 """Language-model scores from an interpolated modified Kneser-Ney n-gram model.
 
-Counting runs in Spark.  A task hashes its tokens to 64 bits and reduces its n-grams to distinct
-ones with counts; they are dealt by the hash of their context into shards whose number follows
-the size of the corpus, so that a shard stays small at any size.  A shard sums its n-grams,
-writes them as sorted hash arrays into the model's folder (shared by all executors), and passes
-on the continuation counts of the next lower order, down to words.  Workers memory-map the
-arrays of a folder they can see, or of a local copy that is unlinked once mapped where the folder
-is in a store that only a client reaches; nothing is left behind.
+Counting runs in Spark.  Words come first: each is hashed to 64 bits and counted, and gets a number, the
+smaller the more often it occurs (by powers of two of its count, so that no global sort is needed).
+Then tasks reduce their n-grams of the highest order, as columns of word numbers, to distinct ones with
+counts; sorted, with small numbers for frequent words, these compress to a few bytes.  They are dealt by
+a hash of their context into shards whose number follows the size of the corpus.  A context that may be
+frequent (its rarest word's count bounds it) is dealt over several shards by its last word too, so that
+no shard holds a hot context whole; what the parts know of it is summed in one small row a part.  A shard
+sums its n-grams, writes them as sorted hash arrays into the model's folder (shared by all executors),
+and passes on the continuation counts of the next lower order, down to words.  All orders are one job:
+what a lost executor held is counted again.
+
+Workers memory-map the arrays; where the folder is in a store that can't be mapped, they read a shard
+whole and keep as many as ``CACHE_BYTES`` allow.
 
 Probabilities: of the highest order from counts, of lower orders from continuation counts; at each
 order discounted by D1, D2, D3+ from the counts of counts, and interpolated with the next lower;
@@ -19,6 +25,8 @@ Defined results
 * Contexts before the first token are filled with a begin mark, which is never predicted.
 * An unknown token has the probability that the unigram level leaves for it; an unknown context
   falls back to the next shorter one.
+* Words are told apart by 64 bits of a hash; n-grams within a shard by 48 more bits, so that an n-gram
+  that wasn't seen passes for one that was with a chance below 1 in 10^8, whatever the corpus's size.
 * Without training texts the model gives each token probability 1 (its vocabulary is the unknown
   token alone), and the base score's N and V are 0.
 * A row whose id is null is learnt from.  Every row gives one row, also where ids repeat (a
@@ -28,8 +36,7 @@ Defined results
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,19 +51,25 @@ from . import _io
 from . import _kernel as K
 from ._kernel import U64
 
-ORDER = 2
-#: n-grams that a shard gets on average, and tokens that a task counts or scores at once.
-SHARD_NGRAMS, TASK_TOKENS = 700_000, 700_000
-END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
+ORDER = 3
+#: n-grams that a shard gets on average, tokens that a task counts at once, and those that it scores at once.
+SHARD_NGRAMS, TASK_TOKENS, SCORE_TOKENS = 700_000, 1_400_000, 700_000
+#: What a worker keeps of a model that can't be mapped.
+CACHE_BYTES = 256 << 20
+END = U64(0x5851F42D4C957F2D)
 _C = U64(0x9E3779B97F4A7C15)
+_LOW = U64((1 << 48) - 1)
 SCHEMA = "kind int, shard int, block binary, stats array<bigint>"
+#: Kinds of rows: n-grams have their order, totals of contexts dealt over several shards HOT more, statistics the order with a minus.
+HOT = 100
+BUCKETS = 48
 
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-# ---- tokens and n-grams ------------------------------------------------------------------------
+# ---- tokens ------------------------------------------------------------------------------------
 
 def token_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, hashes of tokens with ends, bounds) for runs of rows."""
@@ -69,45 +82,54 @@ def token_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield lo, hi, out, bounds
 
 
-def grams(tokens: np.ndarray, bounds: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For k = 1..most: keys of the k-gram that ends before each token, and of that which ends at it."""
-    first = np.zeros(len(tokens), np.int64)
+def before(ids: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """The number of the k-th word before each token; 0, the begin mark, before a text."""
+    first = np.zeros(len(ids), np.int64)
     first[bounds[:-1]] = bounds[:-1]
-    place = np.arange(len(tokens)) - np.maximum.accumulate(first)
+    place = np.arange(len(ids)) - np.maximum.accumulate(first)
+    out = np.zeros(len(ids), np.int64)
+    out[k:] = np.where(place[k:] >= k, ids[:-k] if k else ids, 0)
+    return out
 
-    def back(x: np.ndarray, k: int) -> np.ndarray:
-        out = np.full(len(x), BEGIN, U64)
-        out[k:] = np.where(place[k:] >= k, x[:-k] if k else x, BEGIN)
-        return out
 
-    out, at, before = [], tokens, back(tokens, 1)
-    for k in range(1, most + 1):
-        out.append((before, at))
-        if k < most:
-            at, before = K.mix(at * _C + back(tokens, k)), K.mix(before * _C + back(tokens, k + 1))
+def fold(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of n-grams, word by word."""
+    out = K.mix(columns[0].astype(U64) + U64(1))
+    for c in columns[1:]:
+        out = K.mix(out * _C + c.astype(U64) + U64(1))
     return out
 
 
-def join_key(context: np.ndarray, tail: np.ndarray, bits: int) -> np.ndarray:
-    """Key of the n-gram with the (n-1)-grams ``context`` (all but its last word) and ``tail`` (all but its first): led by the context's shard."""
-    key = K.mix(tail * _C + context)
-    if not bits:
-        return key
-    return context & ~U64((1 << 64 - bits) - 1) | key >> U64(bits)
+def _runs(ordered: list[np.ndarray]) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(ordered[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(ordered[0]), bool)
+    new[0] = True
+    for c in ordered:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def _runs(ordered: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+def summed(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in order, with the sums of their counts."""
+    by = np.lexsort(columns[::-1])
+    columns = [c[by] for c in columns]
+    at = _runs(columns)
+    return [c[at] for c in columns], np.add.reduceat(count[by], at) if len(at) else count
 
 
 # ---- blocks that are shuffled ------------------------------------------------------------------
 
 def pack(columns: list[np.ndarray], count: np.ndarray) -> bytes:
+    """Rows that are sorted by the first column: its differences, the others, and the counts, byte by byte and compressed."""
     import zstandard
 
-    head = np.array([len(count)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(c.tobytes() for c in columns) + count.astype("<u4").tobytes())
+    parts = [np.array([len(count)], "<i8").tobytes()]
+    for c in [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:], count]:
+        raw = np.ascontiguousarray(c).astype("<u8").view(np.uint8).reshape(-1, 8)
+        parts += [raw[:, b].tobytes() for b in range(8)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(block: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -115,16 +137,18 @@ def unpack(block: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
 
     raw = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return [np.frombuffer(raw, "<u8", n, 8 + 8 * n * k) for k in range(width)], np.frombuffer(raw, "<u4", n, 8 + 8 * n * width).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(width + 1, 8, n)
+    out = [np.ascontiguousarray(planes[k].T).view("<u8").reshape(-1) for k in range(width + 1)]
+    out[0] = np.cumsum(out[0], dtype=U64)
+    return out[:-1], out[-1].astype(np.int64)
 
 
-def _deal(kind: int, columns: list[np.ndarray], count: np.ndarray, lead: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
-    """Blocks of rows by shard; rows must be sorted by ``lead``."""
-    shard = (lead >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(lead), np.int64)
-    edge = np.searchsorted(shard, np.arange((1 << bits) + 1))
-    for s in np.flatnonzero(np.diff(edge)).tolist():
-        k = slice(edge[s], edge[s + 1])
-        yield kind, s, pack([c[k] for c in columns], count[k])
+def _deal(kind: int, shard: np.ndarray, columns: list[np.ndarray], count: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Blocks of rows by shard; within a shard they keep their order."""
+    by = np.argsort(shard, kind="stable")
+    shard, columns, count = shard[by], [c[by] for c in columns], count[by]
+    edge = np.append(_runs([shard]), len(shard))
+    return [(kind, int(shard[a]), pack([c[a:b] for c in columns], count[a:b])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
 def _rows(parts: list[tuple[int, int, bytes]], stats: list[list[int]] | None = None) -> pa.RecordBatch:
@@ -132,78 +156,61 @@ def _rows(parts: list[tuple[int, int, bytes]], stats: list[list[int]] | None = N
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(shards, pa.int32()), pa.array(blocks, pa.binary()), pa.array(stats or [[]] * len(parts), pa.list_(pa.int64()))], ["kind", "shard", "block", "stats"])
 
 
-def _count(order: int, bits: int):
-    """Texts -> distinct words (kind 0) and n-grams (kind ``order``) of the task, with counts."""
+def _table(parts: list[tuple[int, int, bytes]], stats: list[list[int]] | None = None) -> pa.Table:
+    return pa.Table.from_batches([_rows(parts, stats)])
 
-    def flush(words: list[np.ndarray], held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        w, n = np.unique(np.concatenate(words), return_counts=True)
-        parts = list(_deal(0, [w], n, w, bits))
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        key = join_key(columns[0], columns[1], bits)
-        by = np.argsort(key)
-        at = _runs(key[by])
-        n = np.diff(np.append(at, len(by)))
-        columns = [c[by[at]] for c in columns]
-        # Within a shard sorted by context, so that its repeats compress.
-        by = np.argsort(columns[0], kind="stable")
-        parts += _deal(order, [c[by] for c in columns], n[by], columns[0][by], bits)
-        return _rows(parts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[np.ndarray] = []
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for _, _, tokens, bounds in token_hashes(batch.column(0)):
-                words.append(tokens)
-                held.append([x for pair in reversed(grams(tokens, bounds, order - 1)) for x in pair])
-                size += len(tokens)
-                if size >= TASK_TOKENS * 2:
-                    yield flush(words, held)
-                    words, held, size = [], [], 0
-        if size:
-            yield flush(words, held)
+def _blocks(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows of a shard's blocks, summed."""
+    parts = [unpack(b.as_py(), width) for b in table.column("block")]
+    return summed([np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts]))
 
-    return run
+
+def _collected(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
+    """``flush`` of the tokens of about TASK_TOKENS at a time, and their bounds."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for _, _, tokens, bounds in token_hashes(batch.column(0)):
+            held.append((tokens, np.diff(bounds)))
+            size += len(tokens)
+            if size >= TASK_TOKENS:
+                yield flush(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield flush(*map(np.concatenate, zip(*held, strict=True)))
 
 
 # ---- the model's files -------------------------------------------------------------------------
 
 def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
-    """Appears whole or not at all, also where a task runs twice."""
+    parts = [np.array([len(a) for a in arrays], "<i8").tobytes()]
+    for a in arrays:
+        parts += [a.tobytes(), bytes(-a.nbytes % 8)]
+    _io.write_file(folder, name, parts)
+
+
+_kept: OrderedDict[tuple[str, str], np.ndarray | None] = OrderedDict()
+
+
+def _raw(folder: str, name: str) -> np.ndarray | None:
     fs, path = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temporary) as out:
-        out.write(np.array([len(a) for a in arrays], "<i8").tobytes())
-        for a in arrays:
-            out.write(a.tobytes())
-            out.write(bytes(-a.nbytes % 8))
-    try:
-        fs.move(temporary, f"{path}/{name}")
-    except OSError:  # some stores don't move onto a file that an earlier run of the task has left
-        if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
-            raise
-        fs.delete_file(temporary)
+    if isinstance(fs, pafs.LocalFileSystem):  # the system caches what is mapped
+        return np.memmap(f"{path}/{name}", np.uint8, "r") if os.path.exists(f"{path}/{name}") else None
+    if (folder, name) not in _kept:
+        data = _io.read_file(folder, name)
+        _kept[folder, name] = None if data is None else np.frombuffer(data, np.uint8)
+        while sum(x.nbytes for x in _kept.values() if x is not None) > CACHE_BYTES and len(_kept) > 1:
+            _kept.popitem(last=False)
+    _kept.move_to_end((folder, name))
+    return _kept[folder, name]
 
 
 def _mapped(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray] | None:
-    """The arrays of a file, memory-mapped; None where there is none."""
-    fs, path = pafs.FileSystem.from_uri(folder)
-    path = f"{path}/{name}"
-    if isinstance(fs, pafs.LocalFileSystem):
-        if not os.path.exists(path):
-            return None
-        raw = np.memmap(path, np.uint8, "r")
-    else:
-        if fs.get_file_info(path).type == pafs.FileType.NotFound:
-            return None
-        with tempfile.TemporaryFile() as copy:  # has no name: gone with its mapping
-            with fs.open_input_stream(path) as source:
-                while piece := source.read(1 << 22):
-                    copy.write(piece)
-            copy.flush()
-            raw = np.memmap(copy, np.uint8, "r")
+    """The arrays of a file; None where there is none."""
+    raw = _raw(folder, name)
+    if raw is None:
+        return None
     sizes = raw[: 8 * len(kinds)].view("<i8")
     out, at = [], 8 * len(kinds)
     for n, kind in zip(sizes.tolist(), kinds, strict=True):
@@ -213,85 +220,135 @@ def _mapped(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]
     return out
 
 
-#: Keys, counts up to MANY in a byte; contexts, their totals and numbers of n-grams seen once, twice, more; keys and counts of MANY and more.
-NGRAM, WORD = ("<u8", "|u1", "<u8", "<u8", "<u4", "<u4", "<u4", "<u8", "<u8"), ("<u8", "<u8", "<u4")
-MANY = 255
+#: Sorted hashes of words with their places in the shard; by place: counts.  By place: continuation counts.
+WORD, CONTINUED = ("<u8", "<u4", "<u8"), ("<u8",)
+#: Sorted keys (32 and 16 bits) and codes; the values of codes, column by column; where a code isn't enough: places, and their values.
+CODED = ("<u4", "<u2", "|u1", "<u8", "<u4", "<u8")
+#: Sorted hashes of contexts that are dealt over several shards, and their four values, column by column.
+HOT_CONTEXT = ("<u8", "<u8")
+
+
+def _coded(key: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows with 48-bit keys: sorted, their values as codes for the 255 most frequent rows of values."""
+    by = np.argsort(key)
+    key, values = key[by], [v[by].astype(np.int64) for v in values]
+    order = np.lexsort(values[::-1])
+    at = _runs([v[order] for v in values])
+    size = np.diff(np.append(at, len(order)))
+    common = np.argsort(-size, kind="stable")[:255]
+    code_of_run = np.full(len(at), 255, np.uint8)
+    code_of_run[common] = np.arange(len(common))
+    code = np.empty(len(key), np.uint8)
+    code[order] = np.repeat(code_of_run, size)
+    rest = np.flatnonzero(code == 255)
+    table = np.concatenate([v[order[at[common]]] for v in values]) if len(key) else np.zeros(0)
+    return [(key >> U64(16)).astype("<u4"), (key & U64(0xFFFF)).astype("<u2"), code, table.astype("<u8"), rest.astype("<u4"), np.concatenate([v[rest] for v in values]).astype("<u8")]
+
+
+def _found(arrays: list[np.ndarray], key: np.ndarray, width: int) -> list[np.ndarray]:
+    """Values of keys, 0 where there are none.  ``key``: sorted."""
+    high, low, code, table, rest, more = arrays
+    out = [np.zeros(len(key), np.int64) for _ in range(width)]
+    want_high, want_low = (key >> U64(16)).astype(np.uint32), (key & U64(0xFFFF)).astype(np.uint16)
+    at = np.searchsorted(high, want_high)
+    open_ = np.flatnonzero(at < len(high))
+    while len(open_):  # keys that share 32 bits follow each other
+        here = at[open_]
+        same = high[here] == want_high[open_]
+        hit = open_[same & (low[here] == want_low[open_])]
+        if len(hit):
+            c = code[at[hit]].astype(np.int64)
+            plain = np.flatnonzero(c < 255)
+            spare = np.flatnonzero(c == 255)
+            place = np.searchsorted(rest, at[hit[spare]])
+            for k in range(width):
+                out[k][hit[plain]] = table[c[plain] + k * (len(table) // width)]
+                out[k][hit[spare]] = more[place + k * len(rest)]
+        open_ = open_[same & (low[here] != want_low[open_])]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(high)]
+    return out
 
 
-def _counts_of_counts(count: np.ndarray) -> list[int]:
-    """How many are 1, 2, 3, 4."""
-    return [int((count == k).sum()) for k in (1, 2, 3, 4)]
+# ---- counting ----------------------------------------------------------------------------------
+
+def _count_words(bits: int):
+    """Texts -> the distinct words of the task, with counts."""
+
+    def flush(tokens: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        words, n = np.unique(tokens, return_counts=True)
+        return _rows(_deal(1, _top(words, bits), [words], n))
+
+    return lambda batches: _collected(batches, flush)
 
 
-def _reduce(order: int, bits: int, folder: str):
-    """The blocks of a shard -> its file, and blocks of the next lower order.  Those of words (kind 0) are summed and passed on."""
-    width = 2 * (order - 1)
+def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _store_words(folder: str):
+    """The blocks of a shard of words -> its file, and the number of words by power of two of their counts."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        if table.column("kind")[0].as_py() == 0:
-            words, n = _summed(table)
-            return pa.Table.from_batches([_rows([(0, shard, pack([words], n))])])
-        parts = [unpack(b.as_py(), width) for b in table.column("block")]
-        columns = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
-        count = np.concatenate([p[1] for p in parts])
-        key = join_key(columns[0], columns[1], bits)
-        by = np.argsort(key)
-        at = _runs(key[by])
-        total = np.add.reduceat(count[by], at)
-        key, columns = key[by[at]], [c[by[at]] for c in columns]
-        # Contexts.
-        to = np.argsort(columns[0], kind="stable")
-        first = _runs(columns[0][to])
-        sums = [np.add.reduceat(x[to].astype(np.int64), first) for x in (total, total == 1, total == 2, total >= 3)]
-        often = total >= MANY
-        _write(folder, f"{order}-{shard}", [key, np.minimum(total, MANY).astype("|u1"), columns[0][to][first], sums[0].astype("<u8"), *(s.astype("<u4") for s in sums[1:]), key[often], total[often].astype("<u8")])
-        # Continuations: each distinct n-gram adds one to its tail.
-        tail, rest = columns[1], columns[2:]
-        by = np.argsort(tail, kind="stable")
-        at = _runs(tail[by])
-        n = np.diff(np.append(at, len(by)))
-        columns = [c[by[at]] for c in (rest or [tail])]
-        if order > 2:
-            by = np.argsort(columns[0], kind="stable")
-            columns, n = [c[by] for c in columns], n[by]
-        made = list(_deal(order - 1, columns, n, columns[0], bits))
-        return pa.Table.from_batches([_rows([*made, (-order, shard, b"")], [[]] * len(made) + [_counts_of_counts(total)])])
+        (words,), count = _blocks(table, 1)
+        power = np.log2(count).astype(np.int64)
+        by = np.argsort(-power, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[by] = np.arange(len(words))
+        _write(folder, f"words-{shard}", [words, place.astype("<u4"), count[by].astype("<u8")])
+        return _table([(-1, shard, b"")], [[int(count.sum()), *np.bincount(BUCKETS - 1 - power, minlength=BUCKETS).tolist()]])
 
     return run
 
 
-def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of blocks of words, and their counts; a sum that 32 bits don't hold goes on in parts."""
-    parts = [unpack(b.as_py(), 1) for b in table.column("block")]
-    word, count = np.concatenate([p[0][0] for p in parts]), np.concatenate([p[1] for p in parts])
-    by = np.argsort(word, kind="stable")
-    at = _runs(word[by])
-    total, word = np.add.reduceat(count[by], at), word[by[at]]
-    most = 2**32 - 1
-    times = total // (most + 1) + 1
-    out = np.repeat(word, times)
-    first = np.cumsum(times) - times
-    part = np.full(len(out), most, np.int64)
-    part[first] = total - most * (times - 1)
-    return out, part
+def _count(model: Broadcast):
+    """Texts -> the distinct n-grams of the highest order of the task, with counts."""
+
+    def flush(tokens: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        lm: Model = model.value
+        ids = lm.words(tokens)[0]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        columns, n = summed([before(ids, bounds, k) for k in range(lm.order - 1, -1, -1)], np.ones(len(ids), np.int64))
+        return _rows(_deal(lm.order, lm.shard(columns)[0], columns, n))
+
+    return lambda batches: _collected(batches, flush)
+
 
+def _counts_of_counts(count: np.ndarray) -> list[int]:
+    """How many are 1, 2, 3, 4."""
+    return [int((count == k).sum()) for k in (1, 2, 3, 4)]
 
-def _reduce_words(bits: int, folder: str):
-    """The blocks of a shard of words: counts (kind 0) and continuation counts (kind 1) -> its file."""
+
+def _reduce(model: Broadcast, order: int):
+    """The blocks of a shard of n-grams of an order -> its file, and blocks of the next lower one.  Other rows pass, or are stored."""
 
     def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        parts = [(k.as_py(), *unpack(b.as_py(), 1)) for k, b in zip(table.column("kind"), table.column("block"), strict=True)]
-        word = np.concatenate([p[1][0] for p in parts])
-        kind = np.concatenate([np.full(len(p[2]), p[0]) for p in parts])
-        count = np.concatenate([p[2] for p in parts])
-        by = np.argsort(word, kind="stable")
-        at = _runs(word[by])
-        raw, cont = (np.add.reduceat(np.where(kind[by] == k, count[by], 0), at) for k in (0, 1))
-        _write(folder, f"1-{shard}", [word[by[at]], raw.astype("<u8"), np.minimum(cont, 2**32 - 1).astype("<u4")])
-        stats = [int(raw.sum()), len(at), int(cont.sum()), int((cont == 1).sum()), int((cont == 2).sum()), int((cont >= 3).sum()), *_counts_of_counts(cont)]
-        return pa.Table.from_batches([_rows([(-1, shard, b"")], [stats])])
+        lm: Model = model.value
+        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+        if kind < 0:
+            return table
+        if kind > HOT:
+            return lm.store_hot(kind - HOT, shard, table)
+        if kind == 1:
+            return lm.store_continued(shard, table)
+        columns, count = _blocks(table, order)
+        _, pieces = lm.shard(columns)
+        first = _runs(columns[:-1])
+        context = [c[first] for c in columns[:-1]]
+        values = [np.add.reduceat(x.astype(np.int64), first) for x in (count, count == 1, count == 2, count >= 3)]
+        alone = pieces[first] == 1
+        _write(lm.folder, f"{order}-{shard}", [*_coded(fold(columns) & _LOW, [count]), *_coded(fold([c[alone] for c in context]) & _LOW, [v[alone] for v in values])])
+        hot = ~alone
+        parts = []
+        if hot.any():  # one row for each of the four values
+            c, home = [x[hot] for x in context], _top(fold([x[hot] for x in context]), lm.bits)
+            which = [np.full(int(hot.sum()), k) for k in range(4)]
+            parts += _deal(HOT + order, np.tile(home, 4), [np.tile(fold(c), 4), np.concatenate(which)], np.concatenate([v[hot] for v in values]))
+        # Continuations: each distinct n-gram adds one to its tail.
+        tails, n = summed(columns[1:], np.ones(len(count), np.int64))
+        parts += _deal(order - 1, lm.shard(tails)[0] if order > 2 else lm.home(tails[0])[0], tails, n)
+        return _table([*parts, (-order, shard, b"")], [[]] * len(parts) + [_counts_of_counts(count)])
 
     return run
 
@@ -311,84 +368,166 @@ class Model:
     folder: str
     order: int
     bits: int
+    #: Occurrences from which a context is dealt over several shards.
+    many: int
+    texts: int = 0
     train_tokens: int = 0
-    vocabulary: int = 0
+    #: Words by power of two of their counts (from the largest down) and shard.
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 1), np.int64))
     continuations: int = 0
     leave: list[int] = field(default_factory=lambda: [0, 0, 0])
     discount: dict[int, list[float]] = field(default_factory=dict)
 
-    def files(self, order: int, shard: int) -> list[np.ndarray] | None:
-        return _mapped(self.folder, f"{order}-{shard}", WORD if order == 1 else NGRAM)
-
-    def find(self, order: int, wanted: np.ndarray, contexts: bool) -> list[np.ndarray]:
-        """Values stored for ``wanted`` keys (0 where there are none): of contexts, or of n-grams and words."""
-        keys, back = np.unique(wanted, return_inverse=True)
-        columns = (3, 4, 5, 6) if contexts else (1, 2) if order == 1 else (1,)
-        out = [np.zeros(len(keys), np.int64) for _ in columns]
-        shard = (keys >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-        edge = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
-        for s in np.flatnonzero(np.diff(edge)).tolist():
-            arrays = self.files(order, s)
+    @property
+    def vocabulary(self) -> int:
+        return int(self.sizes.sum())
+
+    def _starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """First numbers by power and shard, and first places within the shard.  Number 0 is the begin mark."""
+        return (np.cumsum(self.sizes.reshape(-1)) - self.sizes.reshape(-1) + 1).reshape(self.sizes.shape), np.cumsum(self.sizes, axis=0) - self.sizes
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number (-1: unknown), count and continuation count of each word."""
+        keys, back = np.unique(hashes, return_inverse=True)
+        ids, count, cont = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        start, place = self._starts()
+        shard = _top(keys, self.bits)
+        edge = np.append(_runs([shard]), len(shard))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            s = int(shard[a])
+            arrays = _mapped(self.folder, f"words-{s}", WORD)
             if arrays is None:
                 continue
-            stored = arrays[2 if contexts else 0]
-            part = keys[edge[s] : edge[s + 1]]
-            at = np.minimum(np.searchsorted(stored, part), len(stored) - 1)
-            here = stored[at] == part
-            for x, c in zip(out, columns, strict=True):
-                x[edge[s] : edge[s + 1]] = np.where(here, arrays[c][at], 0)
-            if order > 1 and not contexts and len(arrays[7]):
-                count = out[0][edge[s] : edge[s + 1]]
-                often = np.flatnonzero(count == MANY)
-                count[often] = arrays[8][np.searchsorted(arrays[7], part[often])]
-        return [x[back] for x in out]
+            stored, places, counts = arrays
+            at = np.minimum(np.searchsorted(stored, keys[a:b]), len(stored) - 1)
+            here = np.flatnonzero(stored[at] == keys[a:b])
+            local = places[at[here]].astype(np.int64)
+            power = np.searchsorted(place[:, s], local, side="right") - 1
+            ids[a + here] = start[power, s] + local - place[power, s]
+            count[a + here] = counts[local]
+            if self.continuations:
+                cont[a + here] = _mapped(self.folder, f"continued-{s}", CONTINUED)[0][local]
+        return ids[back], count[back], cont[back]
+
+    def home(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shard and place of numbered words."""
+        start, place = self._starts()
+        cell = np.searchsorted(start.reshape(-1), ids.astype(np.int64), side="right") - 1
+        power, shard = np.divmod(cell, self.sizes.shape[1])
+        return shard, ids.astype(np.int64) - start[power, shard] + place[power, shard]
+
+    def shard(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Shard of each n-gram, and over how many parts its context is dealt: its rarest word's count says how often it occurs at most."""
+        ends = np.cumsum(self.sizes.sum(axis=1))
+        context = columns[:-1]
+        rarest = np.max(context, axis=0).astype(np.int64)
+        power = BUCKETS - 1 - np.searchsorted(ends, np.maximum(rarest, 1), side="left")
+        most = np.where(rarest == 0, self.texts, 2.0 ** (power + 1))
+        if len(context) > 1:
+            most = np.where((np.min(context, axis=0) == 0), np.minimum(most, self.texts), most)
+        pieces = (2 ** np.ceil(np.log2(np.maximum(most / self.many, 1)))).astype(np.int64)
+        h = fold(context)
+        spread = K.mix(h + U64(1) + (fold(columns[-1:]) & (pieces - 1).astype(U64)))
+        return _top(np.where(pieces > 1, spread, h), self.bits), pieces
+
+    def store_hot(self, order: int, shard: int, table: pa.Table) -> pa.Table:
+        (context, which), value = _blocks(table, 2)
+        keys = context[_runs([context])]
+        out = np.zeros((4, len(keys)), np.int64)
+        out[which.astype(np.int64), np.searchsorted(keys, context)] = value
+        _write(self.folder, f"hot-{order}-{shard}", [keys, out.reshape(-1).astype("<u8")])
+        return _table([])
+
+    def store_continued(self, shard: int, table: pa.Table) -> pa.Table:
+        (ids,), n = _blocks(table, 1)
+        out = np.zeros(int(self.sizes[:, shard].sum()), np.int64)
+        out[self.home(ids)[1]] = n
+        _write(self.folder, f"continued-{shard}", [out.astype("<u8")])
+        return _table([(-1, shard, b"")], [[int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n >= 3).sum()), *_counts_of_counts(n)]])
+
+    def find(self, columns: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
+        """Of n-grams: their count; the count of their context, and how many n-grams of it occur once, twice, more often."""
+        order, out = len(columns), [np.zeros(len(known), np.int64) for _ in range(5)]
+        some = np.flatnonzero(known)
+        columns = [c[some] for c in columns]
+        shard, pieces = self.shard(columns)
+        whole, context = fold(columns), fold(columns[:-1])
+        for key, first, width, wanted in ((whole & _LOW, 0, 1, np.arange(len(some))), (context & _LOW, 1, 4, np.flatnonzero(pieces == 1))):
+            by = wanted[np.lexsort((key[wanted], shard[wanted]))]
+            at = _runs([shard[by], key[by]])  # each is looked for once
+            one = by[at]
+            found = [np.zeros(len(one), np.int64) for _ in range(width)]
+            edge = np.append(_runs([shard[one]]), len(one))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                arrays = _mapped(self.folder, f"{order}-{int(shard[one[a]])}", CODED + CODED)
+                if arrays is not None:
+                    for x, v in zip(found, _found(arrays[6:] if first else arrays[:6], key[one[a:b]], width), strict=True):
+                        x[a:b] = v
+            size = np.diff(np.append(at, len(by)))
+            for k, x in enumerate(found):
+                out[first + k][some[by]] = np.repeat(x, size)
+        hot = np.flatnonzero(pieces > 1)
+        home = _top(context[hot], self.bits)
+        for s in np.unique(home).tolist():
+            arrays = _mapped(self.folder, f"hot-{order}-{s}", HOT_CONTEXT)
+            if arrays is None:
+                continue
+            own = hot[home == s]
+            at = np.minimum(np.searchsorted(arrays[0], context[own]), len(arrays[0]) - 1)
+            here = arrays[0][at] == context[own]
+            for k in range(4):
+                out[1 + k][some[own]] = np.where(here, arrays[1][at + k * len(arrays[0])], 0)
+        return out
 
     def probabilities(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each token: its count in training, its probability."""
-        count, cont = self.find(1, tokens, False)
+        ids, count, cont = self.words(tokens)
         p = np.full(len(tokens), 1 / (self.vocabulary + 1))
         if self.continuations:
             d = np.array([0.0, *self.discount[1]])
             left = float(np.dot(d[1:], self.leave)) / self.continuations
             p = (cont - d[np.minimum(cont, 3)]) / self.continuations + left * p
-        for k, (context, tail) in enumerate(grams(tokens, bounds, self.order - 1), start=2):
+        columns, context_known = [ids], np.ones(len(ids), bool)
+        for k in range(2, self.order + 1 if self.train_tokens else 2):
+            earlier = before(ids, bounds, k - 1)
+            columns, context_known = [earlier, *columns], context_known & (earlier >= 0)
             d = np.array([0.0, *self.discount[k]])
-            seen = self.find(k, join_key(context, tail, self.bits), False)[0]
-            total, one, two, more = self.find(k, context, True)
+            # An unknown last word: its number stands for none, the context counts.
+            last = np.where(ids >= 0, ids, self.vocabulary + 1)
+            seen, total, one, two, more = self.find([*columns[:-1], last], context_known)
             whole = np.maximum(total, 1)
             here = (seen - d[np.minimum(seen, 3)]) / whole + (d[1] * one + d[2] * two + d[3] * more) / whole * p
             p = np.where(total > 0, here, p)
         return count, p
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
 def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, folder: str | None = None) -> Model:
     """Counts the n-grams of all rows and stores the model in ``folder`` (by default below the shared folder)."""
     if order < 2:
         raise ValueError("order must be at least 2")
     spark = texts.sparkSession
     _io.bounded_batches(spark)
-    folder = _qualified(spark, folder or _io.scratch(spark, "kneser-ney"))
+    folder = _io.qualified(spark, folder or _io.scratch(spark, "kneser-ney"))
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
-    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 6)).first()[0] or 0
-    shards = max(16, size // 6 // SHARD_NGRAMS)
-    bits = int(shards - 1).bit_length()
-    model = Model(folder, order, bits)
-    blocks = texts.mapInArrow(_count(order, bits), SCHEMA)
-    for k in range(order, 1, -1):
-        lower = _io.materialise(blocks.where("kind >= 0").groupBy("kind", "shard").applyInArrow(_reduce(k, bits, folder), SCHEMA), f"order-{k}")
-        n = [r["stats"] for r in lower.where(F.col("kind") == -k).select("stats").collect()]  # four numbers a shard
-        model.discount[k] = discounts([sum(x) for x in zip(*n, strict=True)] or [0] * 4)
-        blocks = lower
-    stats = _io.materialise(blocks.where("kind >= 0").groupBy("shard").applyInArrow(_reduce_words(bits, folder), SCHEMA), "words").select("stats").collect()
-    total = [sum(x) for x in zip(*(r["stats"] for r in stats), strict=True)] or [0] * 10
-    model.train_tokens, model.vocabulary, model.continuations, model.leave = total[0], total[1], total[2], total[3:6]
-    model.discount[1] = discounts(total[6:])
+    size, rows = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 6), F.count(F.lit(1))).first()
+    bits = int(max(16, (size or 0) // 6 // SHARD_NGRAMS) - 1).bit_length()
+    model = Model(folder, order, bits, max(1, SHARD_NGRAMS // 2), rows, sizes=np.zeros((BUCKETS, 1 << bits), np.int64))
+    words = texts.mapInArrow(_count_words(bits), SCHEMA).groupBy("kind", "shard").applyInArrow(_store_words(folder), SCHEMA)
+    for r in words.select("shard", "stats").collect():  # a few numbers for each shard, here and below
+        model.train_tokens += r["stats"][0]
+        model.sizes[:, r["shard"]] = r["stats"][1:]
+    shared = spark.sparkContext.broadcast(model)
+    blocks = texts.mapInArrow(_count(shared), SCHEMA)
+    for k in range(order, 0, -1):
+        blocks = blocks.groupBy("kind", "shard").applyInArrow(_reduce(shared, k), SCHEMA)
+    stats = {k: [] for k in range(1, order + 1)}
+    for r in blocks.select("kind", "stats").collect():
+        stats[-r["kind"]].append(r["stats"])
+    total = {k: [sum(x) for x in zip(*v, strict=True)] for k, v in stats.items()}
+    for k in range(2, order + 1):
+        model.discount[k] = discounts(total[k] or [0] * 4)
+    own = total[1] or [0] * 8
+    model.continuations, model.leave, model.discount[1] = own[0], own[1:4], discounts(own[4:])
     return model
 
 
@@ -413,7 +552,7 @@ def _score(model: Broadcast):
             for lo, hi, tokens, bounds in token_hashes(batch.column(1)):
                 held.append((batch.column(0).slice(lo, hi - lo), tokens, bounds))
                 size += len(tokens)
-                if size >= TASK_TOKENS:
+                if size >= SCORE_TOKENS:
                     yield flush(held)
                     held, size = [], 0
         if held:
