@@ -7,12 +7,17 @@ looking at bytes gives the same tokens as looking at code points.
 
 from __future__ import annotations
 
+import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+
+from . import _io
 
 U64 = np.uint64
 #: Bytes handled at once; a longer single text is handled alone.
@@ -103,10 +108,22 @@ def tokens(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[n
     after[-1], after[:-1] = False, mask[1:]
     after[cut - 1] = False
     ends = np.flatnonzero(mask & ~after) + 1
-    up, down = _powers(max(CHUNK_BYTES, 1 << int(n - 1).bit_length()))
+    return low, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, hashes(low, starts, ends)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end."""
+    n = len(data)
+    up, down = _powers(max(CHUNK_BYTES, 1 << int(max(n - 1, 1)).bit_length()))
     run = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[low] * up[:n], out=run[1:])
-    return low, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, mix((run[ends] - run[starts]) * down[starts])
+    np.cumsum(_BYTE[data] * up[:n], out=run[1:])
+    return mix((run[ends] - run[starts]) * down[np.minimum(starts, len(down) - 1)])
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of runs that begin at ``start``, one run behind the other."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,3 +143,44 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tu
         step = hashes[np.minimum(at + k, max(len(hashes) - 1, 0))] if len(hashes) else out
         out = np.where(inside, out * U64(_BASE) + step, out)
     return mix(out), bounds
+
+
+# ---- files of sorted arrays, which workers memory-map ------------------------------------------
+
+#: What a worker keeps of files that can't be mapped.
+CACHE_BYTES = 256 << 20
+_kept: OrderedDict[tuple[str, str], np.ndarray | None] = OrderedDict()
+
+
+def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> None:
+    parts = [np.array([len(a) for a in arrays], "<i8").tobytes()]
+    for a in arrays:
+        parts += [a.tobytes(), bytes(-a.nbytes % 8)]
+    _io.write_file(folder, name, parts)
+
+
+def _raw(folder: str, name: str) -> np.ndarray | None:
+    fs, path = pafs.FileSystem.from_uri(folder)
+    if isinstance(fs, pafs.LocalFileSystem):  # the system caches what is mapped
+        return np.memmap(f"{path}/{name}", np.uint8, "r") if os.path.exists(f"{path}/{name}") else None
+    if (folder, name) not in _kept:
+        data = _io.read_file(folder, name)
+        _kept[folder, name] = None if data is None else np.frombuffer(data, np.uint8)
+        while sum(x.nbytes for x in _kept.values() if x is not None) > CACHE_BYTES and len(_kept) > 1:
+            _kept.popitem(last=False)
+    _kept.move_to_end((folder, name))
+    return _kept[folder, name]
+
+
+def mapped_arrays(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray] | None:
+    """The arrays of a file; None where there is none."""
+    raw = _raw(folder, name)
+    if raw is None:
+        return None
+    sizes = raw[: 8 * len(kinds)].view("<i8")
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        nbytes = n * np.dtype(kind).itemsize
+        out.append(raw[at : at + nbytes].view(kind))
+        at += nbytes + -nbytes % 8
+    return out

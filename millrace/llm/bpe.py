@@ -1,21 +1,29 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A batch of documents is a small corpus: its texts are cut into chunks, its distinct chunks into
-the pieces of the pre-tokeniser's pattern, and the distinct pieces are laid out as one sequence
-of byte tokens with links to the neighbours.  An inverted index maps each possible merge (its
-rank) to the positions of its left part.  Merges are replayed in rank order from a heap; a merge
-touches only the neighbours of its positions, whose new pairs enter the index.  As pieces never
-touch, one replay encodes all of them as if each were encoded alone.
-
-Chunks and pieces already encoded by a worker are remembered up to about ``cache_chunks``; what was
-used longest ago is forgotten beyond that, which changes speed, not results.  No shuffle is needed.
+1. Texts are cut into segments, over the whole corpus; a task passes on each segment that it hasn't met
+   before.  With the pattern ``CUTTABLE`` a segment ends before a blank that no other white space
+   touches: there the pattern always ends one piece and begins the next.  With other patterns the
+   segments are the pattern's pieces.
+2. The corpus's distinct segments are dealt into shards by their hash.  A shard lays out its distinct
+   pieces as one sequence of byte tokens with links to the neighbours.  An inverted index maps each
+   possible merge (its rank) to the positions of its left part.  Merges are replayed in rank order from
+   a heap; a merge touches only the neighbours of its positions, whose new pairs enter the index.  As
+   pieces never touch, one replay encodes all of them as if each were encoded alone.  The ids are
+   written into the shared folder, behind the sorted hashes of the segments.
+3. Texts are cut again, and their segments' ids are looked up and put together.  The ids are decoded
+   at once; a text whose segments don't come back byte for byte (two segments with one hash, or a text
+   that read otherwise the second time) is encoded by itself.
+
+Shards follow the number of segments, so that a replay stays small; workers memory-map them, or keep
+up to ``CACHE_BYTES`` of them where the folder is in a store that can't be mapped.
 
 Defined results
 ---------------
 * A null text counts as empty; an empty text has no tokens.
 * Text is encoded as UTF-8; texts that Spark holds are valid Unicode, so that decoding the ids
-  gives back the very bytes.
-* Of equal ranks in a piece the leftmost is merged first.  Every single byte must have a rank.
+  gives back the very bytes (of what the pattern matches, if a pattern leaves something out).
+* A piece that is a token is that token; else, of equal ranks the leftmost is merged first.  Every
+  single byte must have a rank.
 * Every row gives one row, also where ids repeat; an empty table gives no rows; other columns
   do not matter.
 """
@@ -34,8 +42,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _io
+from . import _kernel as K
+from ._kernel import U64
 
-CACHE_CHUNKS = 1_200_000
+#: Segments that a shard gets on average, at most; those that a task remembers; bytes of a slice that is replayed at once.
+SHARD_SEGMENTS, SEEN, REPLAY_BYTES = 250_000, 2_000_000, 2_000_000
+#: Fixed value: the pattern whose pieces never cross a lone blank.
+CUTTABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+STORED = ("<u8", "<u8", "<u4")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,6 +75,13 @@ class Replay:
     def look(self, a: int, b: int) -> int:
         return self.ranks.get(self.token[a] + self.token[b], -1)
 
+    @staticmethod
+    def wall(ids: list[int], after: list[int], i: int) -> int:
+        """Where the piece ends that position ``i`` is in."""
+        while ids[i] != -1:
+            i = after[i]
+        return i
+
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each piece."""
         if self.met > 400_000:
@@ -91,11 +112,18 @@ class Replay:
             if places is None:
                 continue
             places.sort()
+            wait = -1  # places up to here wait for a lower rank that came up in their piece
             on_right, on_left = rights.setdefault(rank, {}), lefts.setdefault(rank, {})
             to_right, to_left = on_right.get, on_left.get
             for i in places:
                 if now[i] != rank:  # merged otherwise meanwhile
                     continue
+                if i < wait:
+                    if rank not in index:
+                        index[rank] = []
+                        heappush(heap, rank)
+                    index[rank].append(i)
+                    continue
                 j = after[i]
                 k = after[j]
                 ids[i], ids[j], now[j] = rank, -2, -1
@@ -108,6 +136,8 @@ class Replay:
                         self.met += 1
                     now[i] = r
                     if r >= 0:
+                        if r < rank:
+                            wait = max(wait, self.wall(ids, after, i))
                         if r in index:
                             index[r].append(i)
                         else:
@@ -125,6 +155,8 @@ class Replay:
                             self.met += 1
                         now[h] = r
                         if r >= 0:
+                            if r < rank:
+                                wait = max(wait, self.wall(ids, after, i))
                             if r in index:
                                 index[r].append(h)
                             else:
@@ -136,88 +168,95 @@ class Replay:
         return [packed[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-class Memory:
-    """A mapping of bounded size: what wasn't used since the younger half last filled up is forgotten."""
-
-    def __init__(self, most: int):
-        self.half, self.young, self.old = most // 2, {}, {}
-
-    def turn(self) -> None:
-        """To be called when no key is in use."""
-        if len(self.young) > self.half:
-            self.young, self.old = {}, self.young
-
-    def lacking(self, keys: set) -> list:
-        """Brings known keys to the younger half; returns the others."""
-        young, old, out = self.young, self.old, []
-        for k in keys - young.keys():
-            if k in old:
-                young[k] = old[k]
-            else:
-                out.append(k)
-        return out
-
-
 class Codec:
-    """Encodes and decodes texts with the ranks in ``path`` and a pre-tokenising ``pattern``.
-
-    A text is cut at its blanks into a head and chunks that begin with a blank.  The pattern never
-    makes a piece across such a cut if no other white space touches it: there a piece ends before
-    the blank and the next begins with it.  Where white space touches, the text is left whole.
-    """
+    """Encodes and decodes with the ranks in ``path`` and a pre-tokenising ``pattern``."""
 
-    def __init__(self, path: str, pattern: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, pattern: str):
         import regex
 
         self.replay = Replay(load_ranks(path))
-        self.split = regex.compile(pattern).findall
-        #: Chunks and pieces that begin with a blank, by what follows it; other pieces.
-        self.spaced, self.bare = Memory(cache_chunks), Memory(cache_chunks // 4)
-        self.bytes_of = [self.replay.token.get(i, b"") for i in range(max(self.replay.token) + 1)]
-
-    def _learn(self, parts: list[list[str]]) -> None:
-        """Encodes all pieces that aren't known, in one replay."""
-        spaced = self.spaced.lacking({p[1:] for x in parts for p in x if p[0] == " "})
-        bare = self.bare.lacking({p for x in parts for p in x if p[0] != " "})
-        packed = self.replay.encode([*((" " + p).encode() for p in spaced), *(p.encode() for p in bare)])
-        self.spaced.young.update(zip(spaced, packed, strict=False))
-        self.bare.young.update(zip(bare, packed[len(spaced) :], strict=True))
-
-    def _of(self, pieces: list[str]) -> bytes:
-        spaced, bare = self.spaced.young, self.bare.young
-        return b"".join([spaced[p[1:]] if p[0] == " " else bare[p] for p in pieces])
+        self.cuttable, self.pattern = pattern == CUTTABLE, regex.compile(pattern)
+        tokens = [self.replay.token.get(i, b"") for i in range(max(self.replay.token) + 1)]
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the segments of texts."""
+        if self.cuttable:
+            return cut(data, offsets)
+        spans = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            text = data[a:b].tobytes().decode()
+            place = a + np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))) if not text.isascii() else np.arange(a, b + 1)
+            spans += [(place[m.start()], place[m.end()]) for m in self.pattern.finditer(text) if m.end() > m.start()]
+        found = np.array(spans, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    def encode_segments(self, segments: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of distinct segments; their distinct pieces are replayed together."""
+        parts = [self.pattern.findall(x.decode()) for x in segments] if self.cuttable else [[x.decode()] for x in segments]
+        pieces = list({p for x in parts for p in x})
+        known: dict[str, bytes] = {}
+        lo = size = 0
+        for hi, p in enumerate(pieces):
+            size += len(p)
+            if size >= REPLAY_BYTES or hi == len(pieces) - 1:
+                some = pieces[lo : hi + 1]
+                raw = [x.encode() for x in some]
+                whole = [self.replay.ranks.get(x) for x in raw]
+                open_ = iter(self.replay.encode([x for x, rank in zip(raw, whole, strict=True) if rank is None]))
+                known.update((x, next(open_) if rank is None else rank.to_bytes(4, "little")) for x, rank in zip(some, whole, strict=True))
+                lo, size = hi + 1, 0
+        return [b"".join([known[p] for p in x]) for x in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        self.spaced.turn()
-        self.bare.turn()
-        cut = [t.split(" ") for t in texts]
-        heads = [x.pop(0) for x in cut]
-        touched, words, parts = set(), [], {}
-        for c in self.spaced.lacking(set().union(*cut)):
-            if c.isalpha():
-                words.append([" " + c])  # one piece
-            elif not c or c[0].isspace() or c[-1].isspace():
-                touched.add(c)
-            else:
-                parts[c] = self.split(" " + c)
-        whole = [k for k, (head, x) in enumerate(zip(heads, cut, strict=True)) if x and (head and head[-1].isspace() or not touched.isdisjoint(x))]
-        for k in whole:  # white space touches a cut
-            heads[k], cut[k] = texts[k], []
-        first = [self.split(h) for h in heads]
-        self._learn([*words, *parts.values(), *first])
-        known = self.spaced.young
-        known.update({c: self._of(x) for c, x in parts.items()})
-        known = known.__getitem__
-        return [self._of(h) + b"".join(map(known, x)) for h, x in zip(first, cut, strict=True)]
+        """Little-endian unsigned 32-bit ids of each text, without the corpus's shards."""
+        data, offsets = K.text_bytes(pa.array(texts, pa.large_string()))
+        starts, ends = self.segments(data, offsets)
+        each = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        new = list(set(each))
+        known = dict(zip(new, self.encode_segments(new), strict=True))
+        edge = np.searchsorted(starts, offsets)
+        return [b"".join([known[x] for x in each[a:b]]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+    def decode_all(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, one token behind the other."""
+        return self.bytes[K.spread(self.start[ids], self.size[ids])]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_all(np.frombuffer(ids, "<u4")).tobytes()
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of segments: texts, cut before each blank that stands between two characters which are no white space."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = data <= 0x20  # a white-space (or control) character begins, or ends, at this byte
+    ends = begins.copy()
+    lead = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    if len(lead):
+        a, b, c = data[lead], data[np.minimum(lead + 1, n - 1)], data[np.minimum(lead + 2, n - 1)]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        three |= (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        begins[lead[two | three]] = True
+        ends[lead[two] + 1] = True
+        ends[lead[three] + 2] = True
+    inside = np.zeros(n, bool)
+    inside[1:-1] = (data[1:-1] == 0x20) & ~ends[:-2] & ~begins[2:]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    last = offsets[1:][np.diff(offsets) > 0] - 1
+    inside[last] = False
+    inside[first] = True
+    starts = np.flatnonzero(inside)
+    return starts, np.append(starts[1:], n)
 
 
 @lru_cache(maxsize=2)
-def _codec(path: str, pattern: str, cache_chunks: int) -> Codec:
-    return Codec(path, pattern, cache_chunks)
+def _codec(path: str, pattern: str) -> Codec:
+    return Codec(_locate(path), pattern)
 
 
 def _locate(path: str) -> str:
@@ -229,62 +268,126 @@ def _locate(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def _slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of about ``most`` characters; only these are Python objects at a time."""
-    now: list[str] = []
-    lo = size = 0
-    for k, text in enumerate(texts):
-        t = text.as_py() or ""
-        if size and size + len(t) > most:
-            yield lo, now
-            lo, size, now = k, 0, []
-        now.append(t)
-        size += len(t)
-    if now:
-        yield lo, now
+def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def _run(path: str, pattern: str, cache_chunks: int, digests: bool):
+def _distinct(path: str, pattern: str):
+    """Texts -> segments that the task hasn't passed on yet, and their hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(_locate(path), pattern, cache_chunks)
+        codec, seen = _codec(path, pattern), np.zeros(0, U64)
         for batch in batches:
-            for lo, texts in _slices(batch.column(1)):
-                ids = codec.encode(texts)
-                keys, n = batch.column(0).slice(lo, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64())
+            for _, _, data, offsets in K.chunks(batch.column(0)):
+                starts, ends = codec.segments(data, offsets)
+                hashes, at = np.unique(K.hashes(data, starts, ends), return_index=True)
+                new = ~np.isin(hashes, seen, assume_unique=True)
+                hashes, at = hashes[new], at[new]
+                if not len(at):
+                    continue
+                seen = np.concatenate((seen, hashes)) if len(seen) < SEEN else hashes
+                size = ends[at] - starts[at]
+                flat = np.ascontiguousarray(data[K.spread(starts[at], size)])
+                where = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(where), pa.py_buffer(flat)])], ["hash", "segment"])
+
+    return run
+
+
+def _store(path: str, pattern: str, folder: str):
+    """The segments of a shard -> its file: sorted hashes, ends of their ids, ids."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, at = np.unique(table.column("hash").to_numpy().view(U64), return_index=True)
+        ids = _codec(path, pattern).encode_segments(table.column("segment").combine_chunks().take(pa.array(at)).to_pylist())
+        ends = np.cumsum([len(x) // 4 for x in ids])
+        shard = table.column("shard")[0].as_py()
+        K.write_arrays(folder, f"segments-{shard}", [hashes, ends.astype("<u8"), np.frombuffer(b"".join(ids), "<u4")])
+        return pa.table({"shard": pa.array([shard], pa.int32()), "segments": pa.array([len(hashes)], pa.int64())})
+
+    return run
+
+
+def _looked_up(folder: str, bits: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids of sorted distinct hashes (none where a hash is missing), and all ids."""
+    shard = _top(hashes, bits)
+    size, parts = np.zeros(len(hashes), np.int64), []
+    edge = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        arrays = K.mapped_arrays(folder, f"segments-{int(shard[a])}", STORED)
+        if arrays is None:
+            continue
+        stored, ends, ids = arrays
+        at = np.minimum(np.searchsorted(stored, hashes[a:b]), len(stored) - 1)
+        here = stored[at] == hashes[a:b]
+        at = at[here]
+        end = ends[at].astype(np.int64)
+        start = np.where(at > 0, ends[at - 1].astype(np.int64), 0)
+        size[a:b][here] = end - start
+        parts.append(ids[K.spread(start, end - start)])
+    return size, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _run(path: str, pattern: str, folder: str, bits: int, digests: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path, pattern)
+        for batch in batches:
+            for lo, hi, data, offsets in K.chunks(batch.column(1)):
+                starts, ends = codec.segments(data, offsets)
+                hashes, back = np.unique(K.hashes(data, starts, ends), return_inverse=True)
+                size, flat = _looked_up(folder, bits, hashes)
+                ids = flat[K.spread((np.cumsum(size) - size)[back], size[back])].astype("<u4")
+                edge = np.searchsorted(starts, offsets)
+                bound = np.concatenate(([0], np.cumsum(size[back])))[edge]
+                want, decoded = data[K.spread(starts, ends - starts)], codec.decode_all(ids)
+                parts, raw = [ids[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)], []
+                if len(want) == len(decoded) and np.array_equal(want, decoded):
+                    cuts = np.concatenate(([0], np.cumsum(ends - starts)))[edge].tolist()
+                    raw = [decoded[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                else:
+                    for d in range(hi - lo):
+                        whole = b"".join(data[a:b].tobytes() for a, b in zip(starts[edge[d] : edge[d + 1]].tolist(), ends[edge[d] : edge[d + 1]].tolist(), strict=True))
+                        if codec.decode_all(parts[d]).tobytes() != whole:
+                            parts[d] = np.frombuffer(codec.encode([data[offsets[d] : offsets[d + 1]].tobytes().decode()])[0], "<u4")
+                        raw.append(codec.decode_all(parts[d]).tobytes())
+                keys, n = batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in parts], pa.int64())
                 if digests:
-                    sha = [hashlib.sha256(x).hexdigest() for x in ids]
-                    back = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
-                    yield pa.RecordBatch.from_arrays([keys, n, pa.array(sha), pa.array(back)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    yield pa.RecordBatch.from_arrays(
+                        [keys, n, pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    where = pa.array(np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))), pa.int32())
-                    flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([keys, n, pa.ListArray.from_arrays(where, flat), pa.array([codec.decode(x) for x in ids], pa.binary())], ["id", "n_tokens", "ids", "decoded"])
+                    where = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))), pa.int32())
+                    yield pa.RecordBatch.from_arrays([keys, n, pa.ListArray.from_arrays(where, pa.array(np.concatenate([*parts, np.zeros(0, "<u4")]).astype(np.int32))), pa.array(raw, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
 
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    _io.bounded_batches(docs.sparkSession)
+def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
+    spark = docs.sparkSession
+    _io.bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return docs, docs.schema["id"].dataType.simpleString()
+    found = _io.materialise(docs.select("text").mapInArrow(_distinct(path, pattern), "hash bigint, segment binary"), "segments")
+    bits = int(max(16, found.count() // SHARD_SEGMENTS) - 1).bit_length()
+    folder = _io.qualified(spark, _io.scratch(spark, "bpe"))
+    dealt = found.withColumn("shard", F.shiftrightunsigned("hash", 64 - bits).cast("int"))
+    dealt.groupBy("shard").applyInArrow(_store(path, pattern, folder), "shard int, segments bigint").agg(F.sum("segments")).collect()
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
+    return docs.mapInArrow(_run(path, pattern, folder, bits, digests), schema)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids (array of int), decoded (binary: the ids decoded again)."""
-    docs, kind = _keyed(docs, id_col, text_col)
-    return docs.mapInArrow(_run(path, pattern, cache_chunks, False), f"id {kind}, n_tokens bigint, ids array<int>, decoded binary")
+    return _encoded(docs, path, pattern, id_col, text_col, False)
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Like encode(), with digests of ids and decoded bytes in place of both, made where the texts are."""
-    docs, kind = _keyed(docs, id_col, text_col)
-    return docs.mapInArrow(_run(path, pattern, cache_chunks, True), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, path, pattern, id_col, text_col, True)
 
 
-def production(docs: DataFrame, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def production(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return encode_digests(docs, "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN, cache_chunks=cache_chunks).withColumnRenamed("id", "doc_id")
+    return encode_digests(docs, "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ and passes on the continuation counts of the next lower order, down to words.  A
 what a lost executor held is counted again.
 
 Workers memory-map the arrays; where the folder is in a store that can't be mapped, they read a shard
-whole and keep as many as ``CACHE_BYTES`` allow.
+whole and keep as many as ``_kernel.CACHE_BYTES`` allow.
 
 Probabilities: of the highest order from counts, of lower orders from continuation counts; at each
 order discounted by D1, D2, D3+ from the counts of counts, and interpolated with the next lower;
@@ -35,14 +35,11 @@ Defined results
 
 from __future__ import annotations
 
-import os
-from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +51,6 @@ from ._kernel import U64
 ORDER = 3
 #: n-grams that a shard gets on average, tokens that a task counts at once, and those that it scores at once.
 SHARD_NGRAMS, TASK_TOKENS, SCORE_TOKENS = 700_000, 1_400_000, 700_000
-#: What a worker keeps of a model that can't be mapped.
-CACHE_BYTES = 256 << 20
 END = U64(0x5851F42D4C957F2D)
 _C = U64(0x9E3779B97F4A7C15)
 _LOW = U64((1 << 48) - 1)
@@ -183,43 +178,6 @@ def _collected(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBa
 
 # ---- the model's files -------------------------------------------------------------------------
 
-def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
-    parts = [np.array([len(a) for a in arrays], "<i8").tobytes()]
-    for a in arrays:
-        parts += [a.tobytes(), bytes(-a.nbytes % 8)]
-    _io.write_file(folder, name, parts)
-
-
-_kept: OrderedDict[tuple[str, str], np.ndarray | None] = OrderedDict()
-
-
-def _raw(folder: str, name: str) -> np.ndarray | None:
-    fs, path = pafs.FileSystem.from_uri(folder)
-    if isinstance(fs, pafs.LocalFileSystem):  # the system caches what is mapped
-        return np.memmap(f"{path}/{name}", np.uint8, "r") if os.path.exists(f"{path}/{name}") else None
-    if (folder, name) not in _kept:
-        data = _io.read_file(folder, name)
-        _kept[folder, name] = None if data is None else np.frombuffer(data, np.uint8)
-        while sum(x.nbytes for x in _kept.values() if x is not None) > CACHE_BYTES and len(_kept) > 1:
-            _kept.popitem(last=False)
-    _kept.move_to_end((folder, name))
-    return _kept[folder, name]
-
-
-def _mapped(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray] | None:
-    """The arrays of a file; None where there is none."""
-    raw = _raw(folder, name)
-    if raw is None:
-        return None
-    sizes = raw[: 8 * len(kinds)].view("<i8")
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        nbytes = n * np.dtype(kind).itemsize
-        out.append(raw[at : at + nbytes].view(kind))
-        at += nbytes + -nbytes % 8
-    return out
-
-
 #: Sorted hashes of words with their places in the shard; by place: counts.  By place: continuation counts.
 WORD, CONTINUED = ("<u8", "<u4", "<u8"), ("<u8",)
 #: Sorted keys (32 and 16 bits) and codes; the values of codes, column by column; where a code isn't enough: places, and their values.
@@ -296,7 +254,7 @@ def _store_words(folder: str):
         by = np.argsort(-power, kind="stable")
         place = np.empty(len(words), np.int64)
         place[by] = np.arange(len(words))
-        _write(folder, f"words-{shard}", [words, place.astype("<u4"), count[by].astype("<u8")])
+        K.write_arrays(folder, f"words-{shard}", [words, place.astype("<u4"), count[by].astype("<u8")])
         return _table([(-1, shard, b"")], [[int(count.sum()), *np.bincount(BUCKETS - 1 - power, minlength=BUCKETS).tolist()]])
 
     return run
@@ -338,7 +296,7 @@ def _reduce(model: Broadcast, order: int):
         context = [c[first] for c in columns[:-1]]
         values = [np.add.reduceat(x.astype(np.int64), first) for x in (count, count == 1, count == 2, count >= 3)]
         alone = pieces[first] == 1
-        _write(lm.folder, f"{order}-{shard}", [*_coded(fold(columns) & _LOW, [count]), *_coded(fold([c[alone] for c in context]) & _LOW, [v[alone] for v in values])])
+        K.write_arrays(lm.folder, f"{order}-{shard}", [*_coded(fold(columns) & _LOW, [count]), *_coded(fold([c[alone] for c in context]) & _LOW, [v[alone] for v in values])])
         hot = ~alone
         parts = []
         if hot.any():  # one row for each of the four values
@@ -395,7 +353,7 @@ class Model:
         edge = np.append(_runs([shard]), len(shard))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             s = int(shard[a])
-            arrays = _mapped(self.folder, f"words-{s}", WORD)
+            arrays = K.mapped_arrays(self.folder, f"words-{s}", WORD)
             if arrays is None:
                 continue
             stored, places, counts = arrays
@@ -406,7 +364,7 @@ class Model:
             ids[a + here] = start[power, s] + local - place[power, s]
             count[a + here] = counts[local]
             if self.continuations:
-                cont[a + here] = _mapped(self.folder, f"continued-{s}", CONTINUED)[0][local]
+                cont[a + here] = K.mapped_arrays(self.folder, f"continued-{s}", CONTINUED)[0][local]
         return ids[back], count[back], cont[back]
 
     def home(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -435,14 +393,14 @@ class Model:
         keys = context[_runs([context])]
         out = np.zeros((4, len(keys)), np.int64)
         out[which.astype(np.int64), np.searchsorted(keys, context)] = value
-        _write(self.folder, f"hot-{order}-{shard}", [keys, out.reshape(-1).astype("<u8")])
+        K.write_arrays(self.folder, f"hot-{order}-{shard}", [keys, out.reshape(-1).astype("<u8")])
         return _table([])
 
     def store_continued(self, shard: int, table: pa.Table) -> pa.Table:
         (ids,), n = _blocks(table, 1)
         out = np.zeros(int(self.sizes[:, shard].sum()), np.int64)
         out[self.home(ids)[1]] = n
-        _write(self.folder, f"continued-{shard}", [out.astype("<u8")])
+        K.write_arrays(self.folder, f"continued-{shard}", [out.astype("<u8")])
         return _table([(-1, shard, b"")], [[int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n >= 3).sum()), *_counts_of_counts(n)]])
 
     def find(self, columns: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
@@ -459,7 +417,7 @@ class Model:
             found = [np.zeros(len(one), np.int64) for _ in range(width)]
             edge = np.append(_runs([shard[one]]), len(one))
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                arrays = _mapped(self.folder, f"{order}-{int(shard[one[a]])}", CODED + CODED)
+                arrays = K.mapped_arrays(self.folder, f"{order}-{int(shard[one[a]])}", CODED + CODED)
                 if arrays is not None:
                     for x, v in zip(found, _found(arrays[6:] if first else arrays[:6], key[one[a:b]], width), strict=True):
                         x[a:b] = v
@@ -469,7 +427,7 @@ class Model:
         hot = np.flatnonzero(pieces > 1)
         home = _top(context[hot], self.bits)
         for s in np.unique(home).tolist():
-            arrays = _mapped(self.folder, f"hot-{order}-{s}", HOT_CONTEXT)
+            arrays = K.mapped_arrays(self.folder, f"hot-{order}-{s}", HOT_CONTEXT)
             if arrays is None:
                 continue
             own = hot[home == s]

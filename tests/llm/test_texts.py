@@ -7,13 +7,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute
-from millrace.llm import _kernel, bpe, html_text, kneser_ney, pii, secrets, spans, toxicity
+from millrace.llm import _kernel as K
+from millrace.llm import bpe, html_text, kneser_ney, pii, secrets, spans, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -30,9 +32,7 @@ def docs(spark, rows):
 @given(st.lists(st.text(alphabet="aB9é_ .\n日", max_size=30), min_size=1, max_size=8))
 @settings(max_examples=80, deadline=None)
 def test_tokens_are_those_of_the_pattern(texts):
-    import pyarrow as pa
-
-    low, starts, ends, doc, hashes = _kernel.tokens(*_kernel.text_bytes(pa.array(texts, pa.string())), _kernel.WORD)
+    low, starts, ends, doc, hashes = K.tokens(*K.text_bytes(pa.array(texts, pa.string())), K.WORD)
     got = [[] for _ in texts]
     for s, e, d in zip(starts, ends, doc, strict=True):
         got[d].append(low[s:e].tobytes().decode())
@@ -55,7 +55,7 @@ def tiktoken_ids():
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.Codec(RANKS, P.PATTERN, 50)  # a small memory, so that it turns over
+    return bpe.Codec(RANKS, P.PATTERN)
 
 
 @given(st.lists(st.text(alphabet=st.sampled_from("ab' s\n\t1é日!.  \xa0AZ<|>"), max_size=40), max_size=6))
@@ -76,23 +76,56 @@ def test_encoding_of_a_table(spark, tiktoken_ids):
     assert bpe.encode(docs(spark, []), RANKS, P.PATTERN).count() == 0
 
 
-def test_replay_with_ranks_that_fall(codec):
-    """A longer token may have a lower rank than what it is made of; merges still go by rank within a piece."""
-    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 280, b"ab": 310, b"abcabc": 270}
-    replay = bpe.Replay(ranks)
-
-    def slow(piece: bytes) -> list[int]:
-        parts = [bytes([b]) for b in piece]
-        while True:
-            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
-            if not found:
-                return [ranks[p] for p in parts]
-            i = min(found)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+@given(st.lists(st.text(alphabet=st.sampled_from("ab \x85\xa0\u1680\u2003\u2028\u3000\x1c\n日é'"), max_size=30), max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_segments_are_whole_texts_in_order(texts):
+    data, offsets = K.text_bytes(pa.array(texts, pa.string()))
+    starts, ends = bpe.cut(data, offsets)
+    assert b"".join(data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)).decode() == "".join(texts)
+    assert {int(o) for o, n in zip(offsets[:-1], np.diff(offsets), strict=True) if n} <= set(starts.tolist())
+
+
+def foreign(tmp_path, ranks, pattern):
+    import tiktoken
 
+    path = tmp_path / "ranks.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + f" {r}\n".encode() for t, r in ranks.items()))
+    return str(path), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+SINGLE = {bytes([b]): b for b in range(256)}
+
+
+@pytest.mark.parametrize("ranks", [{b"bc": 300, b"abc": 280, b"ab": 310, b"abcabc": 270}, {b"aba": 299, b"ab": 300}, {b"ab": 290, b"ba": 280, b"abab": 281, b"aab": 279, b"bab": 270, b"babab": 269}])
+def test_ranks_that_fall(tmp_path, ranks):
+    """A longer token may have a lower rank than what it is made of; merges still go by rank within a piece."""
+    path, want = foreign(tmp_path, {**SINGLE, **ranks}, P.PATTERN)
     rng = random.Random(1)
-    pieces = list({bytes(rng.choice(b"abcx") for _ in range(rng.randint(1, 14))) for _ in range(400)})
-    assert [np.frombuffer(x, "<u4").tolist() for x in replay.encode(pieces)] == [slow(p) for p in pieces]
+    texts = ["abab", *("".join(rng.choice("abcx") for _ in range(rng.randint(1, 14))) for _ in range(600))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Codec(path, P.PATTERN).encode(texts)] == [want(t) for t in texts]
+
+
+@pytest.mark.parametrize("pattern", [r"[A-Z]+|[a-z]+|\s+|.", r"[^ ]+ ?|\s+", r"\w+"])
+def test_other_patterns_and_tokens_of_blanks(spark, tmp_path, pattern):
+    path, want = foreign(tmp_path, {**SINGLE, b"  ": 300, b"a ": 301, b" b": 302, b"Bi": 303, b"ca": 304}, pattern)
+    texts = ["one TheBigHouse camelCase", "a  b", "a b a b ", "", "日 a  \n b"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Codec(path, pattern).encode(texts)] == [want(t) for t in texts]
+    got = {r.id: (r.ids, bytes(r.decoded)) for r in bpe.encode(docs(spark, list(enumerate(texts))), path, pattern).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: want(t) for k, t in enumerate(texts)}
+    import regex
+    assert {k: v[1] for k, v in got.items()} == {k: "".join(regex.findall(pattern, t)).encode() for k, t in enumerate(texts)}
+
+
+def test_texts_whose_segments_collide_are_encoded_alone(spark, tiktoken_ids, monkeypatch, tmp_path):
+    rows = [(k, f"word{k} and  more {k}") for k in range(30)]
+    texts = docs(spark, rows).select("doc_id", "text")
+    batches = texts.toArrow().to_batches()
+    monkeypatch.setattr(K, "hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) << np.uint64(40))  # all of one length are one
+    codec, found = ("byte_bpe_multi_50k.tiktoken", P.PATTERN), []
+    found = pa.Table.from_batches(bpe._distinct(*codec)(iter([b.select(["text"]) for b in batches])))
+    bpe._store(*codec, f"file://{tmp_path}")(found.append_column("shard", pa.array([0] * found.num_rows, pa.int32())))
+    out = pa.Table.from_batches(bpe._run(*codec, f"file://{tmp_path}", 0, False)(iter(batches)))
+    assert dict(zip(out["id"].to_pylist(), out["ids"].to_pylist(), strict=True)) == {k: tiktoken_ids(t) for k, t in rows}
 
 
 # ---- secrets
