@@ -162,7 +162,7 @@ def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> None:
 def _raw(folder: str, name: str) -> np.ndarray | None:
     fs, path = pafs.FileSystem.from_uri(folder)
     if isinstance(fs, pafs.LocalFileSystem):  # the system caches what is mapped
-        return np.memmap(f"{path}/{name}", np.uint8, "r") if os.path.exists(f"{path}/{name}") else None
+        return np.memmap(f"{path}/{name}", np.uint8, "r").view(np.ndarray) if os.path.exists(f"{path}/{name}") else None
     if (folder, name) not in _kept:
         data = _io.read_file(folder, name)
         _kept[folder, name] = None if data is None else np.frombuffer(data, np.uint8)
@@ -184,3 +184,16 @@ def mapped_arrays(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.nda
         out.append(raw[at : at + nbytes].view(kind))
         at += nbytes + -nbytes % 8
     return out
+
+
+def top(values: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each hash: its leading bits."""
+    return (values >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+
+
+def by_shard(values: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, start, end) of runs of sorted hashes."""
+    shard = top(values, bits)
+    edge = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).tolist()
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(shard[a]), a, b

@@ -268,10 +268,6 @@ def _locate(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-
-
 def _distinct(path: str, pattern: str):
     """Texts -> segments that the task hasn't passed on yet, and their hashes."""
 
@@ -310,11 +306,9 @@ def _store(path: str, pattern: str, folder: str):
 
 def _looked_up(folder: str, bits: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of ids of sorted distinct hashes (none where a hash is missing), and all ids."""
-    shard = _top(hashes, bits)
     size, parts = np.zeros(len(hashes), np.int64), []
-    edge = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        arrays = K.mapped_arrays(folder, f"segments-{int(shard[a])}", STORED)
+    for shard, a, b in K.by_shard(hashes, bits):
+        arrays = K.mapped_arrays(folder, f"segments-{shard}", STORED)
         if arrays is None:
             continue
         stored, ends, ids = arrays

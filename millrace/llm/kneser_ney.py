@@ -235,15 +235,11 @@ def _count_words(bits: int):
 
     def flush(tokens: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         words, n = np.unique(tokens, return_counts=True)
-        return _rows(_deal(1, _top(words, bits), [words], n))
+        return _rows(_deal(1, K.top(words, bits), [words], n))
 
     return lambda batches: _collected(batches, flush)
 
 
-def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-
-
 def _store_words(folder: str):
     """The blocks of a shard of words -> its file, and the number of words by power of two of their counts."""
 
@@ -300,7 +296,7 @@ def _reduce(model: Broadcast, order: int):
         hot = ~alone
         parts = []
         if hot.any():  # one row for each of the four values
-            c, home = [x[hot] for x in context], _top(fold([x[hot] for x in context]), lm.bits)
+            c, home = [x[hot] for x in context], K.top(fold([x[hot] for x in context]), lm.bits)
             which = [np.full(int(hot.sum()), k) for k in range(4)]
             parts += _deal(HOT + order, np.tile(home, 4), [np.tile(fold(c), 4), np.concatenate(which)], np.concatenate([v[hot] for v in values]))
         # Continuations: each distinct n-gram adds one to its tail.
@@ -349,10 +345,7 @@ class Model:
         keys, back = np.unique(hashes, return_inverse=True)
         ids, count, cont = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         start, place = self._starts()
-        shard = _top(keys, self.bits)
-        edge = np.append(_runs([shard]), len(shard))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            s = int(shard[a])
+        for s, a, b in K.by_shard(keys, self.bits):
             arrays = K.mapped_arrays(self.folder, f"words-{s}", WORD)
             if arrays is None:
                 continue
@@ -386,7 +379,7 @@ class Model:
         pieces = (2 ** np.ceil(np.log2(np.maximum(most / self.many, 1)))).astype(np.int64)
         h = fold(context)
         spread = K.mix(h + U64(1) + (fold(columns[-1:]) & (pieces - 1).astype(U64)))
-        return _top(np.where(pieces > 1, spread, h), self.bits), pieces
+        return K.top(np.where(pieces > 1, spread, h), self.bits), pieces
 
     def store_hot(self, order: int, shard: int, table: pa.Table) -> pa.Table:
         (context, which), value = _blocks(table, 2)
@@ -425,7 +418,7 @@ class Model:
             for k, x in enumerate(found):
                 out[first + k][some[by]] = np.repeat(x, size)
         hot = np.flatnonzero(pieces > 1)
-        home = _top(context[hot], self.bits)
+        home = K.top(context[hot], self.bits)
         for s in np.unique(home).tolist():
             arrays = K.mapped_arrays(self.folder, f"hot-{order}-{s}", HOT_CONTEXT)
             if arrays is None:

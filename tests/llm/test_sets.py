@@ -204,21 +204,39 @@ def test_components(spark):
 # ---- decontamination
 
 
-@pytest.mark.parametrize("block", [200_000, 60])
-def test_decontamination_equals_brute_force(spark, block):
+@pytest.mark.parametrize("shard_words", [1_000_000, 20])
+def test_decontamination_equals_brute_force(spark, monkeypatch, shard_words):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
     rows = near_copies(3, 80) + ODD
     rng = random.Random(6)
     items = [(k, " ".join(rng.choice(rows)[1].split()[: rng.randint(2, 30)])) for k in range(12) for rng in [random.Random(k)] if rows[k][1]]
     items += [(50, ""), (51, None), (52, "zz yy"), (53, "ONE"), (54, items[0][1])]
     it = spark.createDataFrame(items, "item_id bigint, text string")
-    got = decontaminate.decontaminate(docs(spark, rows), it, block_windows=block)
+    got = decontaminate.decontaminate(docs(spark, rows), it)
     found = sorted((r.id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in got.collect())
     want = sorted(brute.decontaminate(rows, items))
     assert found == want and 0 < sum(w[5] for w in want) < len(want)
-    clean = decontaminate.remove_contaminated(docs(spark, rows), it, block_windows=block)
+    clean = decontaminate.remove_contaminated(docs(spark, rows), it)
     assert sorted(r.doc_id for r in clean.collect()) == sorted(w[0] for w in want if not w[5])
 
 
+def test_windows_that_share_their_rarest_word(spark):
+    """Many windows with one prefix token: each place and length is tried once, and every one is found."""
+    items = [(k, f"a{k} b{k % 3} c rare d e{k % 5} f g h i") for k in range(300)] + [(1000 + k, " ".join(["rare"] * (k + 1))) for k in range(12)]
+    rows = [(k, f"x {items[k * 7 % 300][1]} y" if k % 2 else "rare " * k) for k in range(40)]
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.decontaminate(docs(spark, rows), it).collect()
+    assert sorted((r.id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in got) == sorted(brute.decontaminate(rows, items))
+
+
+def test_documents_are_scanned_once_to_count_and_once_to_mark(spark, tmp_path):
+    docs(spark, [(k, f"some words {k}") for k in range(20)]).write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    it = spark.createDataFrame([(k, f"item number {k} of many") for k in range(200)], "item_id bigint, text string")
+    plan = decontaminate.decontaminate(table, it)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Broadcast" not in plan and "Exchange" not in plan
+
+
 def test_decontamination_of_odd_tables(spark):
     it = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id bigint, text string")
     none = spark.createDataFrame([], it.schema)
