@@ -9,15 +9,19 @@ identifiers and repeated text compress well; random keys don't.  Candidates that
 ``least`` of what their own characters add in chance order are reported with the kind ``novel``:
 so neither a small alphabet nor a length from which zstandard codes literals hides a key.
 
-Zstandard takes short words and words of letters alone for novel, too.  Candidates of 8 to 15
-characters, and those without digits, must also be spelt unlike words: their pairs of neighbours
-must cost at least ``LEAST_SPELT`` bits a character by the pairs of the language's own
-documentation.  What is not reported: runs under 8 characters, runs without letters, and runs
-under 16 of letters alone without a small letter before a capital.
-
-The dictionary is built by rule from the language's own names (keywords, builtins, modules of the
-standard library) and the sensitive words; what a candidate is measured against is bounded by
-``window`` characters on either side, whatever the text's length.
+Zstandard takes short words, words of letters alone and names with a few digits for novel, too.  So
+candidates must also be spelt unlike words: their pairs of neighbours must cost at least ``LEAST_SPELT``
+bits a character by the pairs of the language's own documentation (random letters cost 6 to 10, names 3 to
+5.5).  Hexadecimal runs of 16 and more with digits and letters are never words.  What is not reported:
+runs under 8 characters, runs without letters, and runs under 16 of letters alone without a small
+letter before a capital.
+
+The dictionary has two parts.  The names of a programming language (keywords, builtins, modules of the
+standard library) and the sensitive words are the same for every table.  The corpus's own identifiers are
+counted over all documents: names that are assigned, called or keyed, without digits and spelt like words,
+in two documents at least; the ``dictionary`` most frequent are taken, which bounds what goes to the workers.
+What a candidate is measured against is bounded by ``window`` characters on either side, whatever the
+text's length.
 
 Defined results
 ---------------
@@ -38,7 +42,7 @@ import re
 import string
 import sys
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 from random import Random
@@ -66,7 +70,7 @@ _inner_capital = re.compile("[a-z][A-Z]").search
 WINDOW, NEAR, LEAST_NOVELTY = 256, 48, 0.72
 #: Shorter strings are stored as they are: a byte a character by chance.  Zstandard codes literals from 64 bytes on, the 16 before a candidate included.
 CODED = 48
-#: Candidates from LONG on with digits are judged by novelty alone.  Copies share at least COPY characters.
+#: Hexadecimal candidates from LONG on are judged by novelty alone.  Copies share at least COPY characters.
 LONG, LEAST_SPELT, COPY = 16, 6.0, 12
 
 
@@ -89,11 +93,33 @@ def identifiers() -> bytes:
     return (" ".join(names) + " " + " ".join(f'{c} = "' for c in (*NAMES, *CONTEXT)) + " 0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ").encode()
 
 
+#: Names that are assigned, called or keyed.
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_.-]{2,39}(?=[\"']?\x20{0,2}(?:[=:(]|=>))")
+DICTIONARY = 2_000
+
+
+def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> identifiers, and in how many of the texts they are."""
+    for batch in batches:
+        seen: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            if text and ("=" in text or ":" in text or "(" in text):
+                seen.update({m for m in IDENTIFIER.findall(text) if spelt(m) < LEAST_SPELT})
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["name", "n"])
+
+
+def corpus_identifiers(texts: DataFrame, most: int = DICTIONARY) -> list[str]:
+    """The most frequent identifiers of a table's texts (one column), the most frequent last; at most ``most`` come to the driver."""
+    names = texts.mapInArrow(_identifiers, "name string, n bigint").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    return [r["name"] for r in names.orderBy(F.desc("n"), "name").limit(most).collect()][::-1]
+
+
 class Novelty:
-    def __init__(self, window: int = WINDOW):
+    def __init__(self, window: int = WINDOW, names: Iterable[str] = ()):
         import zstandard
 
         self.zstd, self.window = zstandard, window
+        self.known = " ".join(names).encode() + b" " + identifiers()
         self.params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=15)
 
     def _around(self, text: str, start: int, end: int) -> tuple[str, str]:
@@ -114,7 +140,7 @@ class Novelty:
         """Compressed bytes that a string adds in the place of text[start:end], knowing names and surroundings."""
         left, right = self._around(text, start, end)
         tail = left[-16:].encode()
-        primed = self.zstd.ZstdCompressionDict(identifiers() + b" " + (left + right).encode(), dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
+        primed = self.zstd.ZstdCompressionDict(self.known + b" " + (left + right).encode(), dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
         squeeze = self.zstd.ZstdCompressor(dict_data=primed, compression_params=self.params).compress
         return lambda s: max(0, len(squeeze(tail + s.encode())) - len(squeeze(tail)))
 
@@ -165,11 +191,11 @@ def spelt(s: str) -> float:
 
 
 def likely(s: str) -> bool:
-    """Has letters; short ones and those without digits are spelt unlike words.  Short ones of small letters or capitals alone can't be told from words."""
+    """Has letters, and is spelt unlike words unless it is long and hexadecimal.  Short ones of small letters or capitals alone can't be told from words."""
     digits = any(c.isdigit() for c in s)
     if not any(c.isalpha() for c in s) or len(s) < LONG and not digits and not _inner_capital(s):
         return False
-    return len(s) >= LONG and digits or spelt(s) >= LEAST_SPELT
+    return len(s) >= LONG and digits and not set(s) - set(string.hexdigits) or spelt(s) >= LEAST_SPELT
 
 
 def novel_spans(text: str, base: list[S.Span], novelty: Novelty, least: float = LEAST_NOVELTY) -> list[tuple[S.Span, float]]:
@@ -197,9 +223,9 @@ def scan(text: str | None, novelty: Novelty) -> tuple[list[S.Span], list[S.Span]
     return base, spans, [score[x] for x in spans]
 
 
-def _run(window: int):
+def _run(window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty(window)
+        novelty = Novelty(window, names)
         for batch in batches:
             rows = [scan(t, novelty) for t in batch.column(1).to_pylist()]
             count = [pa.array([sum(x[0] == k for x in base) for base, _, _ in rows], pa.int64()) for k in KINDS[:3]]
@@ -210,12 +236,13 @@ def _run(window: int):
     return run
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, dictionary: int = DICTIONARY) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, joined), novelty (array)."""
     _io.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(_run(window), f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, novelty array<double>")
+    names = corpus_identifiers(docs.select("text"), dictionary)
+    return docs.mapInArrow(_run(window, names), f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, novelty array<double>")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
