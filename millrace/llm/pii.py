@@ -1,14 +1,18 @@
 """Personal data by weak supervision.
 
 Candidates are the base patterns (e-mail, IP address, payment card, phone) and looser forms of
-them.  Six labelers vote for, against or not at all on each candidate: the strict pattern, a
-checksum or range test, a gazetteer (top-level domains, calling codes, issuer digits, reserved
-networks), the words around, the digits themselves, and the borders.  No labeled data is used:
+them: e-mail addresses in words, every other run of 7 to 19 digits whatever its separators, and inside
+runs that no base span covers the groups that are written as cards (so of two cards with a blank between
+them, which are one run too long to be a card, each is a candidate).  Six labelers vote for, against or
+not at all on each candidate: the form (a regular expression for the candidate alone), a checksum or
+range test, a gazetteer (top-level domains, calling codes, issuer digits, reserved networks), the words
+around, the digits themselves, and the borders.  No labeled data is used:
 
 1. all documents' candidates are reduced to counts of (kind, votes, features), a table whose size
    the number of codes bounds;
 2. expectation-maximisation on these counts estimates, for each kind, how often each labeler votes
-   how on true and on false candidates, and with that the probability of each vote pattern;
+   how on true and on false candidates, and with that the probability of each vote pattern.  Only how
+   seldom a true candidate fails its test is given (``SLIP``): a checksum isn't an opinion;
 3. a logistic classifier of spans is trained on the counts, with these probabilities as soft
    labels; its features include what no labeler sees (length, separators);
 4. candidates that the classifier accepts are added.  Base spans always stay.
@@ -47,8 +51,19 @@ _card = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){15,}+").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 
 # Looser forms.
-_spelt = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{2,63})+").finditer
-_numbers = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){2,4}(?![0-9A-Za-z])").finditer
+_spelt = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|(?<= )dot(?= )|\.) ?[A-Za-z0-9-]{2,63})+", re.I).finditer
+_masked = re.compile(r"[(\[{](?:at|dot)[)\]}]| dot ", re.I).search
+_digit_runs = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]++\)?+(?:[ ./-]\(?[0-9]++\)?+|\([0-9]++\))*+(?![0-9A-Za-z])").finditer
+_groups = re.compile(r"[0-9]+").finditer
+#: How cards are grouped, besides one group of 13 to 19 digits.
+GROUPINGS = ((4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4))
+#: A candidate alone, as its kind is mostly written.
+FORMS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").fullmatch,
+    "ip": re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}").fullmatch,
+    "card": re.compile(r"[0-9]{13,19}|[0-9]{4}([ -][0-9]{4}){3}([ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}").fullmatch,
+    "phone": re.compile(r"(\+|00)[0-9][ 0-9().-]+[0-9]|\(0?[0-9]{2,4}\)[ 0-9-]+").fullmatch,
+}
 
 #: Common top-level domains, first digits of calling codes with their lengths, first digits of card issuers.
 TLDS = frozenset("com org net edu gov mil int info biz io co ai app dev uk de fr es it nl be ch at se no dk fi pl cz pt gr ie eu us ca mx br ar cl au nz jp cn kr in ru tr za il".split())
@@ -110,19 +125,35 @@ def base_spans(text: str) -> list[S.Span]:
 def loose_spans(text: str) -> list[S.Span]:
     """Candidates beyond the base patterns."""
     found: list[S.Span] = []
-    low = text.lower() if " at " in text or "(at)" in text or "[at]" in text else ""
-    if low and (" dot " in low or "(dot)" in low or "[dot]" in low or "(at)" in low or "[at]" in low):
-        found += [("email", *m.span()) for m in _spelt(text) if "(at)" in m[0] or "[at]" in m[0] or " dot " in m[0] or "(dot)" in m[0]]
-    for m in _numbers(text):
-        n = len(_digits(m[0]))
-        if 13 <= n <= 19:
-            found.append(("card", *m.span()))
-        elif 7 <= n <= 12:
-            found.append(("phone", *m.span()))
+    if _masked(text):
+        found += [("email", *m.span()) for m in _spelt(text) if _masked(m[0])]
+    for m in _digit_runs(text):
+        n = sum(c.isdigit() for c in m[0])
+        if n < 7:
+            continue
+        cards = _cards(m[0], m.start())
+        if cards:
+            found += cards
+        elif n <= 19:
+            found.append(("phone" if n < 13 or m[0].startswith("00") and n <= 17 else "card", *m.span()))
     return found
 
 
-def votes(text: str, span: S.Span, strict: bool) -> tuple[int, ...]:
+def _cards(run: str, at: int) -> list[S.Span]:
+    """Groups of a run of digits that are written as cards, from the left: those that pass Luhn, else single groups."""
+    groups = [m.span() for m in _groups(run)]
+    size = [e - s for s, e in groups]
+    out, k = [], 0
+    while k < len(groups):
+        ends = [k + len(g) for g in GROUPINGS if tuple(size[k : k + len(g)]) == g] + ([k + 1] if 13 <= size[k] <= 19 else [])
+        end = next((e for e in sorted(ends, reverse=True) if luhn(_digits(run[groups[k][0] : groups[e - 1][1]]))), k + 1 if 13 <= size[k] <= 19 else 0)
+        if end:
+            out.append(("card", at + groups[k][0], at + groups[end - 1][1]))
+        k = end or k + 1
+    return out
+
+
+def votes(text: str, span: S.Span) -> tuple[int, ...]:
     """-1, 0 or 1 of each labeler."""
     kind, s, e = span
     raw = text[s:e]
@@ -130,7 +161,7 @@ def votes(text: str, span: S.Span, strict: bool) -> tuple[int, ...]:
     near = text[max(0, s - 40) : s].lower() + " " + text[e : e + 20].lower()
     test = gazetteer = 0
     if kind == "email":
-        tail = re.split(r"\.| dot |\(dot\)|\[dot\]", raw.lower())[-1].strip()
+        tail = re.split(r"\.| dot |[(\[{]dot[)\]}]", raw.lower())[-1].strip()
         test, gazetteer = (1 if 2 <= len(tail) <= 24 and tail.isalpha() else -1), (1 if tail in TLDS else 0)
     elif kind == "ip":
         parts = raw.split(".")
@@ -139,26 +170,34 @@ def votes(text: str, span: S.Span, strict: bool) -> tuple[int, ...]:
     elif kind == "card":
         test, gazetteer = (1 if luhn(d) else -1), (1 if d[0] in ISSUERS else -1)
     else:
-        test = 1 if 8 <= len(d) <= 15 else -1
-        gazetteer = (1 if d.startswith(CALLING) else -1) if raw[0] == "+" else 0
+        code = d[2:] if raw.startswith("00") else d
+        test = 1 if 8 <= len(code) <= 15 else -1
+        gazetteer = (1 if code.startswith(CALLING) else -1) if raw[0] == "+" or raw.startswith("00") else 0
     context = 1 if any(w in near for w in FOR[kind]) else -1 if any(w in near for w in AGAINST) else 0
     shape = 0 if not d or kind in ("email", "ip") else -1 if len(set(d)) <= 2 or d in "01234567890123456789" else 1
     before, after = text[s - 1 : s], text[e : e + 1]
     border = -1 if before.isalnum() or after.isalnum() else 1
-    return 1 if strict else -1, test, gazetteer, context, shape, border
+    return 1 if FORMS[kind](raw) else -1, test, gazetteer, context, shape, border
+
+
+LABELERS, TEST = 6, 1
+#: How often a true candidate fails its checksum or range test (a slip of the writer).
+SLIP = 1e-4
 
 
-LABELERS = 6
+def _passes(votes: np.ndarray) -> np.ndarray:
+    """Shares of a true candidate's votes (against, none, for), with SLIP against."""
+    return np.array([SLIP, *(votes[1:] / votes[1:].sum() * (1 - SLIP))])
 
 
-def code(text: str, span: S.Span, strict: bool) -> int:
+def code(text: str, span: S.Span) -> int:
     """Kind, votes and features of a candidate in one number."""
     kind, s, e = span
     raw = text[s:e]
     out = KINDS.index(kind)
-    for v in votes(text, span, strict):
+    for v in votes(text, span):
         out = out * 3 + v + 1
-    separators = sum(c in " .-()" for c in raw)
+    separators = sum(c in " ./-()" for c in raw)
     return (out * 4 + min(3, (e - s) // 8)) * 4 + min(3, separators)
 
 
@@ -198,6 +237,8 @@ class Classifier:
                     for truth, weight in ((1, true), (0, false)):
                         seen = np.bincount(ballot[own, j], weights=weight, minlength=3) + (np.array([0.5, 1, 1.5]) if truth else np.array([1.5, 1, 0.5]))
                         self.reliability[k, j, truth] = seen / seen.sum()
+                    if j == TEST:  # next to proof: not estimated
+                        self.reliability[k, j, 1] = _passes(self.reliability[k, j, 1])
                     ratio = np.log(self.reliability[k, j, 1] / self.reliability[k, j, 0])
                     logit[own] += ratio[ballot[own, j]]
             soft = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -230,7 +271,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             base = base_spans(text)
             loose = S.apart(loose_spans(text), base)
-            found.append([{"kind": x[0], "s": x[1], "e": x[2], "base": strict, "code": code(text, x, strict)} for xs, strict in ((base, True), (loose, False)) for x in xs])
+            found.append([{"kind": x[0], "s": x[1], "e": x[2], "base": strict, "code": code(text, x)} for xs, strict in ((base, True), (loose, False)) for x in xs])
         kind = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int64()), ("e", pa.int64()), ("base", pa.bool_()), ("code", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["id", "found"])
 
