@@ -20,8 +20,8 @@ among the ``k`` in single precision is computed again in double.  Labels vote wi
 as the distance shrinks; points that share no term don't vote.
 
 One task builds the index from the counts of at most ``2 * max_examples`` texts and writes it into the
-shared folder; the driver holds its name alone.  Workers read it once, and make columns (four bytes for
-each point) and posting lists of it.
+shared folder: columns (four bytes for each point), posting lists and bounds.  The driver holds its name
+alone; workers memory-map it.
 
 Defined results
 ---------------
@@ -54,6 +54,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _io
+from . import _kernel as K
 
 MAX_EXAMPLES, K_NEAREST, BLOCK = 4_000, 15, 64
 LEAST_SEEN, LEAST_CHI, COMMON = 3, 10.83, 0.02
@@ -86,12 +87,12 @@ def counts(text: str | None, vocabulary: dict[str, int]) -> list[tuple[int, int]
     return sorted(_found(text, vocabulary).items())
 
 
-def _found(text: str | None, vocabulary: dict[str, int], beginning: list[int] | None = None) -> dict[int, int]:
+def _found(text: str | None, vocabulary: dict[str, int], beginning: np.ndarray | None = None) -> dict[int, int]:
     found: dict[int, int] = {}
     get, held = vocabulary.get, found.get
     for w, n in Counter(_words((text or "").lower())).items():
         own = get(w, 0)
-        start = beginning[own] if own and beginning else get("^" + w[:5]) if len(w) > 5 else 0
+        start = int(beginning[own]) if own and beginning is not None else get("^" + w[:5]) if len(w) > 5 else 0
         if start:
             found[start] = held(start, 0) + n
         if own or not start:
@@ -146,28 +147,44 @@ class Index:
         if ones and noughts and len(rows):
             self._calibrate()
 
-    def __getstate__(self) -> dict:
-        """Counts and terms; what follows from them is made anew where the index is used."""
-        kept = ("heavy", "idf", "k", "block", "share", "n1", "n0", "example", "w1", "w0", "label", "zero", "rank", "start", "feature", "steps")
-        return {x: getattr(self, x) for x in kept} | {"n": self.n.astype(np.min_scalar_type(self.n.max(initial=0)))}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.names = pa.array([], pa.string())
-        self._arrange()
+    #: What is stored of an index: arrays, which workers map, and the rest.
+    ARRAYS = {
+        "start": "<i8", "feature": "<i4", "weight": "<f8", "column": "<i8", "columns": "<f4", "post": "<i8", "post_point": "<i4", "post_weight": "<f4", "rare": "<f8", "bound": "<f4", "light": "<f8", "idf": "<f8",
+        "n1": "<i8", "n0": "<i8", "example": "<i8", "rank": "<i8", "label": "<f8",
+    }
+    REST = ("heavy", "k", "block", "share", "w1", "w0", "zero", "steps")
+
+    def save(self, folder: str) -> None:
+        K.write_arrays(folder, "index", [getattr(self, x).astype(kind).reshape(-1) for x, kind in self.ARRAYS.items()])
+        _io.write_file(folder, "rest", [pickle.dumps({x: getattr(self, x) for x in self.REST})])
+
+    @classmethod
+    def load(cls, folder: str) -> Index:
+        self = cls.__new__(cls)
+        self.__dict__.update(pickle.loads(_io.read_file(folder, "rest")))
+        self.__dict__.update(zip(cls.ARRAYS, K.mapped_arrays(folder, "index", tuple(cls.ARRAYS.values())), strict=True))
+        n = len(self.example)
+        self.columns = self.columns.reshape(-1, n) if n else self.columns.reshape(int((self.column >= 0).sum()), 0)
+        self.bound = self.bound.reshape(-1, self.heavy) if self.heavy else np.zeros((-(-n // self.block), 0), np.float32)
+        terms = _io.read_file(folder, "terms")
+        self.names = pickle.loads(terms) if terms else pa.array([], pa.string())
+        return self
 
     @cached_property
     def terms(self) -> list[str]:
         return ["*", *self.names.to_pylist()]
 
+    def name(self, term: int) -> str:
+        return self.names[int(term) - 1].as_py() if term else "*"
+
     @cached_property
     def vocabulary(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.terms) if i}
+        return {w.as_py(): i for i, w in enumerate(self.names, 1)}
 
     @cached_property
-    def beginning(self) -> list[int]:
+    def beginning(self) -> np.ndarray:
         """Of each word its beginning, or 0."""
-        return [self.vocabulary.get("^" + w[:5], 0) if len(w) > 5 else 0 for w in self.terms]
+        return np.array([0, *(self.vocabulary.get("^" + w[:5], 0) if len(w) > 5 else 0 for w in self.vocabulary)], np.int32)
 
     def _arrange(self) -> None:
         n, self.weight = len(self.start) - 1, self.unit(self.start, self.feature, self.n)[2]
@@ -337,7 +354,7 @@ class Index:
             for d, v in enumerate(part):
                 near = ",".join(f"{self.example[a]}:{c:.3f}:{self.label[a]:.2f}" for a, c in zip(at[d, :3].tolist(), cosine[d, :3].tolist(), strict=True) if a >= 0)
                 f, w = feature[start[d] : start[d + 1]], weight[start[d] : start[d + 1]]
-                top = ",".join(self.terms[f[x]] for x in np.lexsort((f, -w))[:3].tolist())
+                top = ",".join(self.name(f[x]) for x in np.lexsort((f, -w))[:3].tolist())
                 out.append((float(score[d]) if v else float(self.zero), f"{near if v else ''}|{top}"))
         return out
 
@@ -352,11 +369,9 @@ class Fitted:
         return _loaded(self.folder)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _loaded(folder: str) -> Index:
-    index = pickle.loads(_io.read_file(folder, "index"))
-    index.names = pickle.loads(_io.read_file(folder, "terms") or pickle.dumps(index.names))
-    return index
+    return Index.load(folder)
 
 
 def _store_terms(folder: str):
@@ -377,7 +392,7 @@ def _build(heavy: int, k: int, block: int, share: float, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            _io.write_file(folder, "index", [pickle.dumps(build(pa.Table.from_batches(held), heavy, k, block, share))])
+            build(pa.Table.from_batches(held), heavy, k, block, share).save(folder)
             yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in held)], pa.int64())], ["examples"])
 
     return run
@@ -406,7 +421,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     folder = _io.qualified(spark, _io.scratch(spark, "toxicity-index"))
     ranked.select("feature", "term").repartition(1).mapInArrow(_store_terms(folder), "terms bigint").collect()
     if not each.repartition(1).mapInArrow(_build(heavy, k, block, share, folder), "examples bigint").collect():
-        _io.write_file(folder, "index", [pickle.dumps(build(pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int32())}), 0, k, block, share))])
+        build(pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int32())}), 0, k, block, share).save(folder)
     return Fitted(folder)
 
 
