@@ -82,18 +82,30 @@ def coverage(joined: DataFrame, record: str, matched: str) -> DataFrame:
     )
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tie_break: Sequence[str] = ()) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tie_break: Sequence[str] = (), bucket_seconds: int | None = None) -> DataFrame:
     """The latest row of ``right`` with its time at or before the left row's, for equal keys (JN-12).
 
     Both sides are stacked and sorted by key and time once; a window carries the last right row
     forward.  No row meets more than one other, whatever the number of candidates.
+
+    With ``bucket_seconds`` a key's rows are dealt by time buckets, so that a key with many rows is no
+    hot key: each bucket's last right row is found by a pre-aggregation, carried over the key's buckets,
+    and put before the first row of the next ones.
     """
     values = [c for c in right.columns if c not in keys]
     carried = F.struct(*(F.col(c) for c in values))
     rights = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), carried.alias("__right"), F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("__left"), F.struct(*(F.col(c) for c in tie_break or values)).alias("__tie"))
     lefts = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(rights.schema["__right"].dataType).alias("__right"), F.struct("*").alias("__left"), F.lit(None).cast(rights.schema["__tie"].dataType).alias("__tie"))
-    order = Window.partitionBy(*keys).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    stacked = rights.unionByName(lefts).withColumn("__last", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
+    stacked, by = rights.unionByName(lefts), list(keys)
+    if bucket_seconds:
+        stacked = stacked.withColumn("__cell", F.floor(F.unix_timestamp(F.col("__t").cast("timestamp")) / bucket_seconds))
+        by.append("__cell")
+        last = stacked.groupBy(*by).agg(F.max_by("__right", F.when(F.col("__side") == 0, F.struct("__t", "__tie"))).alias("__own"))
+        earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        seeds = last.withColumn("__right", F.last("__own", ignorenulls=True).over(earlier)).where("__right IS NOT NULL").drop("__own").withColumn("__side", F.lit(0))
+        stacked = stacked.unionByName(seeds, allowMissingColumns=True)  # without a time they come first
+    order = Window.partitionBy(*by).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    stacked = stacked.withColumn("__last", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
     taken = set(left.columns)
     return stacked.select("__left.*", *(F.col(f"__last.`{c}`").alias(c if c not in taken else f"{c}_right") for c in values))
 
@@ -134,7 +146,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "inne
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 8) -> DataFrame:
     """Spreads each key of the big side over ``salts`` partitions and repeats the small side for each (JN-15).
 
-    The salt is a hash of the row, not a random number: a task that runs again deals the same.
+    The salt is a hash of the row, not a random number: a task that runs again deals the same.  Equal rows
+    share a salt; a key whose rows are all alike is left to adaptive execution, which splits its partition.
     """
     row = F.pmod(F.xxhash64(*(F.col(c) for c in big.columns)), F.lit(salts)).cast("int")
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

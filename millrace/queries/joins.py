@@ -134,15 +134,28 @@ def _(t):
     return out.groupBy("p_brand").agg(F.sum(F.col("quantity") * F.col("price")).cast("double").alias("cost"), F.count("price").alias("priced"), F.count_if(F.col("price").isNull()).alias("unpriced"))
 
 
-@query("jn12_asof_join", """
+ASOF = """
   WITH p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, event_id AS view_id FROM events WHERE event_type = 'view')
-  SELECT p.event_id, v.view_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
-def _(t):
-    """The last view before each purchase of a user."""
+  SELECT p.event_id, v.view_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+
+
+def last_view(t, **options):
     e = t.events.select("user_id", "ts", "event_id", "event_type")
     views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("viewed"), F.col("event_id").alias("view_id"))
     bought = e.where("event_type = 'purchase'").drop("event_type")
-    return joins.asof_join(bought, views, ["user_id"], "ts", "viewed", ["view_id"]).select("event_id", "view_id")
+    return joins.asof_join(bought, views, ["user_id"], "ts", "viewed", ["view_id"], **options).select("event_id", "view_id")
+
+
+@query("jn12_asof_join", ASOF)
+def _(t):
+    """The last view before each purchase of a user."""
+    return last_view(t)
+
+
+@query("jn12_asof_join_in_buckets", ASOF)
+def _(t):
+    """The same, with each user's rows dealt by days."""
+    return last_view(t, bucket_seconds=86_400)
 
 
 @query("jn13_null_safe_join", f"{D}, s AS (SELECT * FROM (VALUES ('F', 1), ('O', 2), (NULL, 3)) AS v(o_orderstatus, code)) SELECT code, count(*) AS n FROM d JOIN s ON d.o_orderstatus IS NOT DISTINCT FROM s.o_orderstatus GROUP BY 1")

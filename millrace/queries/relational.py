@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import flag_excluded, null_safe_not_equal, optional_filter
 from ..operators import aggregates, projections
-from ..sources import customers, sales, skewed_sales
+from ..sources import generate
+from ..sources.generate import ACCOUNTS, HOT_PAYMENTS, PAYMENTS, SPAN, draw_sql
 from .derived import DIRTY_ORDERS_SQL, dirty_orders
 from .registry import query
 
@@ -27,16 +28,16 @@ def _(t):
     return t.spark.createDataFrame([(1, "a"), (2, None)], "id int, label string")
 
 
-@query("src08_generated_sales", """
-  SELECT r.range % 90 AS day, count(*) AS n, CAST(sum(CAST(r.range * 13 % 10000 AS BIGINT)) AS BIGINT) AS cents FROM range(200000) r GROUP BY 1""")
+@query("src08_generated_payments", f"""
+  SELECT CAST(DATE '2024-02-01' + CAST({draw_sql('day', 0)} % 120 AS INT) AS DATE) AS day, count(*) AS n, CAST(sum({draw_sql('paid', 0)} % 249950 + 50) AS BIGINT) AS cents, count(DISTINCT {draw_sql('account', 0)} % 800) AS accounts
+  FROM range(50000) GROUP BY 1""")
 def _(t):
-    day = F.datediff("order_date", F.lit("2026-01-01").cast("date")).cast("bigint").alias("day")
-    return sales(t.spark).groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("amount") * 100).cast("bigint")).alias("cents"))
+    return generate(t.spark, PAYMENTS, 50_000).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("paid") * 100).cast("bigint")).alias("cents"), F.countDistinct("account").alias("accounts"))
 
 
-@query("src08_generated_customers", "SELECT ['SMB', 'Mid-Market', 'Enterprise'][r.range % 3 + 1] AS segment, count(*) AS n FROM range(1000) r GROUP BY 1")
+@query("src08_generated_accounts", f"SELECT ['basic', 'team', 'scale'][{draw_sql('plan', 0)} % 3 + 1] AS plan, count(*) AS n FROM range(800) GROUP BY 1")
 def _(t):
-    return customers(t.spark).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    return generate(t.spark, ACCOUNTS, 800).groupBy("plan").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("prj01_standardise", f"{D} SELECT o_orderkey, lower(trim(o_orderpriority)) AS priority, coalesce(o_orderstatus, '?') AS status, o_orderstatus AS raw_o_orderstatus FROM d")
@@ -197,10 +198,11 @@ def _(t):
     return groups.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
 
 
-@query("src08_skewed_generator")
+@query("src08_skewed_generator", f"""
+  SELECT CASE WHEN {draw_sql('account/hot', 0)} < {int(0.9 * SPAN)} THEN 0 ELSE {draw_sql('account', 0)} % 800 END = 0 AS hot, count(*) AS n FROM range(400000) GROUP BY 1""")
 def _(t):
-    """Share of the hot key; rows follow from a hash, which the checking SQL lacks."""
-    return skewed_sales(t.spark, 40_000).groupBy((F.col("customer_id") == 0).alias("hot")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows of the hot key and of the others."""
+    return generate(t.spark, HOT_PAYMENTS, 400_000).groupBy((F.col("account") == 0).alias("hot")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("srt01_order_by_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

@@ -1,6 +1,6 @@
-"""Readers with declared schemas, incremental discovery, and generators."""
+"""Readers with declared schemas, incremental discovery, and generated tables."""
 
 from .files import discover, read_batch, read_csv, read_inferred, read_json_lines, reconcile_rescued
-from .generate import customers, names, sales, skewed_sales
+from .generate import generate
 
-__all__ = ["customers", "discover", "names", "read_batch", "read_csv", "read_inferred", "read_json_lines", "reconcile_rescued", "sales", "skewed_sales"]
+__all__ = ["discover", "generate", "read_batch", "read_csv", "read_inferred", "read_json_lines", "reconcile_rescued"]

@@ -1,8 +1,8 @@
 """Versioned tables: snapshots, merges, constraints and change feeds over immutable Parquet files.
 
 A table is a folder with ``data/<commit>/...parquet`` and ``_log/<version>.json``.  A commit first
-writes its files, then creates the next log entry exclusively; a writer that finds the entry taken
-has lost the race and raises.  An entry lists files added and removed, and the whole state is
+writes its files, then creates the next log entry exclusively and whole; a writer that finds the entry taken
+has lost the race, deletes its files and raises.  An entry lists files added and removed, and the whole state is
 repeated in every ``CHECKPOINT_EVERY``-th, so that a reader folds few entries.  The log goes
 through Hadoop's file systems, so tables live wherever Spark can write.
 
@@ -15,8 +15,9 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ class _Store:
     """The few file operations that a log needs, through Hadoop's FileSystem."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark.sparkContext._jvm, root
+        self.jvm, self.gateway, self.root = spark.sparkContext._jvm, spark.sparkContext._gateway, root
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self.path("").getFileSystem(self.conf)
 
@@ -49,17 +50,22 @@ class _Store:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """False if the file is there already."""
+        """A file that appears whole, in one step: written aside, then renamed where no file is.  False if there is one already."""
+        folder, _, leaf = name.rpartition("/")
+        where, aside = self.fs.makeQualified(self.path(name)), self.fs.makeQualified(self.path(f"{folder}/.{leaf}.{uuid.uuid4().hex}"))
+        stream = self.fs.create(aside, False)
         try:
-            stream = self.fs.create(self.path(name), False)
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        no_options = self.gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.conf).rename(aside, where, no_options)
         except Exception as error:
+            self.fs.delete(aside, False)
             if "FileAlreadyExists" in str(error) or "already exists" in str(error):
                 return False
             raise
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
         return True
 
     def parts(self, folder: str) -> list[tuple[str, int]]:
@@ -77,6 +83,27 @@ class _Store:
         self.fs.delete(self.path(name), True)
 
 
+def _rows_of(root: str, schema: T.StructType):
+    """Names of Parquet files below ``root`` -> their rows, in the columns of ``schema``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(schema)
+        system, base = fs.FileSystem.from_uri(root if "://" in root else root.replace("file:", "file://", 1))
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with system.open_input_file(f"{base}/{name}") as source:
+                    for part in pq.ParquetFile(source).iter_batches(10_000):
+                        have = part.schema.names
+                        columns = [part.column(f.name).cast(f.type) if f.name in have else pa.nulls(part.num_rows, f.type) for f in kind]
+                        yield pa.RecordBatch.from_arrays(columns, schema=kind)
+
+    return run
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.store = spark, path.rstrip("/"), _Store(spark, path.rstrip("/"))
@@ -144,6 +171,8 @@ class VersionedTable:
             files = {k: v for k, v in state["files"].items() if k not in set(entry["remove"])} | entry["add"]
             entry["state"] = state | set_ | {"files": files}
         if not self.store.create(f"_log/{version:020d}.json", json.dumps(entry)):
+            for folder in {"/".join(name.split("/")[:2]) for name in entry["add"]}:
+                self.store.delete(folder)
             raise E.ConcurrentWrite(f"version {version} of {self.path} was committed by another writer")
         return version
 
@@ -180,11 +209,21 @@ class VersionedTable:
         return lambda: self.read()
 
     def read_stream(self) -> DataFrame:
-        """New rows as a stream; only while the table has been appended to and nothing else (SRC-06)."""
+        """New rows as a stream, while the table is appended to and nothing else (SRC-06).
+
+        What streams is the log: each entry names the files that its commit added, and workers read
+        these, one task for some entries.  Files that no commit names never become rows; an entry that
+        removes files fails the stream.
+        """
         state = self.state()
         if not state["append_only"]:
             raise E.NotAppendOnly(f"{self.path} has rewritten files, which a stream would read as new rows")
-        return self.spark.readStream.schema(T.StructType.fromJson(state["schema"])).option("recursiveFileLookup", "true").parquet(f"{self.path}/data")
+        schema = T.StructType.fromJson(state["schema"])
+        log = self.spark.readStream.format("text").schema("value STRING").option("wholetext", "true").option("pathGlobFilter", "*.json").load(f"{self.path}/_log")
+        entry = F.from_json("value", "add MAP<STRING, STRING>, remove ARRAY<STRING>").alias("e")
+        added = F.when(F.size("e.remove") > 0, F.raise_error(F.lit(f"[{E.NotAppendOnly.condition}] a commit removed files of {self.path}"))).otherwise(F.map_keys("e.add"))
+        root = self.store.fs.makeQualified(self.store.path("")).toString()
+        return log.select(entry).select(F.explode(added).alias("file")).mapInArrow(_rows_of(root, schema), schema)
 
     # ---- writing ----
 
@@ -319,6 +358,13 @@ class VersionedTable:
             return None
         if len(set(source.columns)) < len(source.columns):
             raise E.DuplicateColumns(f"columns {source.columns}")
+        source = source.persist()  # read up to three times
+        try:
+            return self._merge(base, state, token, source, on, update, update_if, delete_if, insert, insert_if, target_if, operation)
+        finally:
+            source.unpersist()
+
+    def _merge(self, base, state, token, source, on, update, update_if, delete_if, insert, insert_if, target_if, operation) -> int:
         target = self._frame(state, state["files"])
         columns = [f.name for f in T.StructType.fromJson(state["schema"])]
         keys = source.select(*on).where(" AND ".join(f"`{k}` IS NOT NULL" for k in on))
@@ -379,12 +425,13 @@ class VersionedTable:
             F.array(F.struct(F.lit("update_preimage").alias("_change_type"), F.col("a").alias("r")), F.struct(F.lit("update_postimage").alias("_change_type"), F.col("b").alias("r"))))
         return joined.select(F.explode(kinds).alias("x")).select("x.r.*", "x._change_type")
 
-    def optimize(self, files: int = 1, cluster_by: Sequence[str] = ()) -> int:
-        """Rewrites into ``files`` files, by ranges of ``cluster_by`` and sorted if given (TBL-09)."""
+    def optimize(self, files: int | None = None, cluster_by: Sequence[str] = (), file_bytes: int = 128 << 20) -> int:
+        """Rewrites into ``files`` files, by default as many as make about ``file_bytes`` each; by ranges of ``cluster_by`` and sorted if given (TBL-09)."""
         base = self.version()
         state = self.state(base)
+        files = files or max(1, -(-sum(f["size"] for f in state["files"].values()) // file_bytes))
         df = self._frame(state, state["files"])
-        df = df.repartitionByRange(files, *cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df.coalesce(files)
+        df = df.repartitionByRange(files, *cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df.repartition(files)
         return self._commit(base, "OPTIMIZE", state, state["files"], self._write(df, state), {"append_only": False})
 
     def vacuum(self, keep_versions: int = 1) -> int:

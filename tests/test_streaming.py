@@ -9,7 +9,8 @@ from millrace import errors as E
 from millrace import plans, streaming
 from millrace.operators import joins, windows
 from millrace.plans import metrics, spec
-from millrace.sources import customers, sales, skewed_sales
+from millrace.sources import generate
+from millrace.sources.generate import ACCOUNTS, HOT_PAYMENTS, PAYMENTS
 from millrace.table import VersionedTable
 
 EVENTS = "event_id STRING, customer_id STRING, event_ts TIMESTAMP, amount INT"
@@ -97,44 +98,44 @@ def test_the_static_side_is_read_anew_for_each_batch(spark, tmp_path):
 
 
 def test_plan_shapes(spark):
-    s, c = sales(spark, 20_000), customers(spark)
+    s, c = generate(spark, PAYMENTS, 20_000), generate(spark, ACCOUNTS, 800)
     with plans.conf(spark, spark__sql__adaptive__enabled="false"):
-        assert plans.exchange_count(s.where("amount > 5").select("order_id")) == 0
-        assert plans.exchange_count(s.groupBy("customer_id").count()) == 1
-        assert plans.join_strategies(s.join(c, "customer_id")) == ["BroadcastHashJoin"]
+        assert plans.exchange_count(s.where("paid > 5").select("payment")) == 0
+        assert plans.exchange_count(s.groupBy("account").count()) == 1
+        assert plans.join_strategies(s.join(c, "account")) == ["BroadcastHashJoin"]
         with plans.conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-            j = s.join(c, "customer_id")
+            j = s.join(c, "account")
             assert plans.join_strategies(j) == ["SortMergeJoin"] and plans.exchange_count(j) == 2
-        top = windows.top_n(s, ["customer_id"], [F.desc("amount"), F.col("order_id")], 3)
+        top = windows.top_n(s, ["account"], [F.desc("paid"), F.col("payment")], 3)
         assert plans.executed_plan(top).count("WindowGroupLimit") == 2
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
 
 
 def test_salting_spreads_a_hot_key(spark):
     with plans.conf(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__shuffle__partitions="16"):
-        big, small = skewed_sales(spark, 50_000), customers(spark)
-        plain = plans.partition_sizes(big.join(small, "customer_id"))
-        salted = plans.partition_sizes(joins.salted_join(big, small, ["customer_id"]))
+        big, small = generate(spark, HOT_PAYMENTS, 50_000), generate(spark, ACCOUNTS, 800)
+        plain = plans.partition_sizes(big.join(small, "account"))
+        salted = plans.partition_sizes(joins.salted_join(big, small, ["account"]))
     assert sum(plain) == sum(salted) and plain[0] > 0.85 * sum(plain) and salted[0] < 0.45 * sum(salted)
 
 
 def test_adaptive_execution_splits_a_hot_partition(spark):
     settings = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "64k", "spark__sql__adaptive__advisoryPartitionSizeInBytes": "64k", "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2"}
     with plans.conf(spark, **settings):
-        df = skewed_sales(spark, 200_000).join(customers(spark), "customer_id")
+        df = generate(spark, HOT_PAYMENTS, 200_000).join(generate(spark, ACCOUNTS, 800), "account")
         df.collect()
         assert "skew=true" in plans.executed_plan(df)
 
 
 def test_pruning_determinism_and_udf_nodes(spark, tmp_path):
     path = str(tmp_path / "p")
-    sales(spark, 1000).write.partitionBy("order_date").parquet(path)
-    df = spark.read.parquet(path).where("order_date = '2026-01-05' AND amount > 3").select("order_id")
+    generate(spark, PAYMENTS, 1000).write.partitionBy("day").parquet(path)
+    df = spark.read.parquet(path).where("day = '2024-02-05' AND paid > 3").select("payment")
     seen = plans.pruning(df)
-    assert "order_date" in seen["PartitionFilters"][0] and "GreaterThan(amount" in seen["PushedFilters"][0] and "customer_id" not in seen["ReadSchema"][0]
+    assert "day" in seen["PartitionFilters"][0] and "GreaterThan(paid" in seen["PushedFilters"][0] and "account" not in seen["ReadSchema"][0]
     with pytest.raises(E.NondeterministicPlan):
-        plans.require_deterministic(sales(spark, 10).dropDuplicates(["customer_id"]))
-    plans.require_deterministic(windows.latest_per_key(sales(spark, 10), ["customer_id"], [F.col("order_id")]))
+        plans.require_deterministic(generate(spark, PAYMENTS, 10).dropDuplicates(["account"]))
+    plans.require_deterministic(windows.latest_per_key(generate(spark, PAYMENTS, 10), ["account"], [F.col("payment")]))
     from millrace.queries.relational import upper_by_batch, upper_by_row
     text = spark.createDataFrame([("a",)], "s string")
     assert "BatchEvalPython" in plans.executed_plan(text.select(upper_by_row("s"))) and "ArrowEvalPython" in plans.executed_plan(text.select(upper_by_batch("s")))

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import errors as E
-from millrace.operators import history, incremental, medallion
-from millrace.sources import read_csv, read_inferred
+from millrace.operators import history, incremental
+from millrace.plans.lake import ORDERS, Lake
+from millrace.sources import read_inferred
 from millrace.table import VersionedTable
 
 
@@ -163,29 +164,28 @@ def test_watermark_overlap_catches_ties_and_late_commits(spark, tmp_path):
 
 
 RAW = [
-    {"order_id": " o1 ", "customer_id": "c1", "status": "Paid", "amount": "$1,000.50", "currency": "usd", "order_ts": "2026-01-01T10:00:00Z", "updated_at": "2026-01-01T10:00:00Z"},
-    {"order_id": "O2", "customer_id": "C2", "status": "canceled", "amount": "10", "currency": "EUR", "order_ts": "2026-01-01 11:00:00", "updated_at": "2026-01-01 11:00:00"},
-    {"order_id": "O3", "customer_id": "C9", "status": "shipped", "amount": "20", "currency": "EUR", "order_ts": "01/02/2026 09:00", "updated_at": "1767348000000"},
-    {"order_id": "O4", "customer_id": "C1", "status": "paid", "amount": "abc", "currency": "USD", "order_ts": "2026-01-01 11:00:00", "updated_at": "2026-01-01 11:00:00"},
-    {"order_id": "O5", "customer_id": None, "status": "paid", "amount": "5", "currency": "USD", "order_ts": "never", "updated_at": "2026-01-01 11:00:00"},
+    {"o_orderkey": " 1 ", "o_custkey": "7", "o_orderstatus": "Open", "o_totalprice": "$1,000.50", "o_orderdate": "2024-01-01", "changed": "1"},
+    {"o_orderkey": "2", "o_custkey": "8", "o_orderstatus": "f", "o_totalprice": "10", "o_orderdate": "31.01.2024", "changed": "1"},
+    {"o_orderkey": "3", "o_custkey": "9", "o_orderstatus": "pending", "o_totalprice": "20", "o_orderdate": "2024-01-02", "changed": "5"},
+    {"o_orderkey": "4", "o_custkey": "7", "o_orderstatus": "O", "o_totalprice": "abc", "o_orderdate": "2024-01-02", "changed": "1"},
+    {"o_orderkey": "5", "o_custkey": None, "o_orderstatus": "lost", "o_totalprice": "5", "o_orderdate": "never", "changed": "1"},
 ]
 
 
-def test_orders_pipeline_runs_twice_and_replays(spark, tmp_path):
-    a, b, c = tmp_path / "a.json", tmp_path / "b.json", tmp_path / "customers.csv"
-    a.write_text("\n".join(map(json.dumps, RAW)) + '\n{"order_id": "O6", "cust\n')
-    b.write_text(json.dumps({**RAW[0], "status": "shipped", "updated_at": "2026-01-03T00:00:00Z"}) + "\n" + json.dumps({**RAW[2], "status": "paid", "updated_at": "2025-01-01 00:00:00"}) + "\n")
-    c.write_text("customer_id,name,region,segment,updated_at\nC1,Ann,EMEA,SMB,2026-01-01\nc2,Bob,,Ent,2026-01-01\nC2,Bob,EMEA,Mid,2026-02-01\n")
-    p = medallion.OrdersPipeline(spark, str(tmp_path / "lake"))
-    assert p.run_batch([str(a)]) == {"files": ["a.json"], "valid": 3, "quarantined": 3}
-    assert p.run_batch([str(a), str(b)])["files"] == ["b.json"]
-    assert p.run_batch([str(a), str(b)]) == {"files": [], "valid": 0, "quarantined": 0}
-    assert p.bronze.read().count() == 8 and p.bronze.read().where("_corrupt_record IS NOT NULL").count() == 1
-    assert rows(p.silver.read(), "order_id", "status", "amount") == [("O1", "shipped", Decimal("1000.50")), ("O2", "cancelled", Decimal("10.00")), ("O3", "shipped", Decimal("20.00"))]
-    assert p.quarantine.read().count() == 3
-    gold = p.gold(read_csv(spark, str(c), medallion.CUSTOMERS), medallion.fx_rates(spark))
-    assert rows(gold["fct_daily_revenue"], "region", "revenue_usd") == [("EMEA", Decimal("1000.50")), ("Unknown", Decimal("22.00"))]
-    assert rows(gold["top_customers"], "customer_id", "rank") == [("C1", 1), ("C9", 1)]
+def test_a_lake_loads_files_once_and_keeps_the_newest_valid_rows(spark, tmp_path):
+    a, b = tmp_path / "a.json", tmp_path / "b.json"
+    a.write_text("\n".join(map(json.dumps, RAW)) + '\n{"o_orderkey": "6", "o_cust\n')
+    b.write_text(json.dumps({**RAW[0], "o_orderstatus": "finished", "changed": "2"}) + "\n" + json.dumps({**RAW[1], "o_totalprice": "-1", "changed": "2"}) + "\n" + json.dumps({**RAW[2], "o_orderstatus": "O", "changed": "4"}) + "\n")
+    lake = Lake(spark, str(tmp_path / "lake"), ORDERS)
+    one = lake.load([str(a)])
+    assert (one.files, one.valid, one.refused) == (["a.json"], 3, 3)
+    assert lake.load([str(a), str(b)]).files == ["b.json"]
+    again = Lake(spark, str(tmp_path / "lake"), ORDERS).load([str(a), str(b)])
+    assert (again.files, again.valid, again.refused) == ([], 0, 0)
+    assert lake.landed.read().count() == 9 and lake.landed.read().where("_corrupt_record IS NOT NULL").count() == 1
+    assert rows(lake.current.read(), "o_orderkey", "o_orderstatus", "o_totalprice") == [(1, "F", Decimal("1000.50")), (2, "F", Decimal("10.00")), (3, "P", Decimal("20.00"))]
+    refused = {r.o_orderkey: r for r in lake.refused.read().collect()}
+    assert refused[5].dq_failures == ["has_customer", "state_is_known", "dated"] and refused[5].raw_o_orderdate == "never" and refused[4].dq_failures == refused[2].dq_failures == ["worth_something"]
 
 
 def test_inference_takes_one_odd_value_for_text(spark, tmp_path):
