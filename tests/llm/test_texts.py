@@ -454,6 +454,31 @@ def test_held_out_accuracy_exact_search_and_odd_texts(spark):
     assert np.abs(cosine - full).max() <= 1e-6
 
 
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """Vectors, neighbours, votes and calibration; the block-max search with small blocks."""
+    rows = toxic_corpus(4, 260)
+    rows = [(i, t if i % 9 else " ".join(t.split()[:12]), y) for i, t, y in rows] + [(1000, "", 1), (1001, "fnord", 1)]
+    df = docs(spark, [(i, t) for i, t, _ in rows] + ODD)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    got = {r.id: r.score for r in toxicity.score(df, toxicity.fit(df, labels.where("doc_id % 4 <> 0"), block=8)).collect()}
+    own = {}
+    for i, t, y in rows:
+        if i % 4:
+            own.setdefault(t, (i, t, y))
+    ref = brute.Toxicity(list(own.values()))
+    far = {i: (got[i], ref.score(t)) for i, t, _ in [*rows, *((i, t, 0) for i, t in ODD)] if abs(got[i] - ref.score(t)) > 1e-6}
+    assert not far, far
+
+
+def test_an_id_labelled_both_ways_counts_as_one(spark):
+    rows = toxic_corpus(6, 200)
+    df = docs(spark, [(i, t) for i, t, _ in rows])
+    once = [(i, y) for i, _, y in rows]
+    both = [x for i, y in once for x in ((i, y), (i, 0))]
+    score = lambda labels: {r.id: r.score for r in toxicity.score(df, toxicity.fit(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"))).collect()}
+    assert score(both) == score(once)
+
+
 def test_every_word_of_the_examples_counts(spark):
     rng = random.Random(5)
     plain = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
