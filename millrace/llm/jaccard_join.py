@@ -55,8 +55,8 @@ from ._kernel import U64
 WIDTH, THRESHOLD, TREES, MAX_DEPTH, RECALL = 5, 0.8, 16, 8, 0.9995
 #: Members and shingles of a block; a unit of work holds two blocks.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
-#: Bits of a signature that the shortest prefix takes; the longer ones share the rest.  Sets of SMALL shingles and more may have a partner just at the threshold.
-PREFIX_BITS, SMALL = 48, 64
+#: Bits of a signature that the shortest prefix takes; the longer ones share the rest.  Sets of SMALL shingles and more may have a partner just at the threshold.  A file has about SHARD_IDS ids at most.
+PREFIX_BITS, SMALL, SHARD_IDS = 48, 64, 4_000_000
 
 
 def least_similarity(size: int, threshold: float = THRESHOLD) -> float | None:
@@ -141,17 +141,47 @@ def _digests(shingles: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(shingles[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _shingle_sets(width: int):
-    """text -> digest and shingle set."""
+def _store_ids(folder: str):
+    """The ids of a shard -> its file."""
 
+    def run(table: pa.Table) -> pa.Table:
+        K.write_arrays(folder, f"ids-{table.column('shard')[0].as_py()}", [np.unique(table.column("id").to_numpy())])
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    return run
+
+
+def _shard_ids(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, sh, bounds in _sets(batch.column(0), width):
+            ids = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(K.top(K.mix(ids.view(U64)), bits), pa.int32()), batch.column(0)], ["shard", "id"])
+
+    return run
+
+
+def _shingle_sets(width: int, folder: str, bits: int):
+    """id, text -> digest and shingle set, of the ids in the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            ids = batch.column(0).to_numpy()
+            shard = K.top(K.mix(ids.view(U64)), bits)
+            wanted = np.zeros(len(ids), bool)
+            for s in np.unique(shard).tolist():
+                if (arrays := K.mapped_arrays(folder, f"ids-{s}", ("<i8",))) is not None:
+                    wanted[shard == s] = _held(arrays[0], ids[shard == s])
+            for _, _, sh, bounds in _sets(batch.filter(pa.array(wanted)).column(1), width):
                 yield pa.RecordBatch.from_arrays([pa.array(_digests(sh, bounds), pa.binary()), pa.array([sh[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["digest", "shingles"])
 
     return run
 
 
+def _held(stored: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return stored[np.minimum(np.searchsorted(stored, wanted), len(stored) - 1)] == wanted
+
+
 def meet(keys: np.ndarray, steps: np.ndarray, tree: int, forest: Forest) -> np.ndarray:
     """Which pairs share a prefix of the tree that one of the two looks at."""
     reach = forest.reach[tree][steps]
@@ -294,8 +324,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "tree", F.concat_ws("/", "node", F.concat_ws(":", F.least("block", "other"), F.greatest("block", "other"))).alias("unit"),
         (F.col("block") != F.col("other")).cast("int").alias("crossed"), (F.col("block") > F.col("other")).cast("int").alias("side"), "digest", "rep", "keys", "steps", "key")
     unit = _io.materialise(unit, "units")
+    # Their sets: a file of ids says to each task which texts it must read; texts aren't shuffled.
     wanted = unit.select(F.col("rep").alias("id")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).select("text").mapInArrow(_shingle_sets(width), "digest binary, shingles binary")
+    bits, folder = int(reps.count() // SHARD_IDS).bit_length(), _io.qualified(docs.sparkSession, _io.scratch(docs.sparkSession, "wanted"))
+    wanted.mapInArrow(_shard_ids(bits), "shard int, id bigint").groupBy("shard").applyInArrow(_store_ids(folder), "n bigint").agg(F.sum("n")).collect()
+    sets = texts.mapInArrow(_shingle_sets(width, folder, bits), "digest binary, shingles binary").dropDuplicates(["digest"])
     rows = unit.join(sets, "digest").select("tree", "unit", "crossed", "side", "digest", "rep", "keys", "steps", "shingles", "key")
     rows = rows.repartition("tree", "unit").sortWithinPartitions("tree", "unit", "key").drop("key")  # in a unit, in the order of the trie
     found = _io.materialise(rows.mapInArrow(_verify(forest), "digest binary, rep bigint, root bigint, links bigint"), "links")
