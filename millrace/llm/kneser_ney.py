@@ -25,8 +25,9 @@ Defined results
 * Contexts before the first token are filled with a begin mark, which is never predicted.
 * An unknown token has the probability that the unigram level leaves for it; an unknown context
   falls back to the next shorter one.
-* Words are told apart by 64 bits of a hash; n-grams within a shard by 48 more bits, so that an n-gram
-  that wasn't seen passes for one that was with a chance below 1 in 10^8, whatever the corpus's size.
+* Words are told apart by 64 bits of a hash.  An n-gram that wasn't seen passes for one that was with a
+  chance of about 2 in 10^9, whatever the corpus's size: of a shard's sorted hashes a directory holds
+  the leading bits, and 32 bits more are stored, which a wanted one must equal.
 * Without training texts the model gives each token probability 1 (its vocabulary is the unknown
   token alone), and the base score's N and V are 0.
 * A row whose id is null is learnt from.  Every row gives one row, also where ids repeat (a
@@ -50,10 +51,9 @@ from ._kernel import U64
 
 ORDER = 3
 #: n-grams that a shard gets on average, tokens that a task counts at once, and those that it scores at once.
-SHARD_NGRAMS, TASK_TOKENS, SCORE_TOKENS = 700_000, 1_400_000, 700_000
+SHARD_NGRAMS, TASK_TOKENS, SCORE_TOKENS = 1_400_000, 1_400_000, 700_000
 END = U64(0x5851F42D4C957F2D)
 _C = U64(0x9E3779B97F4A7C15)
-_LOW = U64((1 << 48) - 1)
 SCHEMA = "kind int, shard int, block binary, stats array<bigint>"
 #: Kinds of rows: n-grams have their order, totals of contexts dealt over several shards HOT more, statistics the order with a minus.
 HOT = 100
@@ -106,9 +106,24 @@ def _runs(ordered: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _in_order(columns: list[np.ndarray]) -> np.ndarray:
+    """Where rows stand in lexicographic order; columns are packed into as few 64-bit keys as hold them."""
+    keys: list[np.ndarray] = []
+    room = 0
+    for c in columns:
+        bits = int(c.max(initial=0)).bit_length()
+        if not keys or bits > room:
+            keys.append(c.astype(U64))
+            room = 64 - bits
+        else:
+            keys[-1] = keys[-1] << U64(bits) | c.astype(U64)
+            room -= bits
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
 def summed(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in order, with the sums of their counts."""
-    by = np.lexsort(columns[::-1])
+    by = _in_order(columns) if len(count) else np.zeros(0, np.int64)
     columns = [c[by] for c in columns]
     at = _runs(columns)
     return [c[at] for c in columns], np.add.reduceat(count[by], at) if len(at) else count
@@ -140,7 +155,7 @@ def unpack(block: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 def _deal(kind: int, shard: np.ndarray, columns: list[np.ndarray], count: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Blocks of rows by shard; within a shard they keep their order."""
-    by = np.argsort(shard, kind="stable")
+    by = np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")  # 16 bits are sorted by radix
     shard, columns, count = shard[by], [c[by] for c in columns], count[by]
     edge = np.append(_runs([shard]), len(shard))
     return [(kind, int(shard[a]), pack([c[a:b] for c in columns], count[a:b])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
@@ -161,15 +176,15 @@ def _blocks(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     return summed([np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts]))
 
 
-def _collected(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
-    """``flush`` of the tokens of about TASK_TOKENS at a time, and their bounds."""
+def _collected(batches: Iterator[pa.RecordBatch], flush, most: int = TASK_TOKENS) -> Iterator[pa.RecordBatch]:
+    """``flush`` of the tokens of about ``most`` at a time, and their numbers in each text."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
         for _, _, tokens, bounds in token_hashes(batch.column(0)):
             held.append((tokens, np.diff(bounds)))
             size += len(tokens)
-            if size >= TASK_TOKENS:
+            if size >= most:
                 yield flush(*map(np.concatenate, zip(*held, strict=True)))
                 held, size = [], 0
     if held:
@@ -178,19 +193,39 @@ def _collected(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBa
 
 # ---- the model's files -------------------------------------------------------------------------
 
-#: Sorted hashes of words with their places in the shard; by place: counts.  By place: continuation counts.
-WORD, CONTINUED = ("<u8", "<u4", "<u8"), ("<u8",)
-#: Sorted keys (32 and 16 bits) and codes; the values of codes, column by column; where a code isn't enough: places, and their values.
-CODED = ("<u4", "<u2", "|u1", "<u8", "<u4", "<u8")
+#: Sorted hashes of words with their places in the shard; by place: counts, MANY for the few that 32 bits don't hold; these.  By place: continuation counts, likewise.
+WORD, CONTINUED, MANY = ("<u8", "<u4", "<u4", "<u8"), ("<u4", "<u8"), 2**32 - 1
+#: Directory by leading bits; the next 32 bits and codes; the values of codes, column by column; where a code isn't enough: places, and their values.
+CODED = ("<u4", "<u4", "|u1", "<u8", "<u4", "<u8")
 #: Sorted hashes of contexts that are dealt over several shards, and their four values, column by column.
 HOT_CONTEXT = ("<u8", "<u8")
 
 
+def _narrow(count: np.ndarray) -> list[np.ndarray]:
+    return [np.minimum(count, MANY).astype("<u4"), count[count >= MANY].astype("<u8")]
+
+
+def _wide(narrow: np.ndarray, rest: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = narrow[at].astype(np.int64)
+    if len(rest):
+        places = np.flatnonzero(narrow == MANY)
+        many = np.flatnonzero(out == MANY)
+        out[many] = rest[np.searchsorted(places, at[many])]
+    return out
+
+
+def _key(hashes: np.ndarray) -> np.ndarray:
+    """What n-grams and contexts are sorted by: independent of what they are dealt by."""
+    return K.mix(hashes + U64(0x51ED270B27E5A3C1))
+
+
 def _coded(key: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows with 48-bit keys: sorted, their values as codes for the 255 most frequent rows of values."""
+    """Rows by 64-bit keys: sorted, their values as codes for the 255 most frequent rows of values."""
     by = np.argsort(key)
     key, values = key[by], [v[by].astype(np.int64) for v in values]
-    order = np.lexsort(values[::-1])
+    lead = max(0, len(key).bit_length() - 3)  # four to eight keys share their leading bits
+    directory = np.searchsorted(K.top(key, lead), np.arange((1 << lead) + 1))
+    order = _in_order(values) if len(key) else by
     at = _runs([v[order] for v in values])
     size = np.diff(np.append(at, len(order)))
     common = np.argsort(-size, kind="stable")[:255]
@@ -199,45 +234,44 @@ def _coded(key: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
     code = np.empty(len(key), np.uint8)
     code[order] = np.repeat(code_of_run, size)
     rest = np.flatnonzero(code == 255)
-    table = np.concatenate([v[order[at[common]]] for v in values]) if len(key) else np.zeros(0)
-    return [(key >> U64(16)).astype("<u4"), (key & U64(0xFFFF)).astype("<u2"), code, table.astype("<u8"), rest.astype("<u4"), np.concatenate([v[rest] for v in values]).astype("<u8")]
+    table = np.concatenate([v[order[at[common]]] for v in values])
+    return [directory.astype("<u4"), (key >> U64(32 - lead)).astype("<u4"), code, table.astype("<u8"), rest.astype("<u4"), np.concatenate([v[rest] for v in values]).astype("<u8")]
 
 
 def _found(arrays: list[np.ndarray], key: np.ndarray, width: int) -> list[np.ndarray]:
-    """Values of keys, 0 where there are none.  ``key``: sorted."""
-    high, low, code, table, rest, more = arrays
+    """Values of keys, 0 where there are none."""
+    directory, stored, code, table, rest, more = arrays
     out = [np.zeros(len(key), np.int64) for _ in range(width)]
-    want_high, want_low = (key >> U64(16)).astype(np.uint32), (key & U64(0xFFFF)).astype(np.uint16)
-    at = np.searchsorted(high, want_high)
-    open_ = np.flatnonzero(at < len(high))
-    while len(open_):  # keys that share 32 bits follow each other
-        here = at[open_]
-        same = high[here] == want_high[open_]
-        hit = open_[same & (low[here] == want_low[open_])]
+    lead = (len(directory) - 1).bit_length() - 1
+    first, want = K.top(key, lead), (key >> U64(32 - lead)).astype(np.uint32)
+    at, end = directory[first].astype(np.int64), directory[first + 1].astype(np.int64)
+    open_ = np.flatnonzero(at < end)
+    while len(open_):
+        here = stored[at[open_]] == want[open_]
+        hit = open_[here]
         if len(hit):
             c = code[at[hit]].astype(np.int64)
-            plain = np.flatnonzero(c < 255)
-            spare = np.flatnonzero(c == 255)
+            plain, spare = np.flatnonzero(c < 255), np.flatnonzero(c == 255)
             place = np.searchsorted(rest, at[hit[spare]])
             for k in range(width):
                 out[k][hit[plain]] = table[c[plain] + k * (len(table) // width)]
                 out[k][hit[spare]] = more[place + k * len(rest)]
-        open_ = open_[same & (low[here] != want_low[open_])]
+        open_ = open_[~here]
         at[open_] += 1
-        open_ = open_[at[open_] < len(high)]
+        open_ = open_[at[open_] < end[open_]]
     return out
 
 
 # ---- counting ----------------------------------------------------------------------------------
 
 def _count_words(bits: int):
-    """Texts -> the distinct words of the task, with counts."""
+    """Texts -> the distinct words of some tokens, with counts."""
 
     def flush(tokens: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         words, n = np.unique(tokens, return_counts=True)
         return _rows(_deal(1, K.top(words, bits), [words], n))
 
-    return lambda batches: _collected(batches, flush)
+    return lambda batches: _collected(batches, flush, 4 * TASK_TOKENS)
 
 
 def _store_words(folder: str):
@@ -250,7 +284,7 @@ def _store_words(folder: str):
         by = np.argsort(-power, kind="stable")
         place = np.empty(len(words), np.int64)
         place[by] = np.arange(len(words))
-        K.write_arrays(folder, f"words-{shard}", [words, place.astype("<u4"), count[by].astype("<u8")])
+        K.write_arrays(folder, f"words-{shard}", [words, place.astype("<u4"), *_narrow(count[by])])
         return _table([(-1, shard, b"")], [[int(count.sum()), *np.bincount(BUCKETS - 1 - power, minlength=BUCKETS).tolist()]])
 
     return run
@@ -292,7 +326,7 @@ def _reduce(model: Broadcast, order: int):
         context = [c[first] for c in columns[:-1]]
         values = [np.add.reduceat(x.astype(np.int64), first) for x in (count, count == 1, count == 2, count >= 3)]
         alone = pieces[first] == 1
-        K.write_arrays(lm.folder, f"{order}-{shard}", [*_coded(fold(columns) & _LOW, [count]), *_coded(fold([c[alone] for c in context]) & _LOW, [v[alone] for v in values])])
+        K.write_arrays(lm.folder, f"{order}-{shard}", [*_coded(_key(fold(columns)), [count]), *_coded(_key(fold([c[alone] for c in context])), [v[alone] for v in values])])
         hot = ~alone
         parts = []
         if hot.any():  # one row for each of the four values
@@ -349,15 +383,15 @@ class Model:
             arrays = K.mapped_arrays(self.folder, f"words-{s}", WORD)
             if arrays is None:
                 continue
-            stored, places, counts = arrays
+            stored, places, counts, large = arrays
             at = np.minimum(np.searchsorted(stored, keys[a:b]), len(stored) - 1)
             here = np.flatnonzero(stored[at] == keys[a:b])
             local = places[at[here]].astype(np.int64)
             power = np.searchsorted(place[:, s], local, side="right") - 1
             ids[a + here] = start[power, s] + local - place[power, s]
-            count[a + here] = counts[local]
+            count[a + here] = _wide(counts, large, local)
             if self.continuations:
-                cont[a + here] = K.mapped_arrays(self.folder, f"continued-{s}", CONTINUED)[0][local]
+                cont[a + here] = _wide(*K.mapped_arrays(self.folder, f"continued-{s}", CONTINUED), local)
         return ids[back], count[back], cont[back]
 
     def home(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,7 +427,7 @@ class Model:
         (ids,), n = _blocks(table, 1)
         out = np.zeros(int(self.sizes[:, shard].sum()), np.int64)
         out[self.home(ids)[1]] = n
-        K.write_arrays(self.folder, f"continued-{shard}", [out.astype("<u8")])
+        K.write_arrays(self.folder, f"continued-{shard}", _narrow(out))
         return _table([(-1, shard, b"")], [[int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n >= 3).sum()), *_counts_of_counts(n)]])
 
     def find(self, columns: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
@@ -403,8 +437,8 @@ class Model:
         columns = [c[some] for c in columns]
         shard, pieces = self.shard(columns)
         whole, context = fold(columns), fold(columns[:-1])
-        for key, first, width, wanted in ((whole & _LOW, 0, 1, np.arange(len(some))), (context & _LOW, 1, 4, np.flatnonzero(pieces == 1))):
-            by = wanted[np.lexsort((key[wanted], shard[wanted]))]
+        for key, first, width, wanted in ((_key(whole), 0, 1, np.arange(len(some))), (_key(context), 1, 4, np.flatnonzero(pieces == 1))):
+            by = wanted[_in_order([shard[wanted], key[wanted] >> U64(self.bits + 1)])]
             at = _runs([shard[by], key[by]])  # each is looked for once
             one = by[at]
             found = [np.zeros(len(one), np.int64) for _ in range(width)]
