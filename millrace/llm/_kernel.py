@@ -145,6 +145,35 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tu
     return mix(out), bounds
 
 
+# ---- memory ------------------------------------------------------------------------------------
+
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def giving_back(run, *caches):
+    """``run`` over a partition's batches; at its end ``caches`` are cleared and free memory goes back to the system, as the worker lives on."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.cache_clear()
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return wrapped
+
+
 # ---- files of sorted arrays, which workers memory-map ------------------------------------------
 
 #: What a worker keeps of files that can't be mapped.

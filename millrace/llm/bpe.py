@@ -4,8 +4,8 @@
    before.  With the pattern ``CUTTABLE`` a segment ends before a blank that no other white space
    touches: there the pattern always ends one piece and begins the next.  With other patterns the
    segments are the pattern's pieces.
-2. The corpus's distinct segments are dealt into shards by their hash.  A shard lays out its distinct
-   pieces as one sequence of byte tokens with links to the neighbours.  An inverted index maps each
+2. The corpus's distinct segments are dealt into shards by their hash.  A slice of a shard lays out its
+   distinct pieces as one sequence of byte tokens with links to the neighbours.  An inverted index maps each
    possible merge (its rank) to the positions of its left part.  Merges are replayed in rank order from
    a heap; a merge touches only the neighbours of its positions, whose new pairs enter the index.  As
    pieces never touch, one replay encodes all of them as if each were encoded alone.  The ids are
@@ -14,8 +14,8 @@
    at once; a text whose segments don't come back byte for byte (two segments with one hash, or a text
    that read otherwise the second time) is encoded by itself.
 
-Shards follow the number of segments, so that a replay stays small; workers memory-map them, or keep
-up to ``CACHE_BYTES`` of them where the folder is in a store that can't be mapped.
+A shard's segments come sorted and are replayed in slices, so that it may be of any size; workers
+memory-map shards, or keep up to ``_kernel.CACHE_BYTES`` of them where the folder can't be mapped.
 
 Defined results
 ---------------
@@ -45,8 +45,8 @@ from . import _io
 from . import _kernel as K
 from ._kernel import U64
 
-#: Segments that a shard gets on average, at most; those that a task remembers; bytes of a slice that is replayed at once.
-SHARD_SEGMENTS, SEEN, REPLAY_BYTES = 250_000, 2_000_000, 2_000_000
+#: Bytes of text for each shard; shards at most; segments that a task remembers; those that it encodes, and bytes that it replays, at once.
+SHARD_BYTES, MOST_SHARDS, SEEN, ENCODED, REPLAY_BYTES = 16 << 20, 4096, 2_000_000, 200_000, 2_000_000
 #: Fixed value: the pattern whose pieces never cross a lone blank.
 CUTTABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STORED = ("<u8", "<u8", "<u4")
@@ -84,7 +84,7 @@ class Replay:
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each piece."""
-        if self.met > 400_000:
+        if self.met > 200_000:
             self.right, self.left, self.met = {}, {}, 0
         size = np.array([len(p) for p in pieces], np.int64)
         data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -268,8 +268,8 @@ def _locate(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def _distinct(path: str, pattern: str):
-    """Texts -> segments that the task hasn't passed on yet, and their hashes."""
+def _distinct(path: str, pattern: str, bits: int):
+    """Texts -> segments that the task hasn't passed on yet, with shards and hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, seen = _codec(path, pattern), np.zeros(0, U64)
@@ -285,21 +285,52 @@ def _distinct(path: str, pattern: str):
                 size = ends[at] - starts[at]
                 flat = np.ascontiguousarray(data[K.spread(starts[at], size)])
                 where = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(where), pa.py_buffer(flat)])], ["hash", "segment"])
+                segments = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(where), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([pa.array(K.top(hashes, bits), pa.int32()), pa.array(hashes.view(np.int64)), segments], ["shard", "hash", "segment"])
 
     return run
 
 
 def _store(path: str, pattern: str, folder: str):
-    """The segments of a shard -> its file: sorted hashes, ends of their ids, ids."""
+    """Shards, hashes and segments, in order -> the file of each shard: sorted hashes, ends of their ids, ids."""
 
-    def run(table: pa.Table) -> pa.Table:
-        hashes, at = np.unique(table.column("hash").to_numpy().view(U64), return_index=True)
-        ids = _codec(path, pattern).encode_segments(table.column("segment").combine_chunks().take(pa.array(at)).to_pylist())
-        ends = np.cumsum([len(x) // 4 for x in ids])
-        shard = table.column("shard")[0].as_py()
-        K.write_arrays(folder, f"segments-{shard}", [hashes, ends.astype("<u8"), np.frombuffer(b"".join(ids), "<u4")])
-        return pa.table({"shard": pa.array([shard], pa.int32()), "segments": pa.array([len(hashes)], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, shard = _codec(path, pattern), -1
+        waiting: list[tuple[np.ndarray, pa.Array]] = []  # hashes and segments not encoded yet
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hashes, numbers of ids, ids
+
+        def encode() -> None:
+            if not waiting:
+                return
+            hashes, at = np.unique(np.concatenate([h for h, _ in waiting]), return_index=True)
+            if done and len(hashes) and hashes[0] == done[-1][0][-1]:
+                hashes, at = hashes[1:], at[1:]
+            ids = codec.encode_segments(pa.concat_arrays([x for _, x in waiting]).take(pa.array(at)).to_pylist())
+            if len(hashes):
+                done.append((hashes, np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4")))
+            waiting.clear()
+
+        def close() -> pa.RecordBatch:
+            encode()
+            hashes, size, ids = map(np.concatenate, zip(*done, strict=True))
+            K.write_arrays(folder, f"segments-{shard}", [hashes, np.cumsum(size).astype("<u8"), ids])
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(hashes)], pa.int64())], ["shard", "segments"])
+
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            edge = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if a == b:
+                    continue
+                if shards[a] != shard and (waiting or done):
+                    yield close()
+                shard = int(shards[a])
+                waiting.append((batch.column(1).slice(a, b - a).to_numpy().view(U64), batch.column(2).slice(a, b - a)))
+            if sum(len(h) for h, _ in waiting) >= ENCODED:
+                encode()
+        if waiting or done:
+            yield close()
 
     return run
 
@@ -359,13 +390,14 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
     spark = docs.sparkSession
     _io.bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = _io.materialise(docs.select("text").mapInArrow(_distinct(path, pattern), "hash bigint, segment binary"), "segments")
-    bits = int(max(16, found.count() // SHARD_SEGMENTS) - 1).bit_length()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(min(MOST_SHARDS, max(16, size // SHARD_BYTES)) - 1).bit_length()
     folder = _io.qualified(spark, _io.scratch(spark, "bpe"))
-    dealt = found.withColumn("shard", F.shiftrightunsigned("hash", 64 - bits).cast("int"))
-    dealt.groupBy("shard").applyInArrow(_store(path, pattern, folder), "shard int, segments bigint").agg(F.sum("segments")).collect()
+    found = docs.select("text").mapInArrow(K.giving_back(_distinct(path, pattern, bits)), "shard int, hash bigint, segment binary")
+    dealt = found.repartition(1 << bits, "shard").sortWithinPartitions("shard", "hash")
+    dealt.mapInArrow(K.giving_back(_store(path, pattern, folder), _codec), "shard int, segments bigint").agg(F.sum("segments")).collect()
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
-    return docs.mapInArrow(_run(path, pattern, folder, bits, digests), schema)
+    return docs.mapInArrow(K.giving_back(_run(path, pattern, folder, bits, digests)), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
