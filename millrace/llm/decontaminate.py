@@ -258,7 +258,7 @@ def build(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", ite
     folder = _io.qualified(spark, _io.scratch(spark, "benchmark"))
     run = lambda df, by, store: df.groupBy(by).applyInArrow(store(folder), "n bigint").agg(F.sum("n")).collect()
     run(items.select("text").mapInArrow(_vocabulary(bits), "shard int, word bigint").distinct(), "shard", _store_words)
-    run(texts.mapInArrow(_count(folder, bits), "shard int, word bigint, n bigint").groupBy("shard", "word").agg(F.sum("n").alias("n")), "shard", _store_counts)
+    run(texts.mapInArrow(K.giving_back(_count(folder, bits)), "shard int, word bigint, n bigint").groupBy("shard", "word").agg(F.sum("n").alias("n")), "shard", _store_counts)
     windows = _io.materialise(items.mapInArrow(_windows(folder, bits, width), "token_shard int, token bigint, place int, size int, shard int, whole bigint, words binary, item string"), "windows")
     run(windows.select("token_shard", "token", "place", "size").distinct(), "token_shard", _store_prefixes)
     run(windows.select("shard", "whole", "words", "item").distinct(), "shard", _store_windows)
@@ -310,13 +310,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """id, n_words, n_hit, n_items, items (sorted), contaminated: one row for each document."""
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     index = build(out.select("text"), benchmark, item_col, item_text_col, width)
-    return out.mapInArrow(_mark(index), f"id {out.schema['id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, contaminated boolean")
+    return out.mapInArrow(K.giving_back(_mark(index)), f"id {out.schema['id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, contaminated boolean")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The clean rows of ``docs`` with all their columns; each row by its own text, without a shuffle."""
     index = build(docs.select(F.col(text_col).cast("string").alias("text")), benchmark, **options)
-    return docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(K.giving_back(_clean(index, docs.columns.index(text_col))), docs.schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

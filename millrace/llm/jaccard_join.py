@@ -299,7 +299,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     forest = Forest(threshold, trees, max_depth, recall)
     _io.bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signs = _io.materialise(texts.mapInArrow(_sign(width, forest), "id bigint, digest binary, size bigint, steps int, keys array<bigint>"), "signatures")
+    signs = _io.materialise(texts.mapInArrow(K.giving_back(_sign(width, forest)), "id bigint, digest binary, size bigint, steps int, keys array<bigint>"), "signatures")
     known = signs.where("size > 0 AND id IS NOT NULL")
     reps = _io.materialise(known.groupBy("digest").agg(F.min(F.struct("id", "size", "steps", "keys")).alias("r")).select("digest", "r.*"), "representatives")
 
@@ -328,10 +328,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = unit.select(F.col("rep").alias("id")).distinct()
     bits, folder = int(reps.count() // SHARD_IDS).bit_length(), _io.qualified(docs.sparkSession, _io.scratch(docs.sparkSession, "wanted"))
     wanted.mapInArrow(_shard_ids(bits), "shard int, id bigint").groupBy("shard").applyInArrow(_store_ids(folder), "n bigint").agg(F.sum("n")).collect()
-    sets = texts.mapInArrow(_shingle_sets(width, folder, bits), "digest binary, shingles binary").dropDuplicates(["digest"])
+    sets = texts.mapInArrow(K.giving_back(_shingle_sets(width, folder, bits)), "digest binary, shingles binary").dropDuplicates(["digest"])
     rows = unit.join(sets, "digest").select("tree", "unit", "crossed", "side", "digest", "rep", "keys", "steps", "shingles", "key")
     rows = rows.repartition("tree", "unit").sortWithinPartitions("tree", "unit", "key").drop("key")  # in a unit, in the order of the trie
-    found = _io.materialise(rows.mapInArrow(_verify(forest), "digest binary, rep bigint, root bigint, links bigint"), "links")
+    found = _io.materialise(rows.mapInArrow(K.giving_back(_verify(forest)), "digest binary, rep bigint, root bigint, links bigint"), "links")
 
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))

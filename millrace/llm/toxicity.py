@@ -33,6 +33,7 @@ Defined results
   (0.0 where nothing is labelled).
 * Labels other than 0 and 1, null ids and labelled ids without a text are left out of fitting; an
   id that is labelled 0 and 1 counts as 1.  Of rows with one id and different texts each is an example.
+  To meet the labels ids are cast to 64-bit integers; others are an error.
 * Every row gives one row, also where ids repeat; other columns do not matter.
 """
 
@@ -411,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(spark.createDataFrame([(r.id, r.label) for r in picked], "id bigint, label int"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(sample, "id")
     texts = texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min_by(F.struct("id", "text", "label"), "id").alias("r")).select("r.*")
-    counted = _io.materialise(texts.select("id", "text", "label").mapInArrow(_terms, "id bigint, label int, term array<string>, n array<int>"), "examples")
+    counted = _io.materialise(texts.select("id", "text", "label").mapInArrow(K.giving_back(_terms), "id bigint, label int, term array<string>, n array<int>"), "examples")
     held = counted.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("n1")).first()
     ranked = _io.materialise(numbered(counted, held["n"], held["n1"]), "terms")
     heavy = ranked.where("goes").count()
@@ -420,7 +421,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     each = each.select("id", "label", F.col("e.feature").alias("feature"), F.col("e.n").alias("n"))
     folder = _io.qualified(spark, _io.scratch(spark, "toxicity-index"))
     ranked.select("feature", "term").repartition(1).mapInArrow(_store_terms(folder), "terms bigint").collect()
-    if not each.repartition(1).mapInArrow(_build(heavy, k, block, share, folder), "examples bigint").collect():
+    if not each.repartition(1).mapInArrow(K.giving_back(_build(heavy, k, block, share, folder)), "examples bigint").collect():
         build(pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int32())}), 0, k, block, share).save(folder)
     return Fitted(folder)
 
@@ -487,7 +488,7 @@ def score(docs: DataFrame, index: Fitted, id_col: str = "doc_id", text_col: str
     """id, score, evidence: the three nearest points as example:cosine:label share, then the text's heaviest terms."""
     _io.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_score(index), f"id {docs.schema['id'].dataType.simpleString()}, score double, evidence string")
+    return docs.mapInArrow(K.giving_back(_score(index), _loaded), f"id {docs.schema['id'].dataType.simpleString()}, score double, evidence string")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -508,4 +509,4 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts aren't predicted toxic, with all their columns; each row by its own text, without a shuffle."""
     index = production_index(docs, labels)
-    return docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(K.giving_back(_clean(index, docs.columns.index(text_col)), _loaded), docs.schema)
