@@ -65,6 +65,12 @@ def test_salted_join_keeps_the_result(spark):
     assert rows(joins.salted_join(big, small, ["k"]).select("k", "id", "v")) == rows(big.join(small, "k").select("k", "id", "v"))
 
 
+def test_salted_join_does_not_broadcast_the_repeated_side(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS k", "id % 7 AS v").write.parquet(str(tmp_path / "small"))
+    joined = joins.salted_join(spark.range(5000).selectExpr("id % 1000 AS k", "id"), spark.read.parquet(str(tmp_path / "small")), ["k"])
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 5000
+
+
 def test_null_safe_join(spark):
     t = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
     s = spark.createDataFrame([(None, 5)], "k string, w int")
