@@ -60,7 +60,8 @@ def _(t):
 def _(t):
     k = F.col("c_custkey")
     s = k.cast("string")
-    raw = F.when(k % 5 == 0, F.concat(F.lit("c-"), s)).when(k % 5 == 1, F.concat(F.lit(" "), s, F.lit(" "))).when(k % 5 == 2, F.concat(F.lit("C"), F.lpad(s, 5, "0"))).when(k % 5 == 3, F.concat(F.lit("X"), s)).otherwise(F.lit("n/a"))
+    padded = F.lpad(s, F.greatest(F.lit(5), F.length(s)), "0")  # lpad alone cuts longer keys, to the id of another customer
+    raw = F.when(k % 5 == 0, F.concat(F.lit("c-"), s)).when(k % 5 == 1, F.concat(F.lit(" "), s, F.lit(" "))).when(k % 5 == 2, F.concat(F.lit("C"), padded)).when(k % 5 == 3, F.concat(F.lit("X"), s)).otherwise(F.lit("n/a"))
     return t.customer.select("c_custkey", normalize_customer_id(raw).alias("id"))
 
 

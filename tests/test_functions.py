@@ -31,6 +31,14 @@ def test_customer_ids_and_uuids(spark):
     assert one(spark, [u.upper(), "{" + u.replace("-", "") + "}", u[:-1]], "string", fn.canonical_uuid) == [u, u, None]
 
 
+def test_long_customer_keys_have_no_id(spark, tmp_path):
+    from millrace import catalog
+
+    spark.createDataFrame([(k,) for k in (12, 99_997, 100_000, 100_001, 100_002, 1_234_567)], "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.c_custkey: r.id for r in catalog.QUERIES["str06_normalize_customer_id"](spark, str(tmp_path)).collect()}
+    assert got == {12: "C00012", 99_997: "C99997", 100_000: None, 100_001: None, 100_002: None, 1_234_567: None}
+
+
 def test_would_round(spark):
     assert one(spark, ["1.12", "1.125"], "string", fn.would_round) == [False, True]
 
