@@ -12,18 +12,23 @@ from ..table import VersionedTable
 
 
 def new_files(table: VersionedTable, files: Sequence[str], name_column: str = "_source_file_name") -> list[str]:
-    """Files whose names the table's ledger column lacks (SNK-02).  Only matching names come to the driver."""
+    """Files whose names the table's ledger column lacks, and its state, which has the files without rows (SNK-02).
+
+    Only matching names come to the driver.
+    """
     names = [os.path.basename(f) for f in files]
     known = {r[0] for r in table.read().where(F.col(name_column).isin(*names)).select(name_column).distinct().collect()} if names else set()
+    known |= set(table.state().get("rowless", []))
     return [f for f, n in zip(files, names, strict=True) if n not in known]
 
 
 def ingest_files(table: VersionedTable, files: Sequence[str], read: Callable[[SparkSession, list[str]], DataFrame]) -> list[str]:
-    """Appends the files not loaded before; returns their names, and commits nothing if there are none."""
+    """Appends the files not loaded before, also those without rows; returns their names, and commits nothing if there are none."""
     fresh = new_files(table, files)
+    names = [os.path.basename(f) for f in fresh]
     if fresh:
-        table.append(read(table.spark, fresh), operation="INGEST")
-    return [os.path.basename(f) for f in fresh]
+        table.append(read(table.spark, fresh), sources=("_source_file_name", names), operation="INGEST")
+    return names
 
 
 def since_watermark(source: DataFrame, column: str, watermark, lookback_seconds: int = 0) -> DataFrame:

@@ -287,15 +287,24 @@ class VersionedTable:
             return None
         return {"txn": state["txn"] | {txn[0]: txn[1]}}
 
-    def append(self, df: DataFrame, *, merge_schema: bool = False, txn: tuple[str, int] | None = None, operation: str = "APPEND") -> int | None:
-        """Adds rows (SNK-01).  With a token (app, number) that was seen before, does nothing and returns None."""
+    def append(self, df: DataFrame, *, merge_schema: bool = False, txn: tuple[str, int] | None = None, sources: tuple[str, Sequence[str]] | None = None, operation: str = "APPEND") -> int | None:
+        """Adds rows (SNK-01).  With a token (app, number) that was seen before, does nothing and returns None.
+
+        ``sources``: a column, and the names of which rows were read; the same commit keeps those that no row holds in the state's ``rowless``.
+        """
         base = self.version()
         state = self.state(base)
         token = self._token(state, txn)
         if token is None:
             return None
         df, change = self._checked(df, state, merge_schema)
-        return self._commit(base, operation, state, [], self._write(df, state), change | token)
+        files = self._write(df, state)
+        if sources:
+            column, names = sources
+            held = {r[0] for r in self._frame(state | change, files).where(F.col(column).isin(*names)).select(column).distinct().collect()}
+            if rowless := [n for n in names if n not in held]:
+                change |= {"rowless": [*state.get("rowless", []), *rowless]}
+        return self._commit(base, operation, state, [], files, change | token)
 
     def overwrite(self, df: DataFrame, *, merge_schema: bool = False, operation: str = "OVERWRITE") -> int:
         """Replaces all rows; the frame may read the table itself, for its files stay (TBL-04)."""

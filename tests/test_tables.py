@@ -192,3 +192,14 @@ def test_inference_takes_one_odd_value_for_text(spark, tmp_path):
     p = tmp_path / "x.json"
     p.write_text('{"amount": 1}\n{"amount": "N/A"}\n')
     assert read_inferred(spark, str(p)).schema["amount"].dataType.simpleString() == "string"
+
+
+def test_files_without_rows_are_loaded_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text("")
+    (tmp_path / "b.json").write_text('{"o_orderkey": "1", "o_custkey": "1", "o_orderstatus": "O", "o_totalprice": "5", "o_orderdate": "2020-01-01", "changed": "1"}\n')
+    (tmp_path / "c.json").write_text("\n\n")
+    a, b, c = (str(tmp_path / f"{x}.json") for x in "abc")
+    lake = Lake(spark, str(tmp_path / "lake"), ORDERS)
+    runs = [lake.load(given) for given in ([a, b], [a, b], [a, b, c], [a, b, c])]
+    assert [(r.files, r.valid, r.refused) for r in runs] == [(["a.json", "b.json"], 1, 0), ([], 0, 0), (["c.json"], 0, 0), ([], 0, 0)]
+    assert lake.landed.read().count() == lake.current.read().count() == 1 and lake.landed.state()["rowless"] == ["a.json", "c.json"]
