@@ -46,7 +46,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,8 @@ MAX_EXAMPLES, K_NEAREST, BLOCK = 4_000, 15, 64
 LEAST_SEEN, LEAST_CHI, COMMON = 3, 10.83, 0.02
 #: Terms in more than this share of the points are columns.  Single precision may be off by SLACK.  Posting lists are read for more than MANY points.
 FREQUENT, SLACK, MANY = 0.05, 1e-5, 64
+#: Characters of texts whose words are looked up in one go.
+TOGETHER = 500_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -85,20 +87,35 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def counts(text: str | None, vocabulary: dict[str, int]) -> list[tuple[int, int]]:
     """(term, occurrences) of a text, in order; term 0 is all words without a term of their own."""
-    return sorted(_found(text, vocabulary).items())
+    _, feature, n = found([text], vocabulary)
+    return list(zip(feature.tolist(), n.tolist(), strict=True))
 
 
-def _found(text: str | None, vocabulary: dict[str, int], beginning: np.ndarray | None = None) -> dict[int, int]:
-    found: dict[int, int] = {}
-    get, held = vocabulary.get, found.get
-    for w, n in Counter(_words((text or "").lower())).items():
-        own = get(w, 0)
-        start = int(beginning[own]) if own and beginning is not None else get("^" + w[:5]) if len(w) > 5 else 0
-        if start:
-            found[start] = held(start, 0) + n
-        if own or not start:
-            found[own] = held(own, 0) + n
-    return found
+def found(texts: list[str | None], vocabulary: dict[str, int], beginning: np.ndarray | None = None, together: int = TOGETHER) -> Rows:
+    """The texts' terms, in order, and their occurrences; texts are taken in groups of about ``together`` characters.
+
+    ``beginning``: of each word of the vocabulary its beginning, or 0.
+    """
+    get, parts = vocabulary.get, [(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    cuts = np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // together)) + 1
+    for lo, hi in pairwise([0, *cuts.tolist(), len(texts)]):
+        held = [Counter(_words((t or "").lower())) for t in texts[lo:hi]]
+        words = list(chain.from_iterable(held))
+        row = np.repeat(np.arange(len(held)) << 32, np.fromiter(map(len, held), np.int64, len(held)))
+        n = np.fromiter(chain.from_iterable(x.values() for x in held), np.int64, len(words))
+        own = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+        start = np.zeros(len(words), np.int64) if beginning is None else beginning[own].astype(np.int64)
+        for x in np.flatnonzero(own == 0).tolist() if beginning is not None else range(len(words)):
+            if len(words[x]) > 5:
+                start[x] = get("^" + words[x][:5], 0)
+        itself, begun = (own > 0) | (start == 0), start > 0
+        key, n = np.concatenate((row[itself] + own[itself], row[begun] + start[begun])), np.concatenate((n[itself], n[begun]))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, n = key[first], np.add.reduceat(n, first) if len(first) else n
+        parts.append((parts[-1][0][-1] + np.searchsorted(key, np.arange(1, len(held) + 1) << 32), key & 0xFFFFFFFF, n))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # where each row starts, features, weights
@@ -230,14 +247,11 @@ class Index:
         row = np.repeat(np.arange(len(start) - 1), np.diff(start))
         return start, feature, raw / np.sqrt(np.bincount(row, raw * raw, minlength=len(start) - 1))[row]
 
-    def rows(self, vectors: list[dict[int, int]]) -> Rows:
-        start = np.concatenate(([0], np.cumsum([len(v) for v in vectors], dtype=np.int64)))
-        feature, n = (np.fromiter(chain.from_iterable(x), np.int64, int(start[-1])) for x in (vectors, (v.values() for v in vectors)))
-        return self.unit(start, feature, n)
-
     def matrix(self, vectors: list[tuple]) -> np.ndarray:
         """Unit vectors of counts, as rows."""
-        start, feature, weight = self.rows([dict(v) for v in vectors])
+        start = np.concatenate(([0], np.cumsum([len(v) for v in vectors], dtype=np.int64)))
+        feature, n = (np.array([x[c] for v in vectors for x in v], np.int64) for c in (0, 1))
+        start, feature, weight = self.unit(start, feature, n)
         out = np.zeros((len(vectors), len(self.idf)))
         out[np.repeat(np.arange(len(vectors)), np.diff(start)), feature] = weight
         return out
@@ -289,8 +303,8 @@ class Index:
         space = np.zeros(len(self.idf))
 
         def exact(points: np.ndarray) -> np.ndarray:
-            to, size = _spread(self.start, points)
-            return np.bincount(np.repeat(np.arange(len(points)), size), space[self.feature[to]] * self.weight[to], minlength=len(points))
+            own = zip(self.start[points].tolist(), self.start[points + 1].tolist(), strict=True)
+            return np.fromiter((space.take(self.feature[a:b], mode="clip").dot(self.weight[a:b]) for a, b in own), np.float64, len(points))
 
         for d in range(m):
             own = slice(start[d], start[d + 1])
@@ -344,15 +358,15 @@ class Index:
         xs, ys = zip(*self.steps, strict=True)
         return np.clip(np.interp(votes, xs, ys), 0.0, 1.0)
 
-    def score(self, vectors: list[dict[int, int]]) -> list[tuple[float, str]]:
-        """Score and evidence of each vector of counts."""
+    def score(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        """Score and evidence of each text."""
         out: list[tuple[float, str]] = []
-        for lo in range(0, len(vectors), 512):
-            part = vectors[lo : lo + 512]
-            start, feature, weight = queries = self.rows(part)
+        for lo in range(0, len(texts), 512):
+            part = texts[lo : lo + 512]
+            start, feature, weight = queries = self.unit(*found(part, self.vocabulary, self.beginning))
             at, cosine = self.nearest(queries, self.k)
             score = self.calibrated(self.votes(at, cosine, self.label[at] if len(self.label) else np.zeros(at.shape)))
-            for d, v in enumerate(part):
+            for d, v in enumerate((start[1:] > start[:-1]).tolist()):
                 near = ",".join(f"{self.example[a]}:{c:.3f}:{self.label[a]:.2f}" for a, c in zip(at[d, :3].tolist(), cosine[d, :3].tolist(), strict=True) if a >= 0)
                 f, w = feature[start[d] : start[d + 1]], weight[start[d] : start[d + 1]]
                 top = ",".join(self.name(f[x]) for x in np.lexsort((f, -w))[:3].tolist())
@@ -459,7 +473,7 @@ class Scorer:
             self.known.clear()
         keys = [sha256((t or "").encode()).digest() for t in texts]
         new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.known}
-        self.known.update(zip(new, self.index.score([_found(t, self.index.vocabulary, self.index.beginning) for t in new.values()]), strict=True))
+        self.known.update(zip(new, self.index.score(list(new.values())), strict=True))
         return [self.known[k] for k in keys]
 
 

@@ -436,6 +436,28 @@ def toxic_corpus(seed=1, n=600):
     return out
 
 
+def test_terms_of_many_texts_are_those_of_each():
+    rng = random.Random(5)
+    words = ["a", "Zebra", "streets", "street", "straw", "stream", "strea", "ünïcode", "x1y", "^strea", "99"]
+    texts = [None, "", "12 34", "unseen", *(" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(60))]
+    vocabulary = {w: i for i, w in enumerate(["a", "stream", "^strea", "zebra", "strea", "^ünïco"], 1)}
+    beginning = np.array([0, *(vocabulary.get("^" + w[:5], 0) if len(w) > 5 else 0 for w in vocabulary)])
+    expected = []
+    for t in texts:
+        own = {}
+        for w, n in toxicity.terms(t).items():  # beginnings are counted on their own
+            if w in vocabulary:
+                own[vocabulary[w]] = own.get(vocabulary[w], 0) + n
+            elif w[0] != "^" and not (len(w) > 5 and "^" + w[:5] in vocabulary):
+                own[0] = own.get(0, 0) + n
+        expected.append(sorted(own.items()))
+    for given, together in ((beginning, 1), (beginning, 200), (None, 10**6)):
+        start, feature, n = toxicity.found(texts, vocabulary, given, together)
+        assert [list(zip(feature[a:b].tolist(), n[a:b].tolist(), strict=True)) for a, b in zip(start[:-1], start[1:], strict=True)] == expected
+    assert [toxicity.counts(t, vocabulary) for t in texts] == expected
+    assert [x.tolist() for x in toxicity.found([], vocabulary)] == [[0], [], []]
+
+
 def test_held_out_accuracy_exact_search_and_odd_texts(spark):
     rows = toxic_corpus()
     df = docs(spark, [(i, t) for i, t, _ in rows] + ODD)
