@@ -79,11 +79,13 @@ def token_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 def before(ids: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
     """The number of the k-th word before each token; 0, the begin mark, before a text."""
-    first = np.zeros(len(ids), np.int64)
-    first[bounds[:-1]] = bounds[:-1]
-    place = np.arange(len(ids)) - np.maximum.accumulate(first)
+    if not k:
+        return ids
     out = np.zeros(len(ids), np.int64)
-    out[k:] = np.where(place[k:] >= k, ids[:-k] if k else ids, 0)
+    out[k:] = ids[:-k]
+    for j in range(k):
+        at = bounds[:-1] + j
+        out[at[at < bounds[1:]]] = 0
     return out
 
 
@@ -106,19 +108,30 @@ def _runs(ordered: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones."""
+    by = np.argsort(values)
+    ordered = values[by]
+    out = np.empty(len(by), U64)
+    out[by] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
+    return out
+
+
 def _in_order(columns: list[np.ndarray]) -> np.ndarray:
-    """Where rows stand in lexicographic order; columns are packed into as few 64-bit keys as hold them."""
-    keys: list[np.ndarray] = []
-    room = 0
-    for c in columns:
+    """Where rows stand in lexicographic order; columns are packed into one 64-bit key, as ranks where they don't fit (sorting single keys is fast)."""
+    key = columns[0].astype(U64)
+    room = 64 - int(key.max(initial=0)).bit_length()
+    for c in columns[1:]:
         bits = int(c.max(initial=0)).bit_length()
-        if not keys or bits > room:
-            keys.append(c.astype(U64))
-            room = 64 - bits
-        else:
-            keys[-1] = keys[-1] << U64(bits) | c.astype(U64)
-            room -= bits
-    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+        if bits > room:
+            key = _ranks(key)
+            room = 64 - int(key.max(initial=0)).bit_length()
+        if bits > room:
+            c = _ranks(c)
+            bits = int(c.max(initial=0)).bit_length()
+        key = key << U64(bits) | c.astype(U64)
+        room -= bits
+    return np.argsort(key)
 
 
 def summed(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -129,26 +142,44 @@ def summed(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarra
     return [c[at] for c in columns], np.add.reduceat(count[by], at) if len(at) else count
 
 
+def counted(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in order, with how often they occur; no value has more than ``bits`` bits."""
+    if bits * len(columns) > 64:
+        return summed(columns, np.ones(len(columns[0]), np.int64))
+    key = columns[0].astype(U64)
+    for c in columns[1:]:
+        key = key << U64(bits) | c.astype(U64)
+    key.sort()
+    at = _runs([key])
+    n, key = np.diff(at, append=len(key)), key[at]
+    return [(key >> U64(bits * k) & U64((1 << bits) - 1)).astype(np.int64) for k in range(len(columns) - 1, -1, -1)], n
+
+
 # ---- blocks that are shuffled ------------------------------------------------------------------
 
 def pack(columns: list[np.ndarray], count: np.ndarray) -> bytes:
-    """Rows that are sorted by the first column: its differences, the others, and the counts, byte by byte and compressed."""
+    """Rows that are sorted by the first column: its differences, the others, and the counts, byte by byte (as many as the largest has) and compressed."""
     import zstandard
 
-    parts = [np.array([len(count)], "<i8").tobytes()]
-    for c in [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:], count]:
-        raw = np.ascontiguousarray(c).astype("<u8").view(np.uint8).reshape(-1, 8)
-        parts += [raw[:, b].tobytes() for b in range(8)]
+    columns = [c.astype("<u8") for c in (np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:], count)]
+    size = [(int(c.max(initial=0)).bit_length() + 7) // 8 for c in columns]
+    parts = [np.array([len(count)], "<i8").tobytes(), bytes(size)]
+    parts += [np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes() for c, n in zip(columns, size, strict=True)]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(block: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(width + 1, 8, n)
-    out = [np.ascontiguousarray(planes[k].T).view("<u8").reshape(-1) for k in range(width + 1)]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    n, at = int(raw[:8].view("<i8")[0]), 9 + width
+    out = []
+    for size in raw[8:at].tolist():
+        wide = np.zeros((n, 8), np.uint8)
+        for k in range(size):
+            wide[:, k] = raw[at : at + n]
+            at += n
+        out.append(wide.view("<u8").reshape(-1))
     out[0] = np.cumsum(out[0], dtype=U64)
     return out[:-1], out[-1].astype(np.int64)
 
@@ -242,23 +273,28 @@ def _found(arrays: list[np.ndarray], key: np.ndarray, width: int) -> list[np.nda
     """Values of keys, 0 where there are none."""
     directory, stored, code, table, rest, more = arrays
     out = [np.zeros(len(key), np.int64) for _ in range(width)]
+    if not len(stored):
+        return out
     lead = (len(directory) - 1).bit_length() - 1
     first, want = K.top(key, lead), (key >> U64(32 - lead)).astype(np.uint32)
     at, end = directory[first].astype(np.int64), directory[first + 1].astype(np.int64)
-    open_ = np.flatnonzero(at < end)
-    while len(open_):
-        here = stored[at[open_]] == want[open_]
-        hit = open_[here]
-        if len(hit):
-            c = code[at[hit]].astype(np.int64)
-            plain, spare = np.flatnonzero(c < 255), np.flatnonzero(c == 255)
-            place = np.searchsorted(rest, at[hit[spare]])
-            for k in range(width):
-                out[k][hit[plain]] = table[c[plain] + k * (len(table) // width)]
-                out[k][hit[spare]] = more[place + k * len(rest)]
-        open_ = open_[~here]
-        at[open_] += 1
-        open_ = open_[at[open_] < end[open_]]
+    half = 1 << int((end - at).max(initial=0)).bit_length() >> 1
+    while half:  # bisection of all keys' runs at once: how many stored ones are less
+        step = at + half
+        less = step <= end
+        less &= stored[np.minimum(step, end, out=step) - 1] < want
+        at += half * less
+        half >>= 1
+    hit = np.flatnonzero((at < end) & (stored[np.minimum(at, len(stored) - 1)] == want))
+    at = at[hit]
+    c = code[at]
+    spare = np.flatnonzero(c == 255)
+    place = np.searchsorted(rest, at[spare])
+    c[spare] = 0
+    for k in range(width):
+        value = table[k * (len(table) // width) :][c]
+        value[spare] = more[place + k * len(rest)]
+        out[k][hit] = value
     return out
 
 
@@ -295,9 +331,15 @@ def _count(model: Broadcast):
 
     def flush(tokens: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         lm: Model = model.value
-        ids = lm.words(tokens)[0]
+        ids, _, _, back = lm.words(tokens)
         bounds = np.concatenate(([0], np.cumsum(sizes)))
-        columns, n = summed([before(ids, bounds, k) for k in range(lm.order - 1, -1, -1)], np.ones(len(ids), np.int64))
+        by = np.argsort(ids)
+        place = np.empty(len(ids), np.int64)
+        place[by] = np.arange(1, len(ids) + 1)
+        own = place[back]  # the batch's words by number, so that n-grams are sorted as single keys
+        columns, n = counted([before(own, bounds, k) for k in range(lm.order - 1, -1, -1)], len(ids).bit_length())
+        number = np.concatenate(([0], ids[by]))
+        columns = [number[c] for c in columns]
         return _rows(_deal(lm.order, lm.shard(columns)[0], columns, n))
 
     return lambda batches: _collected(batches, flush)
@@ -374,8 +416,8 @@ class Model:
         """First numbers by power and shard, and first places within the shard.  Number 0 is the begin mark."""
         return (np.cumsum(self.sizes.reshape(-1)) - self.sizes.reshape(-1) + 1).reshape(self.sizes.shape), np.cumsum(self.sizes, axis=0) - self.sizes
 
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number (-1: unknown), count and continuation count of each word."""
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number (-1: unknown), count and continuation count of each distinct word, and where among them each word is."""
         keys, back = np.unique(hashes, return_inverse=True)
         ids, count, cont = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         start, place = self._starts()
@@ -392,7 +434,7 @@ class Model:
             count[a + here] = _wide(counts, large, local)
             if self.continuations:
                 cont[a + here] = _wide(*K.mapped_arrays(self.folder, f"continued-{s}", CONTINUED), local)
-        return ids[back], count[back], cont[back]
+        return ids, count, cont, back
 
     def home(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shard and place of numbered words."""
@@ -401,19 +443,24 @@ class Model:
         power, shard = np.divmod(cell, self.sizes.shape[1])
         return shard, ids.astype(np.int64) - start[power, shard] + place[power, shard]
 
-    def shard(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Shard of each n-gram, and over how many parts its context is dealt: its rarest word's count says how often it occurs at most."""
-        ends = np.cumsum(self.sizes.sum(axis=1))
+    def shard(self, columns: list[np.ndarray], h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Shard of each n-gram, and over how many parts its context is dealt: its rarest word's count says how often it occurs at most.  ``h``: the contexts' hashes."""
         context = columns[:-1]
-        rarest = np.max(context, axis=0).astype(np.int64)
+        h = fold(context) if h is None else h
+        out, pieces = K.top(h, self.bits), np.ones(len(h), np.int64)
+        ends = np.cumsum(self.sizes.sum(axis=1))
+        rarest = np.maximum.reduce(context) if len(context) > 1 else context[0]
+        # Only contexts of words that occur often enough are looked at closer; the begin mark's 0 is one of them.
+        at = np.flatnonzero(rarest <= ends[max(0, BUCKETS - int(self.many).bit_length())])
+        context, rarest = [c[at] for c in context], rarest[at].astype(np.int64)
         power = BUCKETS - 1 - np.searchsorted(ends, np.maximum(rarest, 1), side="left")
         most = np.where(rarest == 0, self.texts, 2.0 ** (power + 1))
         if len(context) > 1:
             most = np.where((np.min(context, axis=0) == 0), np.minimum(most, self.texts), most)
-        pieces = (2 ** np.ceil(np.log2(np.maximum(most / self.many, 1)))).astype(np.int64)
-        h = fold(context)
-        spread = K.mix(h + U64(1) + (fold(columns[-1:]) & (pieces - 1).astype(U64)))
-        return K.top(np.where(pieces > 1, spread, h), self.bits), pieces
+        pieces[at] = 2 ** np.ceil(np.log2(np.maximum(most / self.many, 1)))
+        at = at[pieces[at] > 1]
+        out[at] = K.top(K.mix(h[at] + U64(1) + (fold([columns[-1][at]]) & (pieces[at] - 1).astype(U64))), self.bits)
+        return out, pieces
 
     def store_hot(self, order: int, shard: int, table: pa.Table) -> pa.Table:
         (context, which), value = _blocks(table, 2)
@@ -430,28 +477,36 @@ class Model:
         K.write_arrays(self.folder, f"continued-{shard}", _narrow(out))
         return _table([(-1, shard, b"")], [[int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n >= 3).sum()), *_counts_of_counts(n)]])
 
-    def find(self, columns: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
-        """Of n-grams: their count; the count of their context, and how many n-grams of it occur once, twice, more often."""
-        order, out = len(columns), [np.zeros(len(known), np.int64) for _ in range(5)]
-        some = np.flatnonzero(known)
+    def find(self, columns: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of n-grams: their count without its discount; the count of their context, and what its discounts leave.  0 where there are none."""
+        order, d = len(columns), np.array([0.0, *self.discount[len(columns)]])
+        some = slice(None) if known.all() else np.flatnonzero(known)
         columns = [c[some] for c in columns]
-        shard, pieces = self.shard(columns)
-        whole, context = fold(columns), fold(columns[:-1])
-        for key, first, width, wanted in ((_key(whole), 0, 1, np.arange(len(some))), (_key(context), 1, 4, np.flatnonzero(pieces == 1))):
-            by = wanted[_in_order([shard[wanted], key[wanted] >> U64(self.bits + 1)])]
-            at = _runs([shard[by], key[by]])  # each is looked for once
-            one = by[at]
-            found = [np.zeros(len(one), np.int64) for _ in range(width)]
-            edge = np.append(_runs([shard[one]]), len(one))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                arrays = K.mapped_arrays(self.folder, f"{order}-{int(shard[one[a]])}", CODED + CODED)
-                if arrays is not None:
-                    for x, v in zip(found, _found(arrays[6:] if first else arrays[:6], key[one[a:b]], width), strict=True):
-                        x[a:b] = v
-            size = np.diff(np.append(at, len(by)))
-            for k, x in enumerate(found):
-                out[first + k][some[by]] = np.repeat(x, size)
-        hot = np.flatnonzero(pieces > 1)
+        context = fold(columns[:-1])
+        whole = K.mix(context * _C + columns[-1].astype(U64) + U64(1))
+        shard, pieces = self.shard(columns, context)
+        cold = pieces == 1
+        hot = np.flatnonzero(~cold)
+        parts = []  # n-grams, and contexts that are in one shard: each is looked for once, shard by shard
+        for key, wanted in ((_key(whole), None), (_key(context), np.flatnonzero(cold) if len(hot) else None)):
+            own = shard if wanted is None else shard[wanted]
+            key = key if wanted is None else key[wanted]
+            by = np.argsort((own.astype(U64) << U64(63 - self.bits) | key >> U64(self.bits + 1)))
+            key = key[by]
+            at = _runs([key])
+            by = by if wanted is None else wanted[by]
+            parts.append((by, np.diff(at, append=len(by)), key[at], np.searchsorted(shard[by[at]], np.arange((1 << self.bits) + 1))))
+        (_, _, grams, g), (_, _, contexts, c) = parts
+        seen, stats = np.zeros(len(grams), np.int64), [np.zeros(len(contexts), np.int64) for _ in range(4)]
+        for s in np.flatnonzero((np.diff(g) > 0) | (np.diff(c) > 0)).tolist():
+            arrays = K.mapped_arrays(self.folder, f"{order}-{s}", CODED + CODED)
+            if arrays is not None:
+                seen[g[s] : g[s + 1]] = _found(arrays[:6], grams[g[s] : g[s + 1]], 1)[0]
+                for x, v in zip(stats, _found(arrays[6:], contexts[c[s] : c[s + 1]], 4), strict=True):
+                    x[c[s] : c[s + 1]] = v
+        out = np.zeros((3, len(whole)))
+        for k, (by, size, x) in enumerate(((*parts[0][:2], seen - d[np.minimum(seen, 3)]), (*parts[1][:2], stats[0]), (*parts[1][:2], d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]))):
+            out[k][by] = np.repeat(x.astype(float), size)
         home = K.top(context[hot], self.bits)
         for s in np.unique(home).tolist():
             arrays = K.mapped_arrays(self.folder, f"hot-{order}-{s}", HOT_CONTEXT)
@@ -460,29 +515,32 @@ class Model:
             own = hot[home == s]
             at = np.minimum(np.searchsorted(arrays[0], context[own]), len(arrays[0]) - 1)
             here = arrays[0][at] == context[own]
-            for k in range(4):
-                out[1 + k][some[own]] = np.where(here, arrays[1][at + k * len(arrays[0])], 0)
-        return out
+            total, one, two, more = (np.where(here, arrays[1][at + k * len(arrays[0])], 0).astype(np.int64) for k in range(4))
+            out[1, own], out[2, own] = total, d[1] * one + d[2] * two + d[3] * more
+        if isinstance(some, slice):
+            return tuple(out)
+        every = np.zeros((3, len(known)))
+        every[:, some] = out
+        return tuple(every)
 
     def probabilities(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each token: its count in training, its probability."""
-        ids, count, cont = self.words(tokens)
-        p = np.full(len(tokens), 1 / (self.vocabulary + 1))
+        ids, count, cont, back = self.words(tokens)
+        p = np.full(len(ids), 1 / (self.vocabulary + 1))
         if self.continuations:
             d = np.array([0.0, *self.discount[1]])
             left = float(np.dot(d[1:], self.leave)) / self.continuations
             p = (cont - d[np.minimum(cont, 3)]) / self.continuations + left * p
+        ids, count, p = ids[back], count[back], p[back]
         columns, context_known = [ids], np.ones(len(ids), bool)
         for k in range(2, self.order + 1 if self.train_tokens else 2):
             earlier = before(ids, bounds, k - 1)
             columns, context_known = [earlier, *columns], context_known & (earlier >= 0)
-            d = np.array([0.0, *self.discount[k]])
             # An unknown last word: its number stands for none, the context counts.
             last = np.where(ids >= 0, ids, self.vocabulary + 1)
-            seen, total, one, two, more = self.find([*columns[:-1], last], context_known)
+            seen, total, left = self.find([*columns[:-1], last], context_known)
             whole = np.maximum(total, 1)
-            here = (seen - d[np.minimum(seen, 3)]) / whole + (d[1] * one + d[2] * two + d[3] * more) / whole * p
-            p = np.where(total > 0, here, p)
+            p = np.where(total > 0, seen / whole + left / whole * p, p)
         return count, p
 
 

@@ -420,6 +420,53 @@ def test_a_model_of_nothing(spark):
     assert kneser_ney.score(docs(spark, []), model).count() == 0
 
 
+def test_a_batch_opens_each_shard_once_for_each_order(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SHARD_NGRAMS", 20)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=30)) for _ in range(40)]
+    model = kneser_ney.train(docs(spark, list(enumerate(texts))))
+    opened, mapped = [], K.mapped_arrays
+    monkeypatch.setattr(K, "mapped_arrays", lambda folder, name, kinds: opened.append(name) or mapped(folder, name, kinds))
+
+    class Shared:
+        value = model
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["id", "text"])
+    assert sum(b.num_rows for b in kneser_ney._score(Shared)(iter([batch]))) == 40
+    ngrams = [n for n in opened if n[0] in "23"]
+    assert len(ngrams) > 20 and len(ngrams) == len(set(ngrams))
+
+
+@pytest.mark.parametrize("bits", [[3, 3], [22, 22, 22], [63, 2], [2, 64, 40], [64, 64, 64, 1]])
+def test_rows_are_sorted_as_single_keys_whatever_their_width(monkeypatch, bits):
+    monkeypatch.setattr(np, "lexsort", None)
+    rng = np.random.default_rng(5)
+    pool = [rng.integers(0, 2**b, 6, np.uint64, endpoint=False) if b < 64 else rng.integers(0, 2**64 - 1, 6, np.uint64, endpoint=True) for b in bits]
+    columns = [p[rng.integers(0, 6, 500)] for p in pool]
+    rows = list(zip(*(c.tolist() for c in columns), strict=True))
+    got, n = kneser_ney.summed(columns, np.full(500, 2))
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == sorted(set(rows))
+    assert n.tolist() == [2 * rows.count(r) for r in sorted(set(rows))]
+    got, n = kneser_ney.counted([c.astype(np.int64) for c in columns], max(bits)) if max(bits) < 63 else (got, n // 2)
+    assert list(zip(*(c.tolist() for c in got), n.tolist(), strict=True)) == [(*r, rows.count(r)) for r in sorted(set(rows))]
+    got, n = kneser_ney.unpack(kneser_ney.pack(got, n), len(bits))
+    assert list(zip(*(c.tolist() for c in got), n.tolist(), strict=True)) == [(*r, rows.count(r)) for r in sorted(set(rows))]
+
+
+@pytest.mark.parametrize("size", [0, 1, 5, 3000])
+def test_stored_keys_are_found_and_no_others(size):
+    rng = np.random.default_rng(size)
+    key = np.unique(rng.integers(0, 2**64 - 1, size, np.uint64))
+    key[: size // 2] >>= np.uint64(7)  # crowded in a few runs of the directory
+    key = rng.permutation(np.unique(key))
+    values = [rng.integers(1, 2 + 500 * k, len(key)) * rng.choice([1, 2**33], len(key)) for k in range(1, 5)]
+    arrays = [a.astype(t) for a, t in zip(kneser_ney._coded(key, values), kneser_ney.CODED, strict=True)]
+    absent = np.setdiff1d(rng.integers(0, 2**64 - 1, 2000, np.uint64), key)
+    wanted = rng.permutation(np.concatenate([key, absent]))
+    have = dict(zip(key.tolist(), zip(*(v.tolist() for v in values), strict=True), strict=True))
+    assert list(zip(*(x.tolist() for x in kneser_ney._found(arrays, wanted, 4)), strict=True)) == [have.get(k, (0,) * 4) for k in wanted.tolist()]
+
+
 # ---- toxicity
 
 
